@@ -122,6 +122,8 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     schema = "doc_id long, text string, n_lines long, n_lines_removed long, removed array<string>, kept_chars long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
 
+    emit = T.emitter(schema)
+
     def run(batches):
         for part in T.slices(batches):
             counts = _measures(part)
@@ -138,6 +140,6 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             out["kept_chars"] = T.per_doc(~T._SPACE[kept_buf] & ((kept_buf & 0xC0) != 0x80), kept_at)
             failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
             lost = counts["word_chars"] - out["kept_chars"] > rules.most_lost * counts["word_chars"]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | out | counts | {"base_failed": failed, "kept": ~failed & ~lost})
+            yield emit({"doc_id": part.column("doc_id")} | out | counts | {"base_failed": failed, "kept": ~failed & ~lost})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)

@@ -78,6 +78,20 @@ class Words:
         return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)[codes] if words else np.zeros(0, np.uint64)
 
 
+def emitter(ddl: str):
+    """A function that makes record batches of exactly the given Spark columns from arrays, lists or numpy columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def emit(columns: dict) -> pa.RecordBatch:
+        made = [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(made, schema=schema)
+
+    return emit
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(31))

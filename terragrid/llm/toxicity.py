@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,12 +98,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_terms: i
     # 2 * most_rows ids at most
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
 
+    count, point = T.emitter("term string, n long"), T.emitter("x double, toxic int")
+
     def candidates(batches):
         df: Counter = Counter()
         for part in T.slices(batches):
             for t in part.column("text").to_pylist():
                 df.update(_prefixes(fold(t), *lengths))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(df), pa.string()), "n": pa.array(list(df.values()), pa.int64())})
+        yield count({"term": list(df), "n": list(df.values())})
 
     toxic = texts.where("toxic = 1")
     rows = toxic.select("text").mapInArrow(candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(most_terms).collect()
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_terms: i
             for t in part.column("text").to_pylist():
                 df.update(found.keys() & _prefixes(fold(t), *lengths))
                 n += 1
-        yield pa.RecordBatch.from_pydict({"term": pa.array(["", *df], pa.string()), "n": pa.array([n, *df.values()], pa.int64())})
+        yield count({"term": ["", *df], "n": [n, *df.values()]})
 
     clean = {r.term: r.n for r in texts.where("toxic = 0").select("text").mapInArrow(clean_df, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_clean = clean.pop("", 0)
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_terms: i
         automaton = draft.automaton()
         for part in T.slices(batches):
             x = [_density(fold(t), automaton) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "toxic": part.column("toxic")})
+            yield point({"x": x, "toxic": part.column("toxic")})
 
     sample = texts.select("text", "toxic").mapInArrow(density, "x double, toxic int").toPandas()
     return Lexicon(weights, exceptions, *_logistic(np.log1p(sample.x.to_numpy()), sample.toxic.to_numpy()))
@@ -155,17 +155,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score (0 to 1) and n_hits of every whole text of ``docs`` (doc_id, text); a null text is an empty one.
+    """doc_id, score (0 to 1) and density (weight for every 100 words) of every whole text of ``docs`` (doc_id, text); a null text is an empty one.
 
     Rows stay one to one, nothing but the text decides.
     """
 
+    emit = T.emitter("doc_id long, score double, density double")
+
     def run(batches):
         automaton = lexicon.automaton()
         for part in T.slices(batches):
             x = np.log1p([_density(fold(t), automaton) for t in part.column("text").to_pylist()])
             s = 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": s, "density": np.expm1(x)})
+            yield emit({"doc_id": part.column("doc_id"), "score": s, "density": np.expm1(x)})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, density double")
 
