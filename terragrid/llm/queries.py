@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_rules, mixing, toxicity
+from . import fingerprints, line_rules, mixing, packing, repair, simhash, toxicity
 from .common import documents, ship
 
 MIX_SEED, MIX_ALPHA, MIX_MOST = 20240, 0.5, 64.0
@@ -43,3 +44,21 @@ QUERIES = {"op1_toxicity": op1_toxicity, "op6_fingerprints": op6_fingerprints, "
 ORACLES = {
     "op10_mixing": mixing.sql("documents", MIX_SEED, MIX_ALPHA, MIX_MOST, "doc_id, source, copy, mix_copies, round(mix_rate, 9) mix_rate, mix_key, md5(text) text_md5"),
 }
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and the components of links at two bits or fewer."""
+    return simhash.group(documents(spark, sf_dir), shingle=3, budget=2)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows that hold the sources in their corpus proportions."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from Re-Pair shards of their ids."""
+    return repair.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES |= {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_repair": op4_repair}

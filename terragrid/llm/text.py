@@ -14,13 +14,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, binary: bool = False) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most ``most`` bytes of text each; a longer text stands alone. Null texts become empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
+        text = pc.fill_null(batch.column(at).cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
         batch = batch.set_column(at, column, text)
         size = np.cumsum(np.maximum(1, pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)))
         start = 0
