@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_rules, mixing, packing, repair, simhash, toxicity
+from . import fingerprints, html_text, kneser_ney, line_rules, mixing, packing, repair, simhash, substrings, toxicity
 from .common import documents, ship
 
 MIX_SEED, MIX_ALPHA, MIX_MOST = 20240, 0.5, 64.0
@@ -62,3 +62,28 @@ def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_repair": op4_repair}
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    ship(spark)
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled good, and whether it passes its language's threshold."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    judged = kneser_ney.judge(docs, trusted)
+    return judged.select("doc_id", "lang", F.col("lm_chars").alias("n_chars"), "perplexity", F.col("lm_threshold").alias("threshold"), F.col("lm_kept").alias("kept"))
+
+
+QUERIES |= {"op7_html_text": op7_html_text, "op9_kneser_ney": op9_kneser_ney}
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once words in repeated windows of 35 are gone."""
+    return substrings.remove(documents(spark, sf_dir).select("doc_id", "text"), window=35, keep_text=False)
+
+
+QUERIES |= {"op5_substrings": op5_substrings}
