@@ -1,0 +1 @@
+"""Raster, point-cloud and estimation operators over Spark DataFrames."""
