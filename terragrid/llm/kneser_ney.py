@@ -162,21 +162,24 @@ def _log_p(keys: np.ndarray, p: list[Table], gamma: list[Table], order: int) ->
     return out
 
 
-def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], most: int = 8_000_000, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], most: int = 8_000_000, keep_text: bool = False, broadcasts: list | None = None) -> DataFrame:
     """The rows of ``docs`` with lm_chars and lm_log_p (summed natural log-probability of the characters) after their
     own columns; without ``keep_text`` the text is left out. A null text has no characters.
 
     A model of up to ``most`` entries (counted first; 16 bytes each) is sent to the workers. A larger one stays
     sharded: the texts' n-grams, counted by document, are joined with the probabilities by key (the n-grams that the
-    model lacks, order by order), and summed by document.
+    model lacks, order by order), and summed by document. ``broadcasts`` gets what was
+    sent, to be destroyed once the result is written.
     """
     order = len(probabilities)
     entries = sum(t.count() for t in [*probabilities, *weights])
     if entries > most:
         return _score_sharded(docs, probabilities, weights, keep_text)
-    spark = docs.sparkSession
-    held = [[(r[0], r[1]) for r in (df.toPandas().to_numpy(dtype=object).T,)][0] for df in [*probabilities, *weights]]
-    sent = spark.sparkContext.broadcast([(k.astype(np.int64), v.astype(np.float32)) for k, v in held])
+    held = [df.toArrow() for df in [*probabilities, *weights]]
+    sent = docs.sparkSession.sparkContext.broadcast([(t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.float32)) for t in held])
+    del held
+    if broadcasts is not None:
+        broadcasts.append(sent)
     schema = docs.schema if keep_text else docs.drop("text").schema
     names = schema.names
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lm_chars long", "lm_log_p double"])
@@ -241,7 +244,10 @@ def judge(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float =
     scratch = Scratch(docs.sparkSession, "kneser_ney")
     marked = mark_trusted(docs, trusted)
     probabilities, weights = estimate(count(marked.where("lm_trusted"), order), scratch, order)
-    scored = scratch.save(score(marked, probabilities, weights, most, keep_text), "scored")
+    sent: list = []
+    scored = scratch.save(score(marked, probabilities, weights, most, keep_text, sent), "scored")
+    for b in sent:
+        b.destroy()
     mean = F.sum("lm_log_p") / F.sum("lm_chars")
     trusted_mean = scored.where("lm_trusted and lm_chars > 0").agg(mean.alias("m")).head().m or 0.0
     perplexity = F.when(F.col("lm_chars") > 0, F.exp(-(F.col("lm_log_p") + prior * trusted_mean) / (F.col("lm_chars") + prior)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -20,6 +22,33 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+#: Latin letters with one code point each, which no normalization changes.
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _whole_word(tokenizer):
+    """A function from a piece to what the model sees of it, if the piece is a space or none and Latin letters (else
+    None), read off the tokenizer's own description of its steps."""
+    steps = json.loads(tokenizer.to_str())
+    lower = any(n["type"] == "Lowercase" for n in (steps["normalizer"] or {}).get("normalizers", []))
+    known_steps = lower or steps["normalizer"] is None
+    space = "" if lower else chr(0x120)  # where white space isn't dropped it becomes this letter
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    table = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+    def word(piece: bytes) -> str | None:
+        text = piece.decode()
+        if not known_steps or not _LATIN.fullmatch(text):
+            return None
+        ahead = space if text[0] == " " else ""
+        text = text.lstrip(" ")
+        text = text.lower() if lower else text
+        return ahead + (text if text.isascii() else text.encode().decode("latin-1").translate(table))
+
+    return word
+
+
 class Encoder:
     """Encodes with a tokenizers file, each distinct piece between safe cuts once.
 
@@ -31,12 +60,13 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.word = _whole_word(self.tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -60,8 +90,18 @@ class Encoder:
                     known[p] = older[p]
                 else:
                     new.append(p)
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
+        rest = []
+        for p in new:
+            # a word of Latin letters is one piece of the first split, so the model alone gives its ids
+            w = self.word(p)
+            if w is None:
+                rest.append(p)
+            elif (known_w := known.get(w)) is not None:
+                known[p] = known_w
+            else:
+                known[w] = known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], self.dtype).tobytes()
+        for lo in range(0, len(rest), 20_000):
+            some = rest[lo : lo + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
                 known[p] = np.array(e.ids, self.dtype).tobytes()
         return [known[p] for p in pieces]
