@@ -196,15 +196,17 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, set array<long>")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 16, budget: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 16, budget: int = 2, small: int = 32) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text): groups of texts whose word shingles are alike.
 
     Equal texts are one class. Classes are linked if the Jaccard similarity of their sets of ``shingle``-word shingles
     (A-Z lower-cased) is ``similarity`` or more. Candidates come from ``prints`` SimHashes of a text's set of words: in
-    a bucket that shares two of four segments every text is held against the bucket's first and last one, so that
-    pairs grow with the texts and not with the square of a group; chains and the Hamming distance (``budget`` bits)
-    prune them, the shingle sets decide. Two texts at a similarity of just 0.8 are a candidate in about 97 of 100 cases,
-    more alike ones in nearly all. Null texts count as empty; blank texts are one group. Rows stay one to one.
+    a bucket that shares two of four segments all pairs of up to ``small`` texts are held against one another; in a
+    larger bucket every text is held against the bucket's first and last one, so that pairs grow with the texts and not
+    with the square of a group. Chains and the Hamming distance (``budget`` bits) prune them, the shingle sets decide.
+    Two texts at a similarity of just 0.8 are a candidate in about 97 of 100 cases, more alike ones in nearly all; a
+    link that only large buckets hold and that neither end of them shows is found where one of the ``prints`` parts
+    the two from the rest. Null texts count as empty; blank texts are one group. Rows stay one to one.
     """
     scratch = Scratch(docs.sparkSession, "near")
     width, pairs = 16, list(combinations(range(4), 2))
@@ -214,11 +216,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prin
     classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("prints").alias("prints")).where("node is not null")
     keys = F.flatten(F.transform("prints", lambda p, i: F.array(*[F.struct(F.xxhash64(p.bitwiseAND(F.lit(m)), i, F.lit(k)).alias("key"), p.alias("fp")) for k, m in enumerate(masks)])))
     keyed = scratch.save(classes.select("node", F.explode(keys).alias("s")).select("s.key", "node", "s.fp"), "keys")
-    ends = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("a"), F.max(F.struct("node", "fp")).alias("b")).where("a.node < b.node")
+    sizes = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "fp")).alias("a"), F.max(F.struct("node", "fp")).alias("b")).where("size > 1"), "sizes")
+    few = scratch.save(keyed.join(sizes.where(F.col("size") <= small).select("key"), "key", "left_semi"), "few")
+    ends = few.select("key", F.struct("node", "fp").alias("end")).union(sizes.where(F.col("size") > small).select("key", F.explode(F.array("a", "b"))))
     u, v = F.col("fp"), F.col("end.fp")
-    near = keyed.join(ends.select("key", F.explode(F.array("a", "b")).alias("end")), "key").where((F.col("node") != F.col("end.node")) & chain(u, v, budget, 4) & (F.bit_count(u.bitwiseXOR(v)) <= budget))
+    near = keyed.join(ends, "key").where((F.col("node") != F.col("end.node")) & chain(u, v, budget, 4) & (F.bit_count(u.bitwiseXOR(v)) <= budget))
     candidates = scratch.save(near.select(F.greatest("node", "end.node").alias("u"), F.least("node", "end.node").alias("v")).distinct(), "candidates")
-    scratch.drop("keys")
+    scratch.drop("keys", "sizes", "few")
     wanted = candidates.select(F.col("u").alias("doc_id")).union(candidates.select("v")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     sets = scratch.save(_shingle_sets(texts, shingle), "sets")
