@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import _cut
+
 
 def nearest_2d(left: DataFrame, right: DataFrame, cell: float, k: int = 1, most_rings: int = 12) -> DataFrame:
     """left id, right id, distance and rank of the k nearest points of ``right`` (id, x, y) to each of ``left`` (id, x, y).
@@ -28,7 +30,8 @@ def nearest_2d(left: DataFrame, right: DataFrame, cell: float, k: int = 1, most_
         done = sure if done is None else done.union(sure)
         if last:
             break
-        rest = rest.join(sure.select("id").distinct(), "id", "left_anti").checkpoint() if ring else rest.join(sure.select("id").distinct(), "id", "left_anti")
+        rest = rest.join(sure.select("id").distinct(), "id", "left_anti")
+        rest = _cut(rest) if ring else rest
         if not rest.limit(1).count():
             break
         reach *= 2
@@ -49,13 +52,15 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def match(query: DataFrame, train: DataFrame, block: list[str], distance, k: int = 1) -> DataFrame:
-    """block..., query id, train id, distance, rank: the k nearest descriptors (id, d) of the same block, ties by id.
+def match(query: DataFrame, train: DataFrame, block: list[str], distance, k: int = 1, other: bool = False) -> DataFrame:
+    """block..., query id, train id, distance, rank: the k nearest descriptors (id, d) of the same block, ties by id;
+    with ``other`` none has the query's own id.
 
     The partial best are taken where pairs are made, so a shuffle carries k rows a query and task.
     """
     t = train.select(*block, F.col("id").alias("tid"), F.col("d").alias("td"))
-    pairs = query.select(*block, "id", "d").join(t, block).select(*block, "id", "tid", distance(F.col("d"), F.col("td")).alias("distance"))
+    met = query.select(*block, "id", "d").join(t, block)
+    pairs = (met.where("id <> tid") if other else met).select(*block, "id", "tid", distance(F.col("d"), F.col("td")).alias("distance"))
     order = Window.partitionBy(*block, "id").orderBy("distance", "tid")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -381,23 +381,30 @@ def dedup_min(spark, sf):
 
 def _codes(spark, sf):
     k = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey < 400").select("p_size", k.alias("id"), F.array(*[((k + 7) * c) % 65536 for c in (40503, 30011, 51787, 60293)]).alias("d"))
+    return table(spark, sf, "part").select("p_size", k.alias("id"), F.array(*[((k + 7) * c) % 65536 for c in (40503, 30011, 51787, 60293)]).alias("d"))
 
 
-_CODES = "c as (select p_size, p_partkey as id, [((p_partkey + 7) * m) % 65536 for m in [40503, 30011, 51787, 60293]] as d from part where p_partkey < 400)"
+def _codes_sql(distance: str) -> str:
+    return f"""with c as (select p_size, p_partkey as id, [((p_partkey + 7) * m) % 65536 for m in [40503, 30011, 51787, 60293]] as d from part),
+p as (select a.id, b.id as tid, {distance} as distance from c a join c b using (p_size) where a.id <> b.id), r as (select *, row_number() over (partition by id order by distance, tid) as k from p)
+select id, tid, distance from r where k = 1"""
 
 
-@query(f"with {_CODES}, p as (select a.id, b.id as tid, cast(list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(a.d[i], b.d[i])))) as integer) as distance from c a join c b using (p_size) where a.id <> b.id) select id, tid, distance from p")
+def _other(spark, sf, distance):
+    """The nearest other code of the same block."""
+    c = _codes(spark, sf)
+    return X.match(c, c, ["p_size"], distance, 1, other=True).select("id", "tid", "distance")
+
+
+@query(_codes_sql("cast(list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(a.d[i], b.d[i])))) as integer)"))
 def hamming_bits(spark, sf):
-    a, b = _codes(spark, sf), _codes(spark, sf).select("p_size", F.col("id").alias("tid"), F.col("d").alias("e"))
-    return a.join(b, "p_size").where("id <> tid").select("id", "tid", X.hamming_bits(F.col("d"), F.col("e")).alias("distance"))
+    return _other(spark, sf, X.hamming_bits)
 
 
-@query(f"with {_CODES}, p as (select a.id, b.id as tid, list_sum(list_transform(range(1, 5), lambda i: case when a.d[i] % 4 = b.d[i] % 4 then 0 else 1 end)) / 4.0 as distance from c a join c b using (p_size) where a.id <> b.id) select id, tid, distance::double as distance from p")
+@query(_codes_sql("(list_sum(list_transform(range(1, 5), lambda i: case when a.d[i] % 4 = b.d[i] % 4 then 0 else 1 end)) / 4.0)::double"))
 def hamming_bytes(spark, sf):
     low = lambda c: F.transform(c, lambda x: x % 4)
-    a, b = _codes(spark, sf), _codes(spark, sf).select("p_size", F.col("id").alias("tid"), F.col("d").alias("e"))
-    return a.join(b, "p_size").where("id <> tid").select("id", "tid", X.hamming_bytes(low("d"), low("e")).alias("distance"))
+    return _other(spark, sf, lambda a, b: X.hamming_bytes(low(a), low(b)))
 
 
 @query("""with s as (select s_suppkey as rid, (s_suppkey * 37 % 1000)::double as x, (s_suppkey * 91 % 1000)::double as y from supplier), c as (select c_custkey as id, (c_custkey * 53 % 1000)::double as x, (c_custkey * 29 % 1000)::double as y from customer),
@@ -407,7 +414,6 @@ def nn_2d(spark, sf):
     k, j = F.col("c_custkey"), F.col("s_suppkey")
     left = table(spark, sf, "customer").select(k.alias("id"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
     right = table(spark, sf, "supplier").select(j.alias("id"), (j * 37 % 1000).cast("double").alias("x"), (j * 91 % 1000).cast("double").alias("y"))
-    G._cut(right.limit(0))
     return X.nearest_2d(left, right, 100.0).select("id", "rid", F.round("distance", 6).alias("distance"))
 
 
@@ -425,11 +431,11 @@ def point_in_polygon(spark, sf):
     return X.inside_polygons(cells_, spark.createDataFrame(_POLY, "poly_id int, ring_id int, vtx_id int, x double, y double"), 2.0)
 
 
-@query("""with b as (select p_partkey as id, (p_partkey * 37 % 5000)::double as x0, (p_partkey * 91 % 5000)::double as y0, (p_partkey * 37 % 5000 + p_size)::double as x1, (p_partkey * 91 % 5000 + 60 - p_size)::double as y1 from part where p_partkey < 2000)
+@query("""with b as (select p_partkey as id, (p_partkey * 37 % 5000)::double as x0, (p_partkey * 91 % 5000)::double as y0, (p_partkey * 37 % 5000 + p_size)::double as x1, (p_partkey * 91 % 5000 + 60 - p_size)::double as y1 from part)
 select a.id, b.id as b_id from b a, b where a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1""")
 def bbox_range_join(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size")
-    b = table(spark, sf, "part").where("p_partkey < 2000").select(k.alias("id"), (k * 37 % 5000).cast("double").alias("x0"), (k * 91 % 5000).cast("double").alias("y0"), (k * 37 % 5000 + s).cast("double").alias("x1"), (k * 91 % 5000 + 60 - s).cast("double").alias("y1"))
+    b = table(spark, sf, "part").select(k.alias("id"), (k * 37 % 5000).cast("double").alias("x0"), (k * 91 % 5000).cast("double").alias("y0"), (k * 37 % 5000 + s).cast("double").alias("x1"), (k * 91 % 5000 + 60 - s).cast("double").alias("y1"))
     return X.boxes_meet(b, b, 64.0).where("id < b_id")
 
 
@@ -474,10 +480,10 @@ def coalesce_fill(spark, sf):
     return rounded(G.fill(holed, reference(spark, sf)), 4, "val")
 
 
-@query("""with f as (select distinct l_orderkey as face_id, l_partkey % 3000 as vertex from lineitem where l_orderkey < 1500),
+@query("""with f as (select distinct l_orderkey as face_id, l_partkey as vertex from lineitem),
 p as (select distinct a.face_id, b.face_id as other from f a join f b using (vertex)), r as (select *, row_number() over (partition by face_id order by other desc) as k from p) select face_id, other from r where k <= 15""")
 def face_adjacency(spark, sf):
-    f = table(spark, sf, "lineitem").where("l_orderkey < 1500").select(F.col("l_orderkey").alias("face_id"), (F.col("l_partkey") % 3000).alias("vertex")).distinct()
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("face_id"), F.col("l_partkey").alias("vertex")).distinct()
     return X.face_neighbours(f)
 
 
