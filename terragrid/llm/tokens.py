@@ -110,10 +110,11 @@ class Encoder:
         """Ids of all texts on end (uint32) and where each text's begin."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        cut = np.zeros(len(buf), bool)
-        cut[1:] = _CUT[buf[1:]] & _BEFORE[buf[:-1]] | _MARK[buf[1:]] & _LETTER[buf[:-1]]
-        cut[2:] |= _CUT[buf[2:]] & (buf[1:-1] >= 0x80) & _LEAD[buf[:-2]]
-        starts = np.unique(np.concatenate([np.flatnonzero(cut), at]))
+        cut = np.zeros(len(buf) + 1, bool)
+        cut[1:-1] = _CUT[buf[1:]] & _BEFORE[buf[:-1]] | _MARK[buf[1:]] & _LETTER[buf[:-1]]
+        cut[2:-1] |= _CUT[buf[2:]] & (buf[1:-1] >= 0x80) & _LEAD[buf[:-2]]
+        cut[at] = True
+        starts = np.flatnonzero(cut)
         coded = T.pieces(buf, starts).dictionary_encode()
         codes, ids = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
