@@ -151,85 +151,120 @@ def group(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42, ho
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _word_prints(docs: DataFrame, prints: int) -> DataFrame:
-    """doc_id, content (two hashes of the whole text) and prints (SimHashes of the set of lower-cased words, one a seed)."""
-    emit = T.emitter("doc_id long, c1 long, c2 long, prints array<long>")
+def _shingles(words: T.Words, h: np.ndarray, shingle: int):
+    """The sorted hashes of each text's distinct word shingles (of all words where there are fewer; none without words)."""
+    for lo, hi in zip(words.doc[:-1], words.doc[1:]):
+        yield np.unique(T.rolling(h[lo:hi], min(shingle, hi - lo))) if hi > lo else h[:0]
+
+
+def _whole(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """set (hashes of the distinct word shingles; of all words where there are fewer) of every text, and a hash of it."""
+    emit = T.emitter("node long, set array<long>")
 
     def run(batches):
         for part in T.slices(batches):
             buf, at = T.raw(part.column("text"))
             words = T.Words(_LOWER[buf], at)
-            doc, h = T.doc_of(words.doc), words.hashes()
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[first], h[first]
-            out = np.zeros((len(part), prints), np.uint64)
-            some, starts = np.unique(doc, return_index=True)
-            n = np.diff(np.append(starts, len(doc)))
-            for p in range(prints if len(some) else 0):
-                bits = np.unpackbits(T.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-                out[some, p] = np.packbits((2 * ones > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-            whole = [xxhash.xxh3_128_intdigest(t.encode()) for t in part.column("text").to_pylist()]
-            signed = lambda v: np.array(v, np.uint64).view(np.int64)
-            yield emit({"doc_id": part.column("doc_id"), "c1": signed([w & (1 << 64) - 1 for w in whole]), "c2": signed([w >> 64 for w in whole]), "prints": list(out.view(np.int64))})
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, c1 long, c2 long, prints array<long>")
+            sets = list(_shingles(words, words.hashes(), shingle))
+            yield emit({"node": _whole(sets), "set": [s.view(np.int64) for s in sets]})
 
+    return docs.select("text").mapInArrow(run, "node long, set array<long>")
+
+
+def _common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``least`` or more of a sample of about ``sample`` texts hold, in the order of their hashes, and in how
+    many. They only shape the order in which shingles are keys, so a sample loses no pair."""
+    share = int(1e6 * sample / max(sample, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    counts = _shingle_sets(some, shingle).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    got = counts.orderBy(F.desc("n"), "s").limit(most).toArrow()
+    s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and set (hashes of the distinct word shingles; of all words where there are fewer)."""
-    emit = T.emitter("doc_id long, set array<long>")
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, node (a hash of the text's set of shingles), n (its size) and keys: its rarest shingles, so many that two
+    sets at ``similarity`` share one. The order is the same for all texts: by count in ``common``, then by hash."""
+    ddl = "doc_id long, node long, n int, keys array<long>"
+    emit, (known, counts) = T.emitter(ddl), common
 
     def run(batches):
         for part in T.slices(batches):
             buf, at = T.raw(part.column("text"))
             words = T.Words(_LOWER[buf], at)
-            h, sets = words.hashes(), []
-            for lo, hi in zip(words.doc[:-1], words.doc[1:]):
-                grams = T.rolling(h[lo:hi], shingle) if hi - lo >= shingle else T.rolling(h[lo:hi], hi - lo) if hi > lo else h[:0]
-                sets.append(np.unique(grams).view(np.int64))
-            yield emit({"doc_id": part.column("doc_id"), "set": sets})
+            sets, keys = list(_shingles(words, words.hashes(), shingle)), []
+            for s in sets:
+                first = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[i] == s, counts[i], 0)
+                keys.append(s[np.argsort(rank, kind="stable")[:first]].view(np.int64))
+            yield emit({"doc_id": part.column("doc_id"), "node": _whole(sets), "n": np.array([len(s) for s in sets], np.int32), "keys": keys})
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    return docs.mapInArrow(run, ddl)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 16, budget: int = 2, small: int = 32) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text): groups of texts whose word shingles are alike.
 
-    Equal texts are one class. Classes are linked if the Jaccard similarity of their sets of ``shingle``-word shingles
-    (A-Z lower-cased) is ``similarity`` or more. Candidates come from ``prints`` SimHashes of a text's set of words: in
-    a bucket that shares two of four segments all pairs of up to ``small`` texts are held against one another; in a
-    larger bucket every text is held against the bucket's first and last one, so that pairs grow with the texts and not
-    with the square of a group. Chains and the Hamming distance (``budget`` bits) prune them, the shingle sets decide.
-    Two texts at a similarity of just 0.8 are a candidate in about 97 of 100 cases, more alike ones in nearly all; a
-    link that only large buckets hold and that neither end of them shows is found where one of the ``prints`` parts
-    the two from the rest. Null texts count as empty; blank texts are one group. Rows stay one to one.
+    Texts with equal sets of ``shingle``-word shingles (A-Z lower-cased) are one class. Classes are linked if the Jaccard
+    similarity of their sets is ``similarity`` or more, a group is what links connect, and no link between groups is
+    left out. Two such sets share one of their rarest (1 - ``similarity``) n + 1 shingles (a prefix filter), so classes
+    meet in a bucket for each of these; sizes and the shingle's place in both prune pairs that can't be alike, and the
+    sets decide. First every class is held against the least and the greatest of its buckets. Then all pairs in a
+    bucket whose groups still differ are held against one another, in blocks of about ``block`` classes: pairs inside
+    a group add nothing, so a large group costs the square of its size only where its ends show few of its links.
+    component_id is the group's least doc_id. Blank and null texts are one group. Rows stay one to one; texts that only
+    rows without an id have link nothing.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    width, pairs = 16, list(combinations(range(4), 2))
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    masks = [signed(sum(((1 << width) - 1) << (s * width) for s in p)) for p in pairs]
-    known = scratch.save(_word_prints(docs, prints), "prints")
-    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("prints").alias("prints")).where("node is not null")
-    keys = F.flatten(F.transform("prints", lambda p, i: F.array(*[F.struct(F.xxhash64(p.bitwiseAND(F.lit(m)), i, F.lit(k)).alias("key"), p.alias("fp")) for k, m in enumerate(masks)])))
-    keyed = scratch.save(classes.select("node", F.explode(keys).alias("s")).select("s.key", "node", "s.fp"), "keys")
-    sizes = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "fp")).alias("a"), F.max(F.struct("node", "fp")).alias("b")).where("size > 1"), "sizes")
-    few = scratch.save(keyed.join(sizes.where(F.col("size") <= small).select("key"), "key", "left_semi"), "few")
-    ends = few.select("key", F.struct("node", "fp").alias("end")).union(sizes.where(F.col("size") > small).select("key", F.explode(F.array("a", "b"))))
-    u, v = F.col("fp"), F.col("end.fp")
-    near = keyed.join(ends, "key").where((F.col("node") != F.col("end.node")) & chain(u, v, budget, 4) & (F.bit_count(u.bitwiseXOR(v)) <= budget))
-    candidates = scratch.save(near.select(F.greatest("node", "end.node").alias("u"), F.least("node", "end.node").alias("v")).distinct(), "candidates")
-    scratch.drop("keys", "sizes", "few")
-    wanted = candidates.select(F.col("u").alias("doc_id")).union(candidates.select("v")).distinct()
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    sets = scratch.save(_shingle_sets(texts, shingle), "sets")
-    a, b = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    alike = candidates.join(a, "u").join(b, "v").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    roots = components(alike, scratch)
-    scratch.drop("sets", "candidates")
-    of = known.join(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), ["c1", "c2"]).select("doc_id", "node")
-    return of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    known = scratch.save(_prefixes(docs, shingle, similarity, _common_shingles(docs, shingle)), "prefixes")
+    classes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.any_value("keys").alias("keys")).where("doc_id is not null"), "classes")
+    keyed = scratch.save(classes.select("node", "n", F.posexplode("keys").alias("at", "key")), "keys")
+    held = F.struct("node", "n", "at")
+    ends = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(held).alias("first"), F.max(held).alias("last")).where("size > 1"), "ends")
+    shared = scratch.save(keyed.join(ends, "key"), "shared")
+    scratch.drop("keys", "ends")
+    a, b = F.col("a"), F.col("b")
+
+    def pairs(found: DataFrame) -> DataFrame:
+        """Distinct pairs of a and b that the sizes and a shared shingle's places leave able to be alike."""
+        low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+        most = F.least(a["at"], b["at"]) + F.least(a["n"] - a["at"], b["n"] - b["at"])
+        able = (low >= similarity * high - 1e-9) & (most * (1 + similarity) >= similarity * (low + high) - 1e-9)
+        found = found.where((a["node"] != b["node"]) & able)
+        return found.select(F.greatest(a["node"], b["node"]).alias("u"), F.least(a["node"], b["node"]).alias("v")).distinct()
+
+    def alike(candidates: DataFrame, name: str) -> DataFrame:
+        candidates = scratch.save(candidates, f"candidates_{name}")
+        wanted = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
+        texts = docs.join(classes.join(wanted, "node", "left_semi").select("doc_id"), "doc_id", "left_semi")
+        sets = scratch.save(_shingle_sets(texts, shingle).groupBy("node").agg(F.any_value("set").alias("set")), f"sets_{name}")
+        x, y = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        links = candidates.join(x, "u").join(y, "v").where(common >= similarity * (F.size("x") + F.size("y") - common))
+        links = scratch.save(links.select("u", "v"), f"links_{name}")
+        scratch.drop(f"candidates_{name}", f"sets_{name}")
+        return links
+
+    one = alike(pairs(shared.select(held.alias("a"), F.explode(F.array("first", "last")).alias("b"))), "ends")
+    roots = components(one, scratch)
+    rooted = shared.join(roots, "node", "left").select("key", "size", held.alias("held"), F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    slot = F.pmod(F.xxhash64("held.node"), F.ceil(F.col("size") / block)).alias("slot")
+    blocks = scratch.save(rooted.join(mixed, "key", "left_semi").groupBy("key", "root", slot).agg(F.collect_list("held").alias("all")), "blocks")
+    scratch.drop("shared")
+    left, right = blocks.select("key", "root", F.col("all").alias("as")), blocks.select("key", F.col("root").alias("other"), F.col("all").alias("bs"))
+    met = left.join(right, "key").where("root < other").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
+    two = alike(pairs(met), "rest")
+    roots = components(one.union(two), scratch)
+    groups = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    ids = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    return known.select("doc_id", "node").join(ids, "node", "left").select("doc_id", "component_id")

@@ -93,6 +93,38 @@ def test_near_groups_find_planted_copies(spark):
     assert simhash.near_groups(edge(spark).limit(0)).count() == 0
 
 
+def brute_near(rows, similarity=0.8, k=5):
+    """The least id each text reaches over links of ``similarity`` or more, all pairs compared."""
+    words = {i: t.lower().split() for i, t in rows}
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, w in words.items()}
+    ids, up = sorted(sets), {}
+    find = lambda x: x if up.get(x, x) == x else find(up[x])
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("variants", [100, 1000])
+def test_near_groups_keep_every_link_of_a_hub(spark, variants):
+    """Variants that are alike to a hub in the middle of the ids, mostly not to one another, and have its words."""
+    rng = np.random.default_rng(variants)
+    hub = [f"w{i}" for i in rng.choice(50_000, 200)]
+    rows = []
+    for k in range(variants + 1):
+        t = list(hub)
+        if k != variants // 2:
+            for at in rng.choice(np.arange(6, 190, 8), 3, replace=False):
+                t[at], t[at + 1] = t[at + 1], t[at]
+        rows.append((k, " ".join(t)))
+    want = brute_near(rows)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(edge(spark, rows)).collect()} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t'abcZé٣ß.,-1  ΣΏ<|>", max_size=40), max_size=6))
 def test_encoder_equals_the_library(texts):
