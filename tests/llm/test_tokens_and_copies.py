@@ -125,6 +125,22 @@ def test_near_groups_keep_every_link_of_a_hub(spark, variants):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(edge(spark, rows)).collect()} == want
 
 
+def test_near_groups_find_block_edits(spark):
+    """A tail replaced or cut, a block inside replaced, scattered words: all groups that all pairs give."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        base = [f"w{i}" for i in rng.choice(5000, 300)]
+        new = [f"n{i}" for i in rng.choice(5000, 300)]
+        at = int(rng.integers(20, 250))
+        scattered = [new[i] if i in (40, 150, 260) else w for i, w in enumerate(base)]
+        for t in (base, base[:276] + new[:24], base[:255], base[:at] + new[:15] + base[at + 15 :], base[:200] + new[:100], scattered):
+            rows.append((len(rows), " ".join(t)))
+    want = brute_near(rows)
+    assert len(set(want.values())) == 120  # a third replaced is no copy
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(edge(spark, rows)).collect()} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t'abcZé٣ß.,-1  ΣΏ<|>", max_size=40), max_size=6))
 def test_encoder_equals_the_library(texts):
