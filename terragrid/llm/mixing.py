@@ -14,13 +14,12 @@ def _uniform(seed: int, *cols) -> F.Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float = 1.0, alpha: float = 0.5, most: float = 64.0) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float = 1.0, alpha: float = 0.5) -> DataFrame:
     """Mean repetition rate of each source.
 
     With n rows in all, a source with the share w of the target and m rows gets the rate epochs * n * w / m. Without
     weights the target share is m ** alpha, normalised (a temperature). A source that the weights don't name gets 0;
-    named sources that no row has don't count. One row a source, a null source is its own source. Rates over ``most``
-    raise: such a source has too few documents for its weight.
+    named sources that no row has don't count. One row a source, a null source is its own source.
     """
     by = docs.groupBy("source").agg(F.count(F.lit(1)).alias("m"))
     if weights is None:
@@ -32,7 +31,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float = 1.0
     every = Window.partitionBy()  # over one row a source
     by = by.select("source", "m", F.sum("m").over(every).alias("all_m"), target.alias("w"), F.sum(target).over(every).alias("all_w"))
     rate = F.when(F.col("all_w") > 0, F.col("all_m") * F.col("w") / F.col("all_w") / F.col("m") * epochs).otherwise(0.0)
-    return by.select("source", F.when(rate <= most, rate).otherwise(F.raise_error(F.lit(f"a source's rate is over {most}"))).alias("rate"))
+    return by.select("source", rate.alias("rate"))
 
 
 def terms(most: float) -> int:
@@ -40,14 +39,26 @@ def terms(most: float) -> int:
     return int(most + 12 * math.sqrt(most) + 30)
 
 
-def _distribution(rate, n: int) -> F.Column:
-    """The Poisson distribution function at 0, 1, ... n - 1 as an array, its terms summed upward."""
-    first = F.exp(-rate)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(n - 1)),
+def _distribution(rate, most: float) -> tuple[F.Column, F.Column]:
+    """The Poisson distribution function at k, k + 1, ... as an array, its terms summed upward, and the first k.
+
+    k is 0 up to a mean of 400; past that exp(-mean) nears the least double, so the sum begins 12 standard deviations
+    and 30 below the mean (all before adds up to less than exp(-70)), with Stirling's series for the factorial. The
+    array ends as far above the mean, or above ``most`` if that is more.
+    """
+    k = F.when(rate > 400, F.floor(rate - 12 * F.sqrt(rate) - 30)).otherwise(0).cast("int")
+    x = k.cast("double")
+    rest = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    start = F.exp(-rest - (x * F.log(x / rate) + rate - x) - F.log(2 * math.pi * x) / 2)
+    first = F.when(rate > 400, start).otherwise(F.exp(-rate))
+    top = F.greatest(rate, F.lit(float(most)))
+    end = F.floor(top + 12 * F.sqrt(top) + 30).cast("int")
+    cdf = F.aggregate(
+        F.sequence(k + 1, end - 1),
         F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all")),
         lambda s, i: F.struct((s.p * rate / i).alias("p"), (s.c + s.p * rate / i).alias("c"), F.array_append(s["all"], s.c + s.p * rate / i).alias("all")),
     )["all"]
+    return cdf, k
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 20240, alpha: float = 0.5, most: float = 64.0, broadcast_sources: int = 10_000) -> DataFrame:
@@ -56,17 +67,19 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     Returns the columns of ``docs`` (which needs doc_id and source; other columns may have any name but those added)
     with copy (from 0), mix_copies, mix_rate and mix_key. The number is inverted from a hash of seed and doc_id, so a
     rerun or a lost executor repeats it: it is the smallest k whose distribution function exceeds the hash. Equal
-    doc_ids get equal numbers. A null source is a source of its own, a null id hashes as an empty text. The order:
+    doc_ids get equal numbers. A rate may be any size: the distribution's terms follow it, ``most`` is only the mean up
+    to which all sources have the same number of them. A null source is a source of its own, a null id hashes as an empty text. The order:
     rows are dealt to partitions by the hash mix_key and sorted by it there, so a hot source is spread evenly. The
     table of rates is broadcast up to ``broadcast_sources`` sources (counted first), else joined by source. An empty
     table gives an empty one.
     """
-    by = rates(docs, weights, epochs, alpha, most)
+    by = rates(docs, weights, epochs, alpha)
     few = docs.select("source").distinct().count() <= broadcast_sources
-    by = by.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), _distribution(F.col("rate"), terms(most)).alias("_cdf"))
+    cdf, start = _distribution(F.col("rate"), most)
+    by = by.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), cdf.alias("_cdf"), start.alias("_start"))
     counted = docs.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     counted = counted.withColumn("_u", _uniform(seed, F.col("doc_id")))
-    counted = counted.withColumn("mix_copies", F.when(F.col("mix_rate") > 0, F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0)).drop("_cdf", "_u")
+    counted = counted.withColumn("mix_copies", F.when(F.col("mix_rate") > 0, F.col("_start") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0)).drop("_cdf", "_start", "_u")
     copies = counted.where("mix_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     return copies.withColumn("mix_key", _uniform(seed + 1, F.col("doc_id"), F.col("copy"))).repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -87,6 +88,27 @@ def test_mixing_matches_sql_and_target(spark):
         mixing.replicate(docs, {"a": -1.0})
 
 
+def test_mixing_of_rare_sources(spark):
+    """One row beside 200,000 (a mean near 100), and means far past where exp(-mean) is zero."""
+    docs = spark.range(200_001).selectExpr("id doc_id", "if(id = 200000, null, concat('s', id % 20)) source")
+    got = sorted(map(tuple, mixing.replicate(docs).where("source is null").select("doc_id", "copy", "mix_copies", "mix_key").collect()))
+    db = duckdb.connect()
+    db.sql("create view documents as select range doc_id, if(range = 200000, null, 's' || (range % 20)) source from range(200001)")
+    want = sorted(db.sql(f"select * from ({mixing.sql('documents', 20240, 0.5, 256.0, 'doc_id, copy, mix_copies, mix_key, source')}) where source is null").fetchall())
+    assert len(got) > 64 and got == [r[:4] for r in want]
+    unit = lambda i: int(hashlib.md5(f"20240|{i}".encode()).hexdigest()[:13], 16) / 2**52
+    for mean in (390.0, 410.0, 5000.0):
+        few = spark.createDataFrame([(i, "r") for i in range(20)], "doc_id long, source string")
+        n = {r.doc_id: r.mix_copies for r in mixing.replicate(few, {"r": 1.0}, epochs=mean).select("doc_id", "mix_copies").distinct().collect()}
+        total, k, at = 0.0, -1, {}
+        for i in sorted(range(20), key=unit):
+            while total <= unit(i):
+                k += 1
+                total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+            at[i] = k
+        assert n == at
+
+
 def jaccard(a, b):
     x, y = (collections.Counter(WORD.findall(t)) if WORD.findall(t) else collections.Counter([""]) for t in (a, b))
     return sum(min(x[k], y[k]) for k in x | y) / sum(max(x[k], y[k]) for k in x | y)
