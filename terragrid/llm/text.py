@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, binary: bool = False) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most ``most`` bytes of text each; a longer text stands alone. Null texts become empty."""
     for batch in batches:
@@ -28,6 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(start + 1, int(np.searchsorted(size, most + (size[start - 1] if start else 0), "right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

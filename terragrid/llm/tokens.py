@@ -55,22 +55,24 @@ class Encoder:
     Both public vocabularies first split texts with a pattern that always splits where a visible character meets white
     space and where a letter meets a mark. So texts may be cut before a space or newline that follows a visible ASCII
     character or a two-byte letter, and before an ASCII mark that follows an ASCII letter; the pieces' ids on end are
-    the text's. Special tokens' strings are ordinary text. The last ``most`` / 2 to ``most`` pieces are remembered.
+    the text's. As in the library, a special token's string in a text is that token: texts are cut around it first.
+    The pieces seen last are remembered, in ``most`` bytes or less.
     """
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 1_600_000):
+    def __init__(self, path: str, most: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))) or b"(?!)")
         self.word = _whole_word(self.tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -80,9 +82,9 @@ class Encoder:
         return cls._open[path]
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.most // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        if self.held > self.most // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older, was = self.known, self.older, len(self.known)
         new = []
         for p in pieces:
             if p not in known:
@@ -104,6 +106,8 @@ class Encoder:
             some = rest[lo : lo + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
                 known[p] = np.array(e.ids, self.dtype).tobytes()
+        # an entry takes its slot and two small byte strings, long ones their length
+        self.held += 200 * (len(known) - was) + 2 * sum(len(p) for p in new if len(p) > 64)
         return [known[p] for p in pieces]
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +117,10 @@ class Encoder:
         cut = np.zeros(len(buf) + 1, bool)
         cut[1:-1] = _CUT[buf[1:]] & _BEFORE[buf[:-1]] | _MARK[buf[1:]] & _LETTER[buf[:-1]]
         cut[2:-1] |= _CUT[buf[2:]] & (buf[1:-1] >= 0x80) & _LEAD[buf[:-2]]
+        for m in self.special.finditer(buf):
+            a, b = m.span()
+            if np.searchsorted(at, a, "right") == np.searchsorted(at, b - 1, "right"):
+                cut[a + 1 : b], cut[[a, b]] = False, True
         cut[at] = True
         starts = np.flatnonzero(cut)
         coded = T.pieces(buf, starts).dictionary_encode()
