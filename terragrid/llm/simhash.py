@@ -5,7 +5,9 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,18 +163,23 @@ def _whole(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
 
+def _sets_of(part, shingle: int) -> list[np.ndarray]:
+    buf, at = T.raw(part.column("text"))
+    words = T.Words(_LOWER[buf], at)
+    return list(_shingles(words, words.hashes(), shingle))
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """set (hashes of the distinct word shingles; of all words where there are fewer) of every text, and a hash of it."""
-    emit = T.emitter("node long, set array<long>")
+    """set (sorted hashes of the distinct word shingles, 8 bytes each; of all words where there are fewer) of every
+    text, and a hash of it."""
+    emit = T.emitter("node long, set binary")
 
     def run(batches):
         for part in T.slices(batches):
-            buf, at = T.raw(part.column("text"))
-            words = T.Words(_LOWER[buf], at)
-            sets = list(_shingles(words, words.hashes(), shingle))
-            yield emit({"node": _whole(sets), "set": [s.view(np.int64) for s in sets]})
+            sets = _sets_of(part, shingle)
+            yield emit({"node": _whole(sets), "set": [s.tobytes() for s in sets]})
 
-    return docs.select("text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("text").mapInArrow(run, "node long, set binary")
 
 
 def _common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -180,59 +187,153 @@ def _common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, least:
     many. They only shape the order in which shingles are keys, so a sample loses no pair."""
     share = int(1e6 * sample / max(sample, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    counts = _shingle_sets(some, shingle).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    emit = T.emitter("s long, n long")
+
+    def run(batches):
+        for part in T.slices(batches, most=8 << 20):
+            sets = _sets_of(part, shingle)
+            s, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield emit({"s": s.view(np.int64), "n": n})
+
+    counts = some.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = counts.orderBy(F.desc("n"), "s").limit(most).toArrow()
     s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of 8 to len(s) / 2 segments (a power of two of them), a byte each."""
+    bits = max(3, len(s).bit_length() - 2)
+    return np.minimum(np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def within(a: bytes, b: bytes, budget: float, chain: int = 8) -> bool:
+    """Pigeonring filter on two sketches: whether the sets may differ in ``budget`` elements or fewer.
+
+    A set difference shows as differences of the segments' counts, never the other way round. If all segments' add up
+    to no more than the budget, then from some segment on the ring's next 1, 2, ... ``chain`` parts (of equally many
+    segments) add up to no more than their share of it; pairs without such a chain go before the whole sum is taken.
+    Segments with 255 or more elements decide nothing.
+    """
+    x, y = np.frombuffer(a, np.uint8).astype(np.int16), np.frombuffer(b, np.uint8).astype(np.int16)
+    n = min(len(x), len(y))
+    full = (x.reshape(-1, n) == 255).any(axis=0) | (y.reshape(-1, n) == 255).any(axis=0)
+    d = np.where(full, 0, np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0)))
+    parts = d.reshape(chain, -1).sum(axis=1)
+    sums = np.cumsum(np.concatenate([parts, parts]))
+    runs = np.stack([sums[k : k + chain] - np.concatenate([[0], sums])[:chain] for k in range(chain)])
+    ok = (runs <= budget * np.arange(1, chain + 1)[:, None] / chain + 1e-9).all(axis=0).any()
+    return bool(ok) and d.sum() <= budget + 1e-9
+
+
 def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, node (a hash of the text's set of shingles), n (its size) and keys: its rarest shingles, so many that two
-    sets at ``similarity`` share one. The order is the same for all texts: by count in ``common``, then by hash."""
-    ddl = "doc_id long, node long, n int, keys array<long>"
+    """doc_id, node (a hash of the text's set of shingles), n (its size), sketch and keys (8 bytes each): its rarest
+    shingles, so many that two sets at ``similarity`` share one. The order is the same for all texts: by count in
+    ``common``, then by hash."""
+    ddl = "doc_id long, node long, n int, sketch binary, keys binary"
     emit, (known, counts) = T.emitter(ddl), common
 
     def run(batches):
         for part in T.slices(batches):
-            buf, at = T.raw(part.column("text"))
-            words = T.Words(_LOWER[buf], at)
-            sets, keys = list(_shingles(words, words.hashes(), shingle)), []
+            sets, keys = _sets_of(part, shingle), []
             for s in sets:
                 first = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
                 rank = np.zeros(len(s), np.int64)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[i] == s, counts[i], 0)
-                keys.append(s[np.argsort(rank, kind="stable")[:first]].view(np.int64))
-            yield emit({"doc_id": part.column("doc_id"), "node": _whole(sets), "n": np.array([len(s) for s in sets], np.int32), "keys": keys})
+                keys.append(s[np.argsort(rank, kind="stable")[:first]].tobytes())
+            yield emit({"doc_id": part.column("doc_id"), "node": _whole(sets), "n": np.array([len(s) for s in sets], np.int32), "sketch": [_sketch(s) for s in sets], "keys": keys})
 
     return docs.mapInArrow(run, ddl)
 
 
+def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000, shard_keys: int = 2_000_000) -> DataFrame:
+    """key, node, n and at (the key's place) of the keys that two or more of ``classes`` (node, n, keys) have.
+
+    Most keys are one text's alone. So classes travel as blocks of about ``block_keys`` keys; each block sends each of
+    its keys once to the key's shard, the shards send back those seen twice, and only these become rows.
+    """
+    ddl = "block long, nodes binary, sizes binary, counts binary, keys binary"
+    emit = T.emitter(ddl)
+
+    def gather(batches):
+        part, number, held, rows = TaskContext.get().partitionId(), 0, 0, []
+
+        def flush():
+            nodes, sizes, keys = zip(*rows)
+            return emit({"block": [part << 32 | number], "nodes": [np.array(nodes, "<i8").tobytes()], "sizes": [np.array(sizes, "<i4").tobytes()], "counts": [np.array([len(k) // 8 for k in keys], "<i4").tobytes()], "keys": [b"".join(keys)]})
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "keys"))):
+                rows.append(row)
+                held += len(row[2]) // 8
+                if held >= block_keys:
+                    yield flush()
+                    number, held, rows = number + 1, 0, []
+        if rows:
+            yield flush()
+
+    blocks = scratch.save(classes.select("node", "n", "keys").mapInArrow(gather, ddl), "blocks")
+    total = blocks.agg(F.sum(F.octet_length("keys"))).head()[0] or 0
+    shards = max(1, total // 8 // shard_keys)
+    sent, back, out = T.emitter("shard int, block long, keys binary, twice binary"), T.emitter("block long, keys binary"), T.emitter("key long, node long, n int, at int")
+
+    def send(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("keys").to_pylist()):
+                keys, n = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
+                # shards are ranges of keys
+                cuts = np.searchsorted(keys >> np.uint64(32), (np.arange(shards + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(shards))
+                spans = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                yield sent({"shard": [s for s, _, _ in spans], "block": [block] * len(spans), "keys": [keys[a:b].tobytes() for _, a, b in spans], "twice": [keys[a:b][n[a:b] > 1].tobytes() for _, a, b in spans]})
+
+    def reply(table: pa.Table) -> pa.Table:
+        all_keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        keys, n = np.unique(np.concatenate([*all_keys, *(np.frombuffer(k, "<u8") for k in table.column("twice").to_pylist())]), return_counts=True)
+        keys = keys[n > 1]
+        got = [k[np.isin(k, keys, assume_unique=True)].tobytes() for k in all_keys]
+        return pa.Table.from_batches([back({"block": table.column("block").combine_chunks(), "keys": got})])
+
+    def expand(batches):
+        for batch in batches:
+            for nodes, sizes, counts, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("nodes", "sizes", "counts", "keys", "wanted"))):
+                keys, counts = np.frombuffer(data, "<u8"), np.frombuffer(counts, "<i4")
+                hit = np.flatnonzero(np.isin(keys, np.frombuffer(b"".join(wanted), "<u8")))
+                of = np.repeat(np.arange(len(counts)), counts)[hit]
+                first = np.cumsum(counts) - counts
+                yield out({"key": keys[hit].view(np.int64), "node": np.frombuffer(nodes, "<i8")[of], "n": np.frombuffer(sizes, "<i4")[of], "at": (hit - first[of]).astype(np.int32)})
+
+    repeated = blocks.select("block", "keys").mapInArrow(send, "shard int, block long, keys binary, twice binary").groupBy("shard").applyInArrow(reply, "block long, keys binary")
+    repeated = repeated.where("octet_length(keys) > 0").groupBy("block").agg(F.collect_list("keys").alias("wanted"))
+    shared = scratch.save(blocks.join(repeated, "block").drop("block").mapInArrow(expand, "key long, node long, n int, at int"), "shared")
+    scratch.drop("blocks")
+    return shared
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text): groups of texts whose word shingles are alike.
 
     Texts with equal sets of ``shingle``-word shingles (A-Z lower-cased) are one class. Classes are linked if the Jaccard
     similarity of their sets is ``similarity`` or more, a group is what links connect, and no link between groups is
     left out. Two such sets share one of their rarest (1 - ``similarity``) n + 1 shingles (a prefix filter), so classes
-    meet in a bucket for each of these; sizes and the shingle's place in both prune pairs that can't be alike, and the
-    sets decide. First every class is held against the least and the greatest of its buckets. Then all pairs in a
-    bucket whose groups still differ are held against one another, in blocks of about ``block`` classes: pairs inside
-    a group add nothing, so a large group costs the square of its size only where its ends show few of its links.
-    component_id is the group's least doc_id. Blank and null texts are one group. Rows stay one to one; texts that only
-    rows without an id have link nothing.
+    meet in a bucket for each of these; sizes, the shingle's place in both and then the pigeonring filter over counts of
+    shingles by segment prune pairs that can't be alike, and the sets decide. First every class is held against the
+    least and the greatest of its buckets. Then all pairs in a bucket whose groups still differ are held against one
+    another, in blocks of about ``block`` classes: pairs inside a group add nothing, so a large group costs the square
+    of its size only where its ends show few of its links. component_id is the group's least doc_id. Blank and null
+    texts are one group. Rows stay one to one; texts that only rows without an id have link nothing.
     """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     known = scratch.save(_prefixes(docs, shingle, similarity, _common_shingles(docs, shingle)), "prefixes")
-    classes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.any_value("keys").alias("keys")).where("doc_id is not null"), "classes")
-    keyed = scratch.save(classes.select("node", "n", F.posexplode("keys").alias("at", "key")), "keys")
+    classes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).where("doc_id is not null"), "classes")
+    shared = _shared_keys(known.join(classes.select("node", "doc_id"), ["node", "doc_id"], "left_semi"), scratch)
     held = F.struct("node", "n", "at")
-    ends = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(held).alias("first"), F.max(held).alias("last")).where("size > 1"), "ends")
-    shared = scratch.save(keyed.join(ends, "key"), "shared")
-    scratch.drop("keys", "ends")
+    ends = scratch.save(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(held).alias("first"), F.max(held).alias("last")).where("first.node < last.node"), "ends")
     a, b = F.col("a"), F.col("b")
+    sketches = known.select("node", "n", "sketch")
 
     def pairs(found: DataFrame) -> DataFrame:
         """Distinct pairs of a and b that the sizes and a shared shingle's places leave able to be alike."""
@@ -242,28 +343,57 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
         found = found.where((a["node"] != b["node"]) & able)
         return found.select(F.greatest(a["node"], b["node"]).alias("u"), F.least(a["node"], b["node"]).alias("v")).distinct()
 
+    def with_both(candidates: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        """u, v and the ``column`` of both."""
+        x, y = of.select(F.col("node").alias("u"), F.col(column).alias("x")), of.select(F.col("node").alias("v"), F.col(column).alias("y"))
+        return candidates.join(x, "u").join(y, "v")
+
+    def keep(emit, test):
+        def run(batches):
+            for batch in batches:
+                hit = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+                hit = batch.filter(pa.array(hit, pa.bool_()))
+                yield emit({"u": hit.column("u"), "v": hit.column("v")})
+
+        return run
+
+    link = "u long, v long"
+    emit_link = T.emitter(link)
+
+    def near(x: bytes, y: bytes) -> bool:
+        n, m = len(x) // 8, len(y) // 8
+        both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+        return both >= similarity * (n + m - both)
+
+    def may_be_near(x: tuple, y: tuple) -> bool:
+        return within(x["sketch"], y["sketch"], (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]))
+
+    def nodes_of(links: DataFrame) -> DataFrame:
+        return links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+
     def alike(candidates: DataFrame, name: str) -> DataFrame:
         candidates = scratch.save(candidates, f"candidates_{name}")
-        wanted = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-        texts = docs.join(classes.join(wanted, "node", "left_semi").select("doc_id"), "doc_id", "left_semi")
-        sets = scratch.save(_shingle_sets(texts, shingle).groupBy("node").agg(F.any_value("set").alias("set")), f"sets_{name}")
-        x, y = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        links = candidates.join(x, "u").join(y, "v").where(common >= similarity * (F.size("x") + F.size("y") - common))
-        links = scratch.save(links.select("u", "v"), f"links_{name}")
-        scratch.drop(f"candidates_{name}", f"sets_{name}")
+        some = scratch.save(sketches.join(nodes_of(candidates), "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "sketch")).alias("about")), f"sketches_{name}")
+        candidates = scratch.save(with_both(candidates, some, "about").mapInArrow(keep(emit_link, may_be_near), link), f"pruned_{name}")
+        scratch.drop(f"candidates_{name}", f"sketches_{name}")
+        texts = docs.join(classes.join(nodes_of(candidates), "node", "left_semi").select("doc_id"), "doc_id", "left_semi")
+        sets = scratch.save(_shingle_sets(texts, shingle).groupBy("node").agg(F.first("set").alias("set")), f"sets_{name}")
+        links = scratch.save(with_both(candidates, sets, "set").mapInArrow(keep(emit_link, near), link), f"links_{name}")
+        scratch.drop(f"pruned_{name}", f"sets_{name}")
         return links
 
-    one = alike(pairs(shared.select(held.alias("a"), F.explode(F.array("first", "last")).alias("b"))), "ends")
+    keyed = shared.join(ends, "key")
+    one = alike(pairs(keyed.select(held.alias("a"), F.explode(F.array("first", "last")).alias("b"))), "ends")
     roots = components(one, scratch)
-    rooted = shared.join(roots, "node", "left").select("key", "size", held.alias("held"), F.coalesce("root", "node").alias("root"))
+    rooted = keyed.join(roots, "node", "left").select("key", "size", held.alias("held"), F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     slot = F.pmod(F.xxhash64("held.node"), F.ceil(F.col("size") / block)).alias("slot")
-    blocks = scratch.save(rooted.join(mixed, "key", "left_semi").groupBy("key", "root", slot).agg(F.collect_list("held").alias("all")), "blocks")
-    scratch.drop("shared")
+    blocks = scratch.save(rooted.join(mixed, "key", "left_semi").groupBy("key", "root", slot).agg(F.collect_list("held").alias("all")), "buckets")
+    scratch.drop("shared", "ends")
     left, right = blocks.select("key", "root", F.col("all").alias("as")), blocks.select("key", F.col("root").alias("other"), F.col("all").alias("bs"))
     met = left.join(right, "key").where("root < other").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
     two = alike(pairs(met), "rest")
+    scratch.drop("buckets")
     roots = components(one.union(two), scratch)
     groups = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")

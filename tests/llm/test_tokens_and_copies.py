@@ -93,6 +93,18 @@ def test_near_groups_find_planted_copies(spark):
     assert simhash.near_groups(edge(spark).limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 400), st.integers(0, 60), st.integers(0, 60))
+def test_pigeonring_filter_drops_no_pair_within_budget(seed, both, left, right):
+    """Sets that differ in ``left`` + ``right`` hashes pass at that budget, also if their sketches differ in length."""
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 1 << 63, both + left + right + 1, dtype=np.uint64))
+    x, y = h[: both + left + 1], np.concatenate([h[: both + 1], h[both + left + 1 :]])
+    assert simhash.within(simhash._sketch(x), simhash._sketch(y), len(np.setxor1d(x, y)))
+    far = np.unique(rng.integers(0, 1 << 63, len(x) + 200, dtype=np.uint64))
+    assert not simhash.within(simhash._sketch(h), simhash._sketch(far), 1)
+
+
 def brute_near(rows, similarity=0.8, k=5):
     """The least id each text reaches over links of ``similarity`` or more, all pairs compared."""
     words = {i: t.lower().split() for i, t in rows}
