@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,61 +19,68 @@ _MAGIC = b"RPS1"
 _STEP = 1024
 
 
-def _replace(seq: np.ndarray, bins: int, least: int, most: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round: up to ``most`` pairs that stand ``least`` times or more, replaced from the left; the new sequence and
-    the pairs (an n x 2 array) in the order of their nonterminals from ``base`` on."""
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15 + 2 * base)) >> np.uint64(64 - bins)).astype(np.int64)
-    count = np.bincount(slot, minlength=1 << bins)
-    often = np.flatnonzero(count[slot] >= least)
-    # one pair stands for a slot; pairs that share a slot with it wait for a later round's other hash
-    owner = np.zeros(1 << bins, np.uint64)
-    owner[slot[often]] = key[often]
-    own = often[owner[slot[often]] == key[often]]
-    exact = np.bincount(slot[own], minlength=1 << bins)
-    chosen = np.flatnonzero(exact >= least)
-    if len(chosen) > most:
-        chosen = np.sort(chosen[np.argpartition(-exact[chosen], most)[:most]])
-    rule = np.full(1 << bins, -1, np.int64)
-    rule[chosen] = np.arange(len(chosen))
-    hit = own[rule[slot[own]] >= 0]
+def _replace(seq: np.ndarray, at: np.ndarray, least: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: the pairs that begin at the places ``at`` are counted, those counted ``least`` times or more replaced.
+
+    Returns the new sequence, the replaced pairs (n x 2) in the order of their nonterminals from ``base`` on, and the
+    places to look at in the next round. Where chosen pairs overlap, the more frequent one goes first.
+    """
+    none = seq, np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
+    code, pairs = pd.factorize(seq[at] << 32 | seq[at + 1])
+    count = np.bincount(code, minlength=len(pairs))
+    # of a run of one pair (the same id again and again) the first, third, ... count
+    run = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(code) != 0))) if len(at) else np.zeros(0, np.int64)
+    apart = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+    count = np.bincount(code[apart], minlength=len(pairs)) if not apart.all() else count
+    hit = np.flatnonzero(apart & (count[code] >= least))
     if not len(hit):
-        return seq, np.zeros((0, 2), np.uint32)
-    # of overlapping hits the first, third, ... of a run count
-    run = np.flatnonzero(np.append(True, np.diff(hit) > 1))
-    odd = (hit - hit[np.repeat(run, np.diff(np.append(run, len(hit))))]) % 2
-    hit = hit[odd == 0]
-    out = seq.copy()
-    out[hit] = base + rule[slot[hit]]
-    keep = np.ones(len(seq), bool)
-    keep[hit + 1] = False
-    pairs = owner[chosen]
-    return out[keep], np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
-
-
-def compress(ids: np.ndarray, first: np.ndarray, doc_ids: list, rounds: int = 10, least: int = 8, most: int = 8192) -> bytes:
+        return none
+    # pairs counted equally often rank in a mixed order, so that of a long repeated passage many win in one round
+    mixed = np.random.default_rng(0).permutation(len(pairs))
+    place, rank = at[hit], count[code[hit]] * len(pairs) + mixed[code[hit]]
+    beside = np.diff(place) == 1
+    wins = np.ones(len(hit), bool)
+    wins[1:] &= ~beside | (rank[1:] > rank[:-1])
+    wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+    wins &= np.bincount(code[hit[wins]], minlength=len(pairs))[code[hit]] >= least
+    chosen, rule = np.unique(code[hit[wins]], return_inverse=True)
+    place, lost = place[wins], place[~wins]
+    out, keep = seq.copy(), np.ones(len(seq), bool)
+    out[place] = base + rule
+    keep[place + 1] = False
+    # next: pairs with a new nonterminal in them, and those that lost their place to another
+    again = np.zeros(len(seq) + 1, bool)
+    again[place], again[lost] = True, True
+    again[place[place > 0] - 1] = True
+    gone = np.flatnonzero(again[:-1] & ~keep)  # the pair before a replaced one begins at a nonterminal now
+    again[gone - 1] = True
+    out, again = out[keep], np.flatnonzero(again[:-1][keep])
+    pairs = pairs[chosen]
+    return out, np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF]).astype(np.uint32), again[again < len(out) - 1]
+
+
+def compress(ids: np.ndarray, first: np.ndarray, doc_ids: list, least: int = 8) -> bytes:
     """One shard: documents ``doc_ids`` (None allowed) begin at ``first`` (one more entry: the end) in ``ids``.
 
+    Rounds replace all pairs that stand ``least`` times or more till none is left; a rule takes 12 bytes and an
+    occurrence saves two or three, so rarer pairs would make the shard larger (2: Re-Pair to the end). After a round
+    only pairs that it made or pushed aside can be frequent, so only these are counted again, exactly.
+
     Layout, little-endian: magic, eight counts, then document ids and starts (int64) and which ids are null, rules (two
     uint32 each, a rule's number is the terminals' count plus its place), rules of each round (uint32), expansion
     lengths of the rules (uint32), the sum of expansions before every 1024th symbol (int64), the symbols' low 16 bits
     (uint16) and their higher bits (packed).
     """
     base = terminals = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules, per_round, size = ids.astype(np.int64), [], [], np.ones(terminals, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        was = len(seq)
-        seq, pairs = _replace(seq, 20 if was > 1 << 17 else 16, least, most, base)
-        if not len(pairs):
-            break
-        rules.append(pairs)
-        per_round.append(len(pairs))
-        size = np.append(size, size[pairs[:, 0]] + size[pairs[:, 1]])
-        base += len(pairs)
-        if was - len(seq) < 0.005 * was:
-            break
+    seq, rules, per_round, sizes = ids.astype(np.int64), [], [], [np.ones(terminals, np.int64)]
+    at, size = np.arange(max(0, len(seq) - 1)), sizes[0]
+    while len(at):
+        seq, pairs, at = _replace(seq, at, least, base)
+        if len(pairs):
+            rules.append(pairs)
+            per_round.append(len(pairs))
+            size = np.append(size, size[pairs[:, 0]] + size[pairs[:, 1]])
+            base += len(pairs)
     reach = np.concatenate([[0], np.cumsum(size[seq])])[::_STEP] if len(seq) else np.zeros(1, np.int64)
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     high = max(0, (base - 1).bit_length() - 16) if base else 0
@@ -107,17 +115,22 @@ class Shard:
         self.symbols = low + (top << (16 + np.arange(high))).sum(axis=1)
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        start = self.terminals + np.concatenate([[0], np.cumsum(self.rounds)])
-        for a in start[:-1][::-1]:
-            made = seq >= a
-            where = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(made)[:-1]]) if len(seq) else np.zeros(0, np.int64)
-            out = np.empty(len(seq) + int(made.sum()), np.int64)
-            out[where[~made]] = seq[~made]
+        while (made := seq >= self.terminals).any():
+            n = 1 + made
+            out = np.repeat(seq, n)
+            end = np.cumsum(n)[made]
             pair = self.rules[seq[made] - self.terminals]
-            out[where[made]], out[where[made] + 1] = pair[:, 0], pair[:, 1]
+            out[end - 2], out[end - 1] = pair[:, 0], pair[:, 1]
             seq = out
         return seq
 
+    def whole(self) -> np.ndarray:
+        """All ids: each rule is expanded once."""
+        rules = np.arange(self.terminals, self.terminals + len(self.rules))
+        flat, n = np.concatenate([np.arange(self.terminals), self._expand(rules)]), self.size[self.symbols]
+        start, end = np.cumsum(self.size) - self.size, np.cumsum(n)
+        return flat[np.repeat(start[self.symbols] - (end - n), n) + np.arange(self.n)].astype(np.uint32)
+
     def ids(self, a: int, b: int) -> np.ndarray:
         """The ids from a up to b of the shard."""
         if a >= b:
@@ -136,7 +149,7 @@ class Shard:
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = 1 << 20) -> DataFrame:
     """Shards (part, shard, n_ids, payload) of the documents' ids in ascending order of doc_id, texts of one id in
-    order, null ids first. A document is its text's ids and ``end_id``; a null text is empty. Documents are dealt by
+    the order of their hashes, null ids first. A document is its text's ids and ``end_id``; a null text is empty. Documents are dealt by
     ranges of ids, which shuffles the texts once; a shard takes whole documents of one range until it has
     ``shard_ids``."""
     spark = docs.sparkSession
@@ -163,7 +176,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = 1 << 20
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("mixed", F.xxhash64("text"))
+    # rows of one id (or none) spread over ranges by their texts' hashes
+    ordered = ordered.repartitionByRange(parts, "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, ddl)
 
 
@@ -176,7 +191,7 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, shard, data in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "payload"))):
                 s = Shard(data)
-                n, whole = np.diff(s.first), s.ids(0, s.n).astype("<u4")
+                n, whole = np.diff(s.first), s.whole().astype("<u4")
                 crc = [zlib.crc32(whole[a:b]) for a, b in zip(s.first[:-1], s.first[1:])]
                 yield emit({"part": [part] * len(n), "shard": [shard] * len(n), "doc_id": s.doc_ids, "first": s.first[:-1], "n_tokens": n, "ids_crc32": crc})
 

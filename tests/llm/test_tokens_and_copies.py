@@ -239,6 +239,19 @@ def test_shards_decode_any_range(docs, data):
     assert shard.ids(a, b).tolist() == ids[a:b].tolist()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=300), st.integers(1, 9), st.integers(2, 9))
+def test_repair_leaves_no_frequent_pair(some, copies, least):
+    """Round trip, random access, and counted afresh no pair stands ``least`` times apart from overlaps in a run."""
+    ids = np.array(some * copies, np.uint32)
+    shard = repair.Shard(repair.compress(ids, np.array([0, len(ids)]), [1], least=least))
+    assert (shard.whole() == ids).all()
+    a, b = len(ids) // 3, 2 * len(ids) // 3
+    assert (shard.ids(a, b) == ids[a:b]).all()
+    pairs = collections.Counter(p for p in zip(shard.symbols[:-1].tolist(), shard.symbols[1:].tolist()) if p[0] != p[1])
+    assert all(n < least for n in pairs.values())
+
+
 def test_repair_compresses_and_handles_edges(spark):
     ids = np.tile(np.array([5, 6, 7, 70000], np.uint32), 50_000)
     data = repair.compress(ids, np.array([0, len(ids)]), [1])
