@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -13,11 +14,18 @@ from . import text as T
 #: Element names of HTML, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select button object canvas audio video".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select button canvas audio video".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Open elements that an element of a kind ends.
+PEERS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CLOSES_P = BLOCK - frozenset("body html caption option optgroup legend summary td th tr tbody thead tfoot li dd dt".split())
+#: Elements that can hold an article.
+HOLDERS = frozenset("html article main section div td center blockquote details dd table tbody tr".split())
 #: Words in class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets masthead skip pagination pager toolbar complementary contentinfo search form dialog".split())
+#: Words that may stand beside one of these in a name.
+BESIDE = frozenset("list box block section area wrap wrapper container bar item items slot unit links link top bottom left right inner outer site page main post posts thread primary secondary sticky small large header".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -27,15 +35,22 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class _Node:
     """An element: its own and all its text, links and tags below it, for the density."""
 
-    __slots__ = ("tag", "up", "down", "out", "chars", "links", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "down", "out", "block", "depth", "chars", "links", "tags", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, up, out: bool):
-        self.tag, self.up, self.out = tag, up, out
+        self.tag, self.up, self.out, self.depth = tag, up, out, 0 if up is None else up.depth + 1
+        self.block = self if up is None or tag in BLOCK else up.block  # the nearest block around
         self.down: list = []  # nodes, and texts between them
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class, id or role says so in all of its words: ``comment-list`` does, ``related-work`` doesn't."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words)
+
+
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is boilerplate by its name or attributes; a header inside an article is part of it."""
     if tag in BOILERPLATE or tag == "header" and not inside:
@@ -49,15 +64,25 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in _NAME.findall(value)):
+        elif name in ("class", "id", "role") and tag not in HEADINGS and any(map(_names_boilerplate, value.split())):
             return True
     return False
 
 
 def parse(page: str) -> _Node:
-    """The tree of a page, forgiving: unclosed paragraphs and items end where HTML ends them, stray ends are ignored."""
+    """The tree of a page, forgiving: unclosed paragraphs and items end where HTML ends them, stray ends are ignored.
+
+    Each element is opened and closed once, so the time grows with the page's length.
+    """
     root = here = _Node("html", None, False)
-    at, depth = 0, 0
+    at, still_open = 0, Counter()
+
+    def close(node: _Node) -> None:
+        nonlocal here
+        while here is not node.up:
+            still_open[here.tag] -= 1
+            here = here.up
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
@@ -70,38 +95,31 @@ def parse(page: str) -> _Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is not None and node is not root:
-                while here is not node:
-                    depth -= here.tag in ("article", "main")
-                    here = here.up
-                depth -= tag in ("article", "main")
-                here = node.up
+            if still_open[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                close(node)
             continue
         if tag in ("html", "body"):
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page) if tag in ("script", "style", "title", "textarea") else at
+                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = shut.end() if shut else len(page) if tag in ("script", "style", "title", "textarea") else at
             continue
-        stop = {"li": "ul ol menu dir", "dd": "dl", "dt": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}.get(tag)
-        peers = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
+        peers = PEERS.get(tag, ())
         if tag in CLOSES_P or peers:
-            node = here
-            while node is not root and node.tag not in (stop or "").split() and not (node.tag == "p" or node.tag in peers or node.tag in BLOCK):
-                node = node.up
-            if node is not root and (node.tag == "p" or node.tag in peers) and node.tag not in (stop or "").split():
-                here = node.up
+            node = here.block
+            if node is not root and (node.tag == "p" or node.tag in peers):
+                close(node)
                 if here.tag == "tr" and tag == "tr":
-                    here = here.up
-        node = _Node(tag, here, here.out or _marked(tag, m[3], depth > 0))
+                    close(here)
+        node = _Node(tag, here, here.out or _marked(tag, m[3], still_open["article"] + still_open["main"] > 0))
         here.down.append(node)
         if tag not in VOID:
             here = node
-            depth += tag in ("article", "main")
+            still_open[tag] += 1
     return root
 
 
@@ -123,38 +141,51 @@ def _measure(root: _Node) -> list[_Node]:
                 node.link_tags += x.link_tags + (x.tag == "a")
         if node.tag == "a":
             node.links = node.chars
-    body_links, body_chars = root.links, max(1, root.chars)
     for node in reversed(order):
-        c, plain, lc, t, lt = node.chars, max(1, node.chars - node.links), node.links, max(1, node.tags), max(1, node.link_tags)
-        if c:
-            base = math.log(c * lc / plain + body_links * c / body_chars + math.e)
-            node.density = c / t * max(0.0, math.log(max(1.0, c * t / (max(1, lc) * lt)))) / max(1.0, math.log(base) if base > math.e else 1.0)
+        node.density = density(node, root)
         node.sum = sum(x.density for x in node.down if isinstance(x, _Node) and not x.out)
     return order
 
 
-def main_text(page: str) -> str:
-    """Text of the article of a page; empty if it has none.
+def density(node: _Node, body: _Node) -> float:
+    """Characters a tag, times a logarithm that falls as the share of links among them grows."""
+    if not node.chars:
+        return 0.0
+    c, plain, lc, t, lt = node.chars, max(1, node.chars - node.links), node.links, max(1, node.tags), max(1, node.link_tags)
+    base = math.log(c * lc / plain + body.links * c / max(1, body.chars) + math.e)
+    return c / t * max(0.0, math.log(max(1.0, c * t / (max(1, lc) * lt)))) / max(1.0, math.log(base) if base > math.e else 1.0)
 
-    Among the articles or main elements (if any; else the whole body) the node with the largest sum of its children's
-    densities is the content; the least density on the path from it up to the root is the threshold, and the path's
-    node nearest the root that reaches it together with all that is in it is taken, without boilerplate elements.
+
+def contents(root: _Node, slack: float = 0.5) -> list[_Node]:
+    """The nodes whose text is the article, in page order.
+
+    The element with the largest sum of its children's densities is its core (of equal ones an article or main element,
+    then the deeper). If an article element is around the core it is the article. Else what stands beside the core, or
+    beside an element around it, belongs to it if its density is ``slack`` of the body-path threshold or more: the
+    least density on the path from the core to the body, the body itself apart. So do headings there.
     """
-    root = parse(page)
-    nodes = _measure(root)
-    roots = [n for n in nodes if n.tag in ("article", "main")]
-    top = max(roots, key=lambda n: (n.sum, n.chars)) if roots else root
-    if not roots:
-        best = max(nodes, key=lambda n: (n.sum, -n.tags)) if nodes else root
-        path = [best]
-        while path[-1].up is not None:
-            path.append(path[-1].up)
-        threshold = min(n.density for n in path)
-        inner = [n for n in path if n.density > threshold or n is best]
-        top = best if best.tag in ("div", "section", "td", "html") else best.up or best
-        # headings that stand beside the content belong to it
-        while top.up is not None and top in inner and any(isinstance(x, _Node) and x.tag in ("h1", "h2") and not x.out for x in top.up.down) and top.up.tag != "html":
-            top = top.up
+    nodes = [n for n in _measure(root) if n.tag in HOLDERS]
+    best = max(nodes, key=lambda n: (round(n.sum, 6), n.tag in ("article", "main"), n.depth))
+    path = [best]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    around = [n for n in path if n.tag == "article"]
+    if around:
+        return around[-1:]
+    threshold = slack * min([n.density for n in path[:-1]] or [0.0])
+    core = [best]
+    for child, parent in zip(path, path[1:]):
+        if parent.tag == "main" or child.tag == "main":
+            break
+        beside = [x for x in parent.down if isinstance(x, _Node) and not x.out and (x is child or x.chars and (x.tag in HEADINGS or x.density >= threshold))]
+        where = next(i for i, x in enumerate(beside) if x is child)
+        core = beside[:where] + core + beside[where + 1 :]
+    return core
+
+
+def main_text(page: str) -> str:
+    """Text of the article of a page (see ``contents``), without boilerplate elements; empty if it has none."""
+    top = contents(parse(page))
     blocks, now = [], []
 
     def close():
@@ -163,7 +194,7 @@ def main_text(page: str) -> str:
             blocks.append(text)
         now.clear()
 
-    stack: list = [(top, False)]
+    stack: list = [(x, False) for x in reversed(top)]
     while stack:
         x, done = stack.pop()
         if isinstance(x, str):

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -124,3 +125,26 @@ def test_main_text_without_article_and_edges(spark):
         assert isinstance(html_text.main_text(odd), str)
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (1, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(rows).collect()) == [(0, "x"), (1, ""), (1, "")]
+
+
+def test_density_chooses_the_text(monkeypatch):
+    """Densities of zero change the result; names in the text are kept, marked containers aren't; time is linear."""
+    words = "some words of the text that go on for a while, as texts do. "
+    menu = "".join(f"<a href=/{i}>item {i}</a> " for i in range(30))
+    page = f"<body><div>{menu}</div><div><h1>Title</h1><section><p>{words * 4}</p><h2 id='related-work'>Related</h2><p class='notice-board'>{words}</p></section><section><p>{words * 3}</p></section></div></body>"
+    want = "\n".join(["Title", (words * 4).strip(), "Related", words.strip(), (words * 3).strip()])
+    assert html_text.main_text(page) == want
+    two = f"<article><p>{words}</p></article><article><h2>Other</h2><p>{words * 5}</p><div class='ad-slot'>buy</div></article>"
+    assert html_text.main_text(two) == f"Other\n{(words * 5).strip()}"
+    for long in ("<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<div>x</div>" * 20_000):
+        began = time.process_time()
+        html_text.main_text(long)
+        assert time.process_time() - began < 3
+    monkeypatch.setattr(html_text, "density", lambda node, body: 0.0)
+    assert html_text.main_text(page) != want
+
+
+def test_pages_empty_and_clashing(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.text, r.n_chars) for r in html_text.extract(rows).collect()] == [("x", 1)]
+    assert html_text.extract(rows.limit(0)).count() == 0
