@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terragrid.llm import kneser_ney, mixing, packing, simhash, substrings
-from terragrid.llm.common import Scratch, documents, ship
+from terragrid.llm.common import Scratch, documents, fresh, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows without an id stay; of rows with one
-    id a single one does."""
+    """One document of each group of near copies: the one with the least id (of several texts with that id the one with
+    the least hash; of equal rows one). Texts with one id in different groups all stay, as do rows without an id."""
     ship(spark)
-    groups = simhash.near_groups(docs, shingle=5, similarity=0.8)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = simhash.near_groups(docs, shingle=5, similarity=0.8).where("root is not null and doc_id is not null")
+    one = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    id_, hash_, mine_ = fresh(docs, "one_id", "one_hash", "own_hash")
+    one = one.select(F.col("one.doc_id").alias(id_), F.col("one.text_hash").alias(hash_))
+    own = docs.withColumn(mine_, F.xxhash64(F.col("text").cast("string")))
+    kept = own.join(one, (own.doc_id == one[id_]) & own[mine_].eqNullSafe(one[hash_]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mine_]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,19 +20,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, one of our own if the session is local (tests); a
+    cluster's machines share none, so there it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "/tmp/terragrid-checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables in the shared folder: they cut lineage and survive lost executors.
+
+    Results read them, so they stay until ``drop`` or the end of the driver's JVM, which removes the folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

@@ -23,16 +23,16 @@ NAVIGATION = ("home", "menu", "login", "log in", "sign in", "register", "search"
 class LineRules:
     """Parameters of the rules.
 
-    terminal: a line of at least ``punctuated_from`` words without one of these at the end of any word fails (titles
-    and items are shorter; the last line of a text may be cut and is spared). separators: more than
-    ``most_separators`` of the words being one of them makes a navigation line, as does a short line of navigation
-    words only. symbols: more than ``most_symbols`` of the characters. shouting: more than ``most_upper`` of the
+    terminal: a line of at least ``punctuated_from`` words that doesn't end in one of these fails (titles and items are
+    shorter; the last line of a text may be cut and is spared). separators: more than ``most_separators`` of the words
+    being one of them makes a navigation line, as does a line of any length that is navigation entries and nothing
+    else. symbols: more than ``most_symbols`` of the characters. shouting: more than ``most_upper`` of the
     letters upper case in a line of ``upper_from`` letters or more. most_lost: share of word characters that a document
     may lose.
     """
 
     terminal: str = ".!?…:;\"'”’»)]。！？"
-    punctuated_from: int = 60
+    punctuated_from: int = 5
     separators: tuple[str, ...] = ("|", "»", "›", "•", "·", ">", "/", "»»")
     most_separators: float = 0.2
     most_symbols: float = 0.15
@@ -42,9 +42,12 @@ class LineRules:
     navigation: tuple[str, ...] = NAVIGATION
     most_lost: float = 0.5
     pattern: re.Pattern = field(init=False, compare=False)
+    menu: re.Pattern = field(init=False, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "pattern", re.compile("|".join(map(re.escape, self.boilerplate)) or r"(?!)"))
+        entry = "|".join(map(re.escape, sorted(self.navigation, key=len, reverse=True))) or r"(?!)"
+        object.__setattr__(self, "menu", re.compile(rf"[\W_]*(?:{entry})(?:[\W_]+(?:{entry}))*[\W_]*"))
 
     def failed(self, line: str, last: bool) -> str:
         """Name of the rule that the line fails, or an empty string."""
@@ -54,7 +57,7 @@ class LineRules:
         if sum(w in self.separators for w in words) > self.most_separators * len(words):
             return "navigation"
         low = line.lower()
-        if len(words) <= 4 and " ".join(w.strip(".,:;!|") for w in low.split()) in self.navigation:
+        if self.menu.fullmatch(low):
             return "navigation"
         if self.pattern.search(low):
             return "boilerplate"
@@ -62,7 +65,7 @@ class LineRules:
             return "symbols"
         if len(line) >= self.upper_from and line.isupper() or line.upper() == line and sum(map(str.isalpha, line)) >= self.upper_from:
             return "shouting"
-        if len(words) >= self.punctuated_from and not last and not any(w[-1] in self.terminal for w in words):
+        if len(words) >= self.punctuated_from and not last and words[-1][-1] not in self.terminal:
             return "punctuation"
         return ""
 

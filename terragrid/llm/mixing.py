@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 def _uniform(seed: int, *cols) -> F.Column:
     """A number in [0, 1) from the first 52 bits of an md5 over the seed and the columns as text."""
@@ -64,8 +66,8 @@ def _distribution(rate, most: float) -> tuple[F.Column, F.Column]:
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 20240, alpha: float = 0.5, most: float = 64.0, broadcast_sources: int = 10_000) -> DataFrame:
     """Each document as often as a Poisson number with its source's mean rate, all in one global random order.
 
-    Returns the columns of ``docs`` (which needs doc_id and source; other columns may have any name but those added)
-    with copy (from 0), mix_copies, mix_rate and mix_key. The number is inverted from a hash of seed and doc_id, so a
+    Returns the columns of ``docs`` (which needs doc_id and source; others may have any name) with copy (from 0),
+    mix_copies, mix_rate and mix_key, which take the place of columns of these names. The number is inverted from a hash of seed and doc_id, so a
     rerun or a lost executor repeats it: it is the smallest k whose distribution function exceeds the hash. Equal
     doc_ids get equal numbers. A rate may be any size: the distribution's terms follow it, ``most`` is only the mean up
     to which all sources have the same number of them. A null source is a source of its own, a null id hashes as an empty text. The order:
@@ -73,13 +75,15 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     table of rates is broadcast up to ``broadcast_sources`` sources (counted first), else joined by source. An empty
     table gives an empty one.
     """
+    docs = docs.drop("copy", "mix_copies", "mix_rate", "mix_key")
+    source_, cdf_, start_, unit_ = fresh(docs, "mix_source", "mix_cdf", "mix_start", "mix_unit")
     by = rates(docs, weights, epochs, alpha)
     few = docs.select("source").distinct().count() <= broadcast_sources
     cdf, start = _distribution(F.col("rate"), most)
-    by = by.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), cdf.alias("_cdf"), start.alias("_start"))
-    counted = docs.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    counted = counted.withColumn("_u", _uniform(seed, F.col("doc_id")))
-    counted = counted.withColumn("mix_copies", F.when(F.col("mix_rate") > 0, F.col("_start") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0)).drop("_cdf", "_start", "_u")
+    by = by.select(F.col("source").alias(source_), F.col("rate").alias("mix_rate"), cdf.alias(cdf_), start.alias(start_))
+    counted = docs.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col(source_))).drop(source_)
+    counted = counted.withColumn(unit_, _uniform(seed, F.col("doc_id")))
+    counted = counted.withColumn("mix_copies", F.when(F.col("mix_rate") > 0, F.col(start_) + F.size(F.filter(cdf_, lambda c: c <= F.col(unit_)))).otherwise(0)).drop(cdf_, start_, unit_)
     copies = counted.where("mix_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     return copies.withColumn("mix_key", _uniform(seed + 1, F.col("doc_id"), F.col("copy"))).repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
 

@@ -228,10 +228,10 @@ def within(a: bytes, b: bytes, budget: float, chain: int = 8) -> bool:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, node (a hash of the text's set of shingles), n (its size), sketch and keys (8 bytes each): its rarest
+    """doc_id, text_hash, node (a hash of the text's set of shingles), n (its size), sketch and keys (8 bytes each): its rarest
     shingles, so many that two sets at ``similarity`` share one. The order is the same for all texts: by count in
     ``common``, then by hash."""
-    ddl = "doc_id long, node long, n int, sketch binary, keys binary"
+    ddl = "doc_id long, text_hash long, node long, n int, sketch binary, keys binary"
     emit, (known, counts) = T.emitter(ddl), common
 
     def run(batches):
@@ -244,9 +244,9 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float, common: tuple[np
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[i] == s, counts[i], 0)
                 keys.append(s[np.argsort(rank, kind="stable")[:first]].tobytes())
-            yield emit({"doc_id": part.column("doc_id"), "node": _whole(sets), "n": np.array([len(s) for s in sets], np.int32), "sketch": [_sketch(s) for s in sets], "keys": keys})
+            yield emit({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "node": _whole(sets), "n": np.array([len(s) for s in sets], np.int32), "sketch": [_sketch(s) for s in sets], "keys": keys})
 
-    return docs.mapInArrow(run, ddl)
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
 def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000, shard_keys: int = 2_000_000) -> DataFrame:
@@ -313,7 +313,8 @@ def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
-    """doc_id and component_id of every row of ``docs`` (doc_id, text): groups of texts whose word shingles are alike.
+    """doc_id, text_hash, component_id and root of every row of ``docs`` (doc_id, text): groups of texts whose word
+    shingles are alike. text_hash is Spark's xxhash64 of the text, root tells groups apart (ids may repeat).
 
     Texts with equal sets of ``shingle``-word shingles (A-Z lower-cased) are one class. Classes are linked if the Jaccard
     similarity of their sets is ``similarity`` or more, a group is what links connect, and no link between groups is
@@ -396,5 +397,5 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     scratch.drop("buckets")
     roots = components(one.union(two), scratch)
     groups = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    return known.select("doc_id", "node").join(ids, "node", "left").select("doc_id", "component_id")
+    ids = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id", "root")
+    return known.select("doc_id", "text_hash", "node").join(ids, "node", "left").select("doc_id", "text_hash", "component_id", "root")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch
+from .common import Scratch, fresh
 
 _GRAM = 8
 
@@ -281,19 +281,22 @@ def remove(docs: DataFrame, window: int = 35, keep_text: bool = True, **options)
     A window is ``window`` consecutive words of one text (words: runs of other characters than white space in ASCII);
     it is repeated if the same words also start anywhere else, in this text or another. Windows are judged on the
     input. The text of a row that loses words becomes its other words joined by one space. Adds n_words, n_removed and
-    kept_sha256 (of the other words joined by one space); without ``keep_text`` the text is left out. Null and empty
+    kept_sha256 (of the other words joined by one space), in place of columns of these names; without ``keep_text`` the text is left out. Null and empty
     texts have no words; rows of one id and text are texts of their own, so they repeat each other.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    named = docs.withColumn("row", F.xxhash64(docs.doc_id, docs.text, F.lit(1)))
-    spans = scratch.save(repeats(named.select("row", "text"), scratch, window, **options), "ranges").withColumnRenamed("row", "_row")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    row_, other_, spans_ = fresh(docs, "row", "other_row", "spans")
+    named = docs.withColumn(row_, F.xxhash64(docs.doc_id, docs.text, F.lit(1)))
+    found = repeats(named.select(F.col(row_).alias("row"), "text"), scratch, window, **options)
+    spans = scratch.save(found, "ranges").select(F.col("row").alias(other_), F.col("spans").alias(spans_))
     schema = docs.schema if keep_text else docs.drop("text").schema
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long, n_removed long, kept_sha256 string"])
     emit = T.emitter(ddl)
 
     def run(batches):
         for part in T.slices(batches):
-            texts, spans = part.column("text").to_pylist(), part.column("spans").to_pylist()
+            texts, spans = part.column("text").to_pylist(), part.column(spans_).to_pylist()
             out = {"text": [], "n_words": [], "n_removed": [], "kept_sha256": []}
             for text, found in zip(texts, spans):
                 words = text.encode().split()
@@ -311,4 +314,4 @@ def remove(docs: DataFrame, window: int = 35, keep_text: bool = True, **options)
                 out["kept_sha256"].append(hashlib.sha256(data).hexdigest())
             yield emit({c: part.column(c) for c in schema.names if c != "text"} | out)
 
-    return named.join(spans, F.col("row") == F.col("_row"), "left").drop("row", "_row").mapInArrow(run, ddl)
+    return named.join(spans, F.col(row_) == F.col(other_), "left").drop(row_, other_).mapInArrow(run, ddl)

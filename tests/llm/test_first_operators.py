@@ -131,3 +131,50 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert got[100004].fingerprint == got[100005].fingerprint and got[100001].fingerprint == got[100003].fingerprint
     assert fingerprints.compare(docs.limit(0), buckets=3).count() == 0
     assert fingerprints.compare(edge(spark), buckets=3).count() == len(EDGE)
+
+
+def test_columns_may_have_any_name(spark):
+    """Extra columns named like an operator's own, inside or out: those that it adds are replaced, others kept."""
+    from terragrid.llm import mixing, substrings
+
+    rows = [(i, f"word{i} " * 40, "s") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("row", "ROW_", "spans", "n_words", "other_row", "start", "anchor", "_row"):
+        out = substrings.remove(docs.withColumn(c, F.lit("x")))
+        assert out.count() == 6 and {r[c] for r in out.collect()} == ({40} if c == "n_words" else {"x"})
+    for c in ("copy", "mix_source", "_u", "mix_unit", "mix_cdf", "rate", "m"):
+        out = mixing.replicate(docs.withColumn(c, F.lit("x")), epochs=3.0)
+        assert {r[c] for r in out.collect()} == ({"x"} if c != "copy" else {r.copy for r in out.collect()}) and out.count() > 0
+
+
+def test_kept_equals_a_plain_version_of_the_rules(spark):
+    from terragrid.llm import line_rules
+
+    rules = line_rules.LineRules()
+    menu = set(rules.navigation)
+
+    def fails(line, last):
+        words = line.split()
+        if not words:
+            return False
+        bare = [re.sub(r"\W", "", w.lower()) for w in words]
+        entries = "|".join(re.escape(e) for e in sorted(menu, key=len, reverse=True))
+        if sum(w in rules.separators for w in words) > 0.2 * len(words) or re.sub(rf"\b(?:{entries})\b|[\W_]", "", line.lower()) == "" and any(bare):
+            return True
+        if any(b in line.lower() for b in rules.boilerplate) or sum(c in "#*$%&|<>" for c in line) > 0.15 * len(line):
+            return True
+        if len([c for c in line if c.isalpha()]) >= 20 and line == line.upper() and line != line.lower():
+            return True
+        return len(words) >= 5 and not last and line.rstrip()[-1] not in rules.terminal
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in line_rules.clean_lines(docs).collect()}
+    for r in docs.collect():
+        lines = r.text.split("\n")
+        size = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t))
+        lost = sum(size(t) for i, t in enumerate(lines) if fails(t, i == len(lines) - 1))
+        failed = got[r.doc_id][0]
+        assert got[r.doc_id][1] == (not failed and lost <= 0.5 * size(r.text)), r.doc_id
+    made = spark.createDataFrame([(1, "Home About Contact\nLogin Register Help Home About\nNext Previous Search | Sitemap FAQ Help Home About\n" * 3)], "doc_id long, text string")
+    row = line_rules.clean_lines(made).head()
+    assert row.n_lines_removed == 9 and not row.kept

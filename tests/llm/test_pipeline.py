@@ -148,3 +148,11 @@ def test_pages_empty_and_clashing(spark):
     rows = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 7)], "page_id long, url string, html string, text string, n_chars int")
     assert [(r.text, r.n_chars) for r in html_text.extract(rows).collect()] == [("x", 1)]
     assert html_text.extract(rows.limit(0)).count() == 0
+
+
+def test_near_duplicates_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "one two three four five six seven"), (1, "quite another text that shares nothing at all"), (2, "one two three four five six seven"), (1, "one two three four five six seven"), (None, "one two three four five six seven"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own_hash", F.lit(1))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF2)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in [rows[0], rows[1], rows[4], rows[5]])
