@@ -196,3 +196,53 @@ def rotation_between(f: tuple, t: tuple) -> list[list[Column]]:
     uu, ww, uw = (sum((a * b for a, b in zip(p, q)), F.lit(0.0)) for p, q in ((u, u), (w, w), (u, w)))
     twice = [[(F.lit(1.0) if i == j else F.lit(0.0)) - 2 * u[i] * u[j] / uu - 2 * w[i] * w[j] / ww + 4 * uw * w[i] * u[j] / (uu * ww) for j in range(3)] for i in range(3)]
     return [[F.when(c > -0.99, usual[i][j]).otherwise(twice[i][j]) for j in range(3)] for i in range(3)]
+
+
+def to_full_image(x: Column, y: Column, left: Column | float, top: Column | float, height: Column | float | None = None) -> tuple[Column, Column]:
+    """A window's pixel (from 1) in the whole image; with ``height`` rows count from the other end."""
+    u, v = x + left - 1, y + top - 1
+    return u, v if height is None else height - v + 1
+
+
+def euler_zyx(m: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """Angles in degrees of rotations about z, then y, then x that make up a rotation matrix (Rz Ry Rx)."""
+    flat = F.sqrt(m[0][0] * m[0][0] + m[1][0] * m[1][0])
+    return F.degrees(F.atan2(m[1][0], m[0][0])), F.degrees(F.atan2(-m[2][0], flat)), F.degrees(F.atan2(m[2][1], m[2][2]))
+
+
+def rotate_normals(m: np.ndarray, *n: Column) -> list[Column]:
+    """Unit normals under the rotation part of a similarity (the scale drops out)."""
+    turned = apply_matrix(np.asarray(m, float)[:, :3], *n)
+    size = F.sqrt(sum((c * c for c in turned), F.lit(0.0)))
+    return [F.try_divide(c, size) for c in turned]
+
+
+def ramp(value: Column, low: float, high: float, colours: list) -> Column:
+    """The colour of an equal part of the range from low to high; values beyond take the first or last."""
+    n = len(colours)
+    k = F.greatest(F.least(F.floor((value - low) / ((high - low) / n)) + 1, F.lit(n)), F.lit(1)).cast("int")
+    return F.element_at(F.array(*[F.lit(c) for c in colours]), k)
+
+
+def curve(points: DataFrame, matrix: np.ndarray, zone: int, hemisphere: str) -> DataFrame:
+    """Points (x, y, z, ...) of a flat model bent onto the ellipsoid: the similarity ``matrix`` (3 x 4, map to
+    geocentric) places the model in space, from where it goes back to the map. A step's columns are computed once."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    placed = points.withColumns(dict(zip("xyz", apply_matrix(matrix, x, y, z))))
+    round_ = placed.withColumns(dict(zip("xyz", ecef_to_geodetic(x, y, z))))
+    return round_.withColumns(dict(zip("xy", ll_to_utm(x, y, zone, hemisphere))))
+
+
+def uncurve(points: DataFrame, matrix: np.ndarray, zone: int, hemisphere: str) -> DataFrame:
+    """The reverse of ``curve``."""
+    m, (x, y, z) = np.asarray(matrix, float), (F.col(c) for c in "xyz")
+    back = np.linalg.inv(m[:, :3])
+    round_ = points.withColumns(dict(zip("xy", utm_to_ll(x, y, zone, hemisphere))))
+    placed = round_.withColumns(dict(zip("xyz", geodetic_to_ecef(x, y, z))))
+    return placed.withColumns(dict(zip("xyz", apply_matrix(np.column_stack([back, -back @ m[:, 3]]), x, y, z))))
+
+
+def paired_points(x: Column, y: Column, disparity: Column, left: np.ndarray, right: np.ndarray, offset: tuple[float, float, float, float]) -> tuple[Column, Column, Column, Column]:
+    """xl, yl, xr, yr in the two images of a rectified pixel and its disparity: inverse homographies, then offsets."""
+    a, b = homography(np.linalg.inv(left), x, y), homography(np.linalg.inv(right), x - disparity, y)
+    return tuple(c + o for c, o in zip((*a, *b), offset))

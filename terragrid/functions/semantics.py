@@ -45,41 +45,27 @@ def hash_order(id_: Column, seed: int) -> Column:
 def hazen(df: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """Hazen quantiles (plotting positions (i - 0.5) / n, linear between) of ``value`` for each group ``by``.
 
-    Returns by..., q, value. Missing values don't count. Equal values are counted before the shuffle, and order
-    statistics are found from running counts over the distinct values of a group. Without ``by`` the values are first
-    cut into a thousand bins, of which only those that hold a wanted order statistic are sorted, so no task gets all.
+    Returns by..., q, value. Missing values don't count. A sketch brackets each quantile; one pass counts the values
+    below its bracket, and only the bracket's distinct values are sorted, so no task gets a whole group. A bracket
+    that misses its order statistics (the counts show it) is replaced by the whole range.
     """
-    data = df.where(F.col(value).isNotNull()).select(*(by or []), F.col(value).cast("double").alias("_v"))
-    if by is None:
-        bounds = data.agg(F.percentile_approx("_v", [i / 1000 for i in range(1, 1000)], F.lit(10_000))).head()[0]
-        edges = sorted(set(bounds or []))
-        bin_ = F.lit(0) if not edges else F.size(F.filter(F.lit(edges), lambda b: b < F.col("_v")))
-        binned = data.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", bin_)
-        sizes = {r[0]: r[1] for r in binned.groupBy("_bin").agg(F.sum("_n")).collect()}  # a thousand rows at most
-        n, before, need = sum(sizes.values()), {}, set()
-        at = 0
-        for b in sorted(sizes):
-            before[b] = at
-            for q in quantiles:
-                h = min(max(n * q + 0.5, 1), n)
-                if any(at < k <= at + sizes[b] for k in (int(h), min(int(h) + 1, n))):
-                    need.add(b)
-            at += sizes[b]
-        if not n:
-            return df.sparkSession.createDataFrame([], "q double, value double")
-        base = F.create_map(*[F.lit(x) for b in sorted(need) for x in (b, before[b])])
-        counted = binned.where(F.col("_bin").isin(*need)).withColumn("_before", base[F.col("_bin")])
-        run = F.sum("_n").over(Window.partitionBy("_bin").orderBy("_v")) + F.col("_before")
-        counted = counted.select("_v", "_n", run.alias("_upto"), F.lit(n).alias("_all"))
-        by = []
-    else:
-        group = Window.partitionBy(*by)
-        counted = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        counted = counted.withColumn("_upto", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
-    wanted = counted.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    h = F.greatest(F.least(F.col("_all") * F.col("q") + 0.5, F.col("_all").cast("double")), F.lit(1.0))
-    low = F.floor(h)
-    holds_ = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
-    x0, x1 = F.max(F.when(holds_(low), F.col("_v"))), F.max(F.when(holds_(F.least(low + 1, F.col("_all"))), F.col("_v")))
-    share = F.max(h - low)
-    return wanted.groupBy(*by, "q").agg((x0 + (x1 - x0) * share).alias("value"))
+    keys = by or ["_g"]
+    data = df.where(F.col(value).isNotNull()).select(*(by or [F.lit(1).alias("_g")]), F.col(value).cast("double").alias("_v"))
+    q = [float(x) for x in quantiles]
+    sides = [min(max(x + d, 0.0), 1.0) for x in q for d in (-0.002, 0.002)]
+    cuts = data.groupBy(*keys).agg(F.percentile_approx("_v", sides, F.lit(5_000)).alias("_cut"), F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    low, high = (lambda i: F.col("_cut")[2 * i]), (lambda i: F.col("_cut")[2 * i + 1])
+    join = lambda a, b: a.join(b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in b.columns if c not in keys]), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]).drop(*[f"_k_{c}" for c in keys])
+    counts = join(data, cuts).groupBy(*keys).agg(*[F.count_if(F.col("_v") < low(i)).alias(f"_b{i}") for i in range(len(q))], *[F.count_if(F.col("_v") <= high(i)).alias(f"_u{i}") for i in range(len(q))])
+    known = join(cuts, counts)
+    place = lambda x: F.greatest(F.least(F.col("_all") * x + 0.5, F.col("_all").cast("double")), F.lit(1.0))
+    first = lambda x: F.floor(place(x))
+    second = lambda x: F.least(first(x) + 1, F.col("_all"))
+    fits = [(F.col(f"_b{i}") < first(x)) & (second(x) <= F.col(f"_u{i}")) for i, x in enumerate(q)]
+    wanted = F.array(*[F.struct(F.lit(x).alias("q"), F.when(f, low(i)).otherwise(F.col("_min")).alias("lo"), F.when(f, high(i)).otherwise(F.col("_max")).alias("hi"), F.when(f, F.col(f"_b{i}")).otherwise(0).alias("below"), first(x).alias("k0"), second(x).alias("k1"), (place(x) - first(x)).alias("part")) for i, (x, f) in enumerate(zip(q, fits))])
+    inside = join(data, known.select(*keys, wanted.alias("_w"))).select(*keys, "_v", F.explode(F.filter("_w", lambda w: F.col("_v").between(w["lo"], w["hi"]))).alias("w"))
+    near = inside.groupBy(*keys, "w.q", "w.below", "w.k0", "w.k1", "w.part", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.col("below") + F.sum("_n").over(Window.partitionBy(*keys, "q").orderBy("_v"))
+    near = near.withColumn("_upto", upto)
+    at = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") < F.col(k)) & (F.col(k) <= F.col("_upto")), F.col("_v")))
+    return near.groupBy(*keys, "q").agg((at("k0") + (at("k1") - at("k0")) * F.max("part")).alias("value")).select(*(by or []), "q", "value")

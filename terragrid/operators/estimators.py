@@ -7,13 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projections import apply_matrix
 from ..functions.semantics import hash_order
-from .grid import Axes, _cut, cell_mean, neighbours, shifted
+from .grid import Axes, _cut, cell_mean, components, neighbours, shifted
 from .stats import clip_quantiles, moments, normal_equations, rmse
 
 
@@ -62,14 +63,14 @@ def horn(pairs: DataFrame, scale: bool = True, weight: str | None = None, planar
     return Similarity(f, r, b - f * r @ a, rms)
 
 
-def ransac(pairs: DataFrame, inlier: float, hypotheses: int = 500, seed: int = 0, most: int = 100_000) -> tuple[Similarity, DataFrame]:
+def ransac(pairs: DataFrame, inlier: float, hypotheses: int = 500, seed: int = 0) -> tuple[Similarity, DataFrame]:
     """Similarity (planar) with the most pairs (pt_id, x, y, tx, ty) within ``inlier``, refitted on those; and those.
 
     Hypothesis h takes three pairs by hash order; all are tried at once as rows: each pair meets every hypothesis'
     matrix (a few numbers, at most ``hypotheses`` of them) and the hits are counted by hypothesis before the shuffle.
-    Three pairs at least; the pairs hypotheses are drawn from are the first ``most`` by hash.
+    Three pairs at least. Hypotheses are drawn from the first three pairs for each by hash; all pairs are counted.
     """
-    drawn = pairs.select("pt_id", "x", "y", "tx", "ty").orderBy(hash_order(F.col("pt_id"), seed), "pt_id").limit(most).limit(3 * hypotheses).toPandas()
+    drawn = pairs.select("pt_id", "x", "y", "tx", "ty").orderBy(hash_order(F.col("pt_id"), seed), "pt_id").limit(3 * hypotheses).toPandas()
     if len(drawn) < 3:
         raise ValueError("a hypothesis takes three pairs")
     rng, rows = np.random.default_rng(seed), []
@@ -96,15 +97,22 @@ def ransac(pairs: DataFrame, inlier: float, hypotheses: int = 500, seed: int = 0
     return horn(inliers, planar=True), inliers
 
 
+def plane_sums(pairs: DataFrame, off: Column) -> DataFrame:
+    """The 27 sums of point-to-plane alignment: rotations rx, ry, rz and shifts tx, ty, tz against the distance ``off``
+    along the normals (nx, ny, nz) at points (x, y, z)."""
+    p, n = [F.col(c) for c in ("x", "y", "z")], [F.col(c) for c in ("nx", "ny", "nz")]
+    cross = [p[1] * n[2] - p[2] * n[1], p[2] * n[0] - p[0] * n[2], p[0] * n[1] - p[1] * n[0]]
+    return normal_equations(pairs, dict(zip(["rx", "ry", "rz", "tx", "ty", "tz"], [*cross, *n])), off)
+
+
 def plane_step(pairs: DataFrame) -> np.ndarray:
     """3 x 4 motion (small rotation, shift) that takes points (x, y, z) toward the planes through (tx, ty, tz) with
     normals (nx, ny, nz): 27 sums, then six unknowns."""
     p, n = [F.col(c) for c in ("x", "y", "z")], [F.col(c) for c in ("nx", "ny", "nz")]
-    cross = [p[1] * n[2] - p[2] * n[1], p[2] * n[0] - p[0] * n[2], p[0] * n[1] - p[1] * n[0]]
     off = sum(((F.col(t) - q) * m for t, q, m in zip(("tx", "ty", "tz"), p, n)), F.lit(0.0))
-    names = ["a", "b", "c", "d", "e", "f"]
-    m = normal_equations(pairs, dict(zip(names, [*cross, *n])), off).head()
-    a = np.array([[m[f"{min(i, j)}_{max(i, j)}"] for j in names] for i in names])
+    names = ["rx", "ry", "rz", "tx", "ty", "tz"]
+    m = plane_sums(pairs, off).head()
+    a = np.array([[m[f"{i}_{j}" if names.index(i) <= names.index(j) else f"{j}_{i}"] for j in names] for i in names])
     v = np.linalg.lstsq(a, np.array([m[f"{i}_y"] for i in names]), rcond=None)[0]
     rx, ry, rz = v[:3]
     cx, cy, cz, sx, sy, sz = math.cos(rx), math.cos(ry), math.cos(rz), math.sin(rx), math.sin(ry), math.sin(rz)
@@ -240,20 +248,36 @@ def as_sql(terms: list[tuple], coef, variables: list[str]) -> str:
     return " + ".join(f"({float(c)!r}{' * ' if any(t) else ''}{product(t)})" for t, c in zip(terms, coef)) or "0.0"
 
 
+def cosine_sums(diff: DataFrame) -> DataFrame:
+    """The sums behind ``cosine_shift``."""
+    aspect, y = F.radians("aspect"), F.col("d") / F.tan(F.radians("slope"))
+    return normal_equations(diff, {"a": F.cos(aspect), "b": F.sin(aspect), "c": F.lit(1.0)}, y)
+
+
+def similarity_2d(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by..., a, b, tx, ty of the similarity without reflection (x, y) -> (a x - b y + tx, b x + a y + ty) nearest to
+    (tx, ty) for each group; groups whose points coincide have none."""
+    c = lambda e: F.sum(F.expr(e))
+    m = pairs.where("x is not null and y is not null and tx is not null and ty is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), c("x").alias("sx"), c("y").alias("sy"), c("tx").alias("su"), c("ty").alias("sv"), c("x * x + y * y").alias("q"), c("x * tx + y * ty").alias("d"), c("x * ty - y * tx").alias("e"))
+    m = m.withColumn("w", F.expr("q - (sx * sx + sy * sy) / n")).where("w > 0")
+    m = m.withColumns({"a": F.expr("(d - (sx * su + sy * sv) / n) / w"), "b": F.expr("(e - (sx * sv - sy * su) / n) / w")})
+    return m.select(*by, "a", "b", F.expr("(su - a * sx + b * sy) / n").alias("tx"), F.expr("(sv - b * sx - a * sy) / n").alias("ty"))
+
+
 def cosine_shift(diff: DataFrame) -> dict:
     """a, b (degrees), c of dz / tan(slope) = a cos(b - aspect) + c over rows (d, slope, aspect): linear in cosine and sine."""
-    aspect, y = F.radians("aspect"), F.col("d") / F.tan(F.radians("slope"))
-    m = normal_equations(diff, {"a": F.cos(aspect), "b": F.sin(aspect), "c": F.lit(1.0)}, y).head()
+    m = cosine_sums(diff).head()
     k = np.array([[m.a_a, m.a_b, m.a_c], [m.a_b, m.b_b, m.b_c], [m.a_c, m.b_c, m.c_c]])
     u, v, c = np.linalg.lstsq(k, np.array([m.a_y, m.b_y, m.c_y]), rcond=None)[0]
     return {"a": math.hypot(u, v), "b": math.degrees(math.atan2(v, u)) % 360, "c": c}
 
 
 def triangulate(points: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
-    """pt_id, x, y, z and reprojection error of image pairs (pt_id, xl, yl, xr, yr) under two 3 x 4 cameras: the least
-    singular vector of each point's four equations, batch by batch. Missing pixels give missing points."""
+    """pt_id, x, y, z, the four reprojection residuals (exl, eyl, exr, eyr; 0 where there is none) and their error of
+    image pairs (pt_id, xl, yl, xr, yr) under two 3 x 4 cameras: the least singular vector of each point's four
+    equations, batch by batch. Missing pixels give missing points."""
     left, right = np.asarray(left, float), np.asarray(right, float)
-    schema = pa.schema([("pt_id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "z", "error"))])
+    schema = pa.schema([("pt_id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "z", "exl", "eyl", "exr", "eyr", "error"))])
 
     def run(batches):
         for b in batches:
@@ -267,37 +291,89 @@ def triangulate(points: DataFrame, left: np.ndarray, right: np.ndarray) -> DataF
                 world = v[:, :3] / v[:, 3:]
                 h = np.column_stack([world, np.ones(len(v))])
                 seen = [(h @ m.T)[:, :2] / (h @ m.T)[:, 2:] for m in (left, right)]
-            error = np.sqrt(((np.column_stack(seen) - q) ** 2).sum(axis=1) / 2)
             ok &= np.isfinite(world).all(axis=1)
+            off = np.where(ok[:, None] & np.isfinite(np.column_stack(seen)), np.column_stack(seen) - q, 0.0)
+            error = np.sqrt((off**2).sum(axis=1) / 2)
             col = lambda a: pa.array(np.where(ok, a, 0.0), mask=~ok)
-            yield pa.RecordBatch.from_arrays([b.column("pt_id").cast(pa.int64()), *(col(world[:, i]) for i in range(3)), col(error)], schema=schema)
-
-    return points.select("pt_id", "xl", "yl", "xr", "yr").mapInArrow(run, "pt_id long, x double, y double, z double, error double")
+            yield pa.RecordBatch.from_arrays([b.column("pt_id").cast(pa.int64()), *(col(world[:, i]) for i in range(3)), *(pa.array(off[:, i]) for i in range(4)), col(error)], schema=schema)
+
+    return points.select("pt_id", "xl", "yl", "xr", "yr").mapInArrow(run, "pt_id long, x double, y double, z double, exl double, eyl double, exr double, eyr double, error double")
+
+
+def _solve_hole(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+    """row, col, val of one hole's cells (row, col, s: sum of the known values beside, n: cells of the grid beside):
+    conjugate gradients on n val - sum of the hole's cells beside = s, to the precision of doubles."""
+    r, c, s, n = (table[k].to_numpy(float if k == "s" else np.int64) for k in ("row", "col", "s", "n"))
+    cell = r * (1 << 32) + c
+    order = np.argsort(cell)
+    beside = []
+    for dr, dc in ((-1, 0), (0, 1), (1, 0), (0, -1)):
+        want = (r + dr) * (1 << 32) + c + dc
+        at = order[np.minimum(np.searchsorted(cell, want, sorter=order), len(cell) - 1)]
+        beside.append(np.where(cell[at] == want, at, len(cell)))
+    if not table["known"].any():  # nothing known around: no value
+        return pd.DataFrame({"row": r, "col": c, "val": np.full(len(r), np.nan)})
+
+    def times(x: np.ndarray) -> np.ndarray:
+        wide = np.append(x, 0.0)
+        return n * x - sum(wide[b] for b in beside)
+
+    x = np.full(len(s), s.sum() / table["known"].sum())
+    left = s - times(x)
+    step, was, enough = left / n, 0.0, 1e-13 * max(1.0, float(np.abs(s).max()))
+    direction, was = step, float(left @ step)
+    for _ in range(20 * len(s) + 50):
+        if np.abs(left).max() <= enough:
+            break
+        moved = times(direction)
+        k = was / float(direction @ moved)
+        x, left = x + k * direction, left - k * moved
+        step = left / n
+        now = float(left @ step)
+        direction, was = step + now / was * direction, now
+    return pd.DataFrame({"row": r, "col": c, "val": x})
 
 
-def inpaint(grid: DataFrame, axes: Axes, rounds: int = 60, tolerance: float = 1e-3, cut_every: int = 5) -> DataFrame:
+def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """All cells of the axes, missing ones filled so that each is the mean of its (two to four) side neighbours.
 
-    Relaxation by joins: a round sends every cell's value to its side neighbours and averages what arrives at missing
-    cells, so work is spread by cell and a hole may be any size. Holes start from the values at their rim.
+    Holes of up to ``largest`` cells are solved exactly, each by one task. For larger ones the same is first done on
+    the grid at half its size (and so on, till holes are small enough); its values start a relaxation by neighbour
+    joins that ends when no cell moves by more than ``tolerance``, or raises after ``rounds``. Cells stay NULL only
+    where no cell of the grid has a value.
     """
     side = [(-1, 0), (0, 1), (1, 0), (0, -1)]
-    known = grid.where("val is not null").select("row", "col", F.col("val").cast("double").alias("val"))
-    holes = _cut(axes.cells(grid.sparkSession).select("row", "col").join(known, ["row", "col"], "left_anti"))
-    now = holes.withColumn("val", F.lit(None).cast("double"))
+    known = _cut(grid.where("val is not null").select("row", "col", F.col("val").cast("double").alias("val")))
+    holes = components(axes.cells(grid.sparkSession).select("row", "col").join(known, ["row", "col"], "left_anti"), eight=False)
+    rim = shifted(known, side).groupBy("row", "col").agg(F.sum("val").alias("s"), F.count("val").cast("int").alias("known"))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    n = one(F.col("row") > 1) + one(F.col("row") < axes.nrows) + one(F.col("col") > 1) + one(F.col("col") < axes.ncols)
+    asked = holes.join(rim, ["row", "col"], "left").select("component", "row", "col", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("known", F.lit(0)).alias("known"), n.alias("n"))
+    sizes = holes.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    big = sizes.where(F.col("_size") > largest).select("component")
+    small = asked.join(big, "component", "left_anti").groupBy("component").applyInPandas(_solve_hole, "row int, col int, val double")
+    small = small.select("row", "col", F.when(~F.isnan("val"), F.col("val")).alias("val"))
+    if not big.limit(1).count():
+        return known.union(small)
+    known = _cut(known.union(small.where("val is not null")))
+    open_ = _cut(asked.join(big, "component", "left_semi").select("row", "col"))
+    half = lambda c: (F.floor((F.col(c) - 1) / 2) + 1).cast("int")
+    coarse = known.groupBy(half("row").alias("row"), half("col").alias("col")).agg(F.avg("val").alias("val"))
+    less = Axes(axes.x0, axes.y0, axes.dx * 2, axes.dy * 2, (axes.ncols + 1) // 2, (axes.nrows + 1) // 2)
+    start = inpaint(coarse, less, largest, rounds, tolerance).select(F.col("row").alias("_r"), F.col("col").alias("_c"), "val")
+    now = _cut(open_.join(start, (half("row") == F.col("_r")) & (half("col") == F.col("_c"))).select("row", "col", "val"))
     for i in range(1, rounds + 1):
-        sent = shifted(known.union(now.where("val is not null").select("row", "col", "val")), side)
-        after = holes.join(sent.groupBy("row", "col").agg(F.avg("val").alias("val")), ["row", "col"], "left")
-        if i % cut_every and i != rounds:
+        sent = shifted(known.union(now), side).groupBy("row", "col").agg(F.avg("val").alias("val"))
+        after = open_.join(sent, ["row", "col"])
+        if i % 5:
             now = after
             continue
         after = _cut(after)
-        before = _cut(now) if i <= cut_every else now
-        moved = after.join(before.withColumnRenamed("val", "_was"), ["row", "col"]).where(F.col("val").isNull() | F.col("_was").isNull() | (F.abs(F.col("val") - F.col("_was")) > tolerance)).limit(1).count()
+        moved = after.join(now.withColumnRenamed("val", "_was"), ["row", "col"]).agg(F.max(F.abs(F.col("val") - F.col("_was")))).head()[0]
         now = after
-        if not moved:
-            break
-    return known.union(now.select("row", "col", "val"))
+        if moved is None or moved <= tolerance:
+            return known.union(now)
+    raise RuntimeError(f"cells still move by {moved} after {rounds} rounds")
 
 
 def denoise(grid: DataFrame, dx: float, dy: float, threshold: float = 0.8, rounds: int = 3) -> DataFrame:

@@ -58,9 +58,12 @@ def locate(points: DataFrame, axes: Axes) -> DataFrame:
     return placed.where(F.col("row").between(1, axes.nrows) & F.col("col").between(1, axes.ncols))
 
 
-def cell_mean(points: DataFrame, axes: Axes, by: list[str] | None = None) -> DataFrame:
-    """by..., row, col, val (mean z) and n of every cell with points. Points are added up before the shuffle."""
-    return locate(points, axes).groupBy(*(by or []), "row", "col").agg(F.avg("z").alias("val"), F.count("z").alias("n"))
+def cell_mean(points: DataFrame, axes: Axes, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """by..., row, col, val (mean z) and n of every cell with points. Points are added up before the shuffle.
+
+    With ``digits`` z is rounded to as many decimals and added up exactly, so the order of rows can't show."""
+    mean = F.avg("z") if digits is None else F.sum(F.col("z").cast(f"decimal(18,{digits})")).cast("double") / F.count("z")
+    return locate(points, axes).groupBy(*(by or []), "row", "col").agg(mean.alias("val"), F.count("z").alias("n"))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -127,11 +130,28 @@ EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 NAMES = ["n", "ne", "e", "se", "s", "sw", "w", "nw"]
 
 
-def neighbours(grid: DataFrame) -> DataFrame:
+def with_rim(grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """The grid and a rim of cells around it, each continuing the line through the two cells before it."""
+
+    def beyond(g: DataFrame, along: str, across: str, n: int) -> DataFrame:
+        at = lambda k: F.max(F.when(F.col(across) == k, F.col("val")))
+        ends = g.where(F.col(across).isin(1, 2, n - 1, n)).groupBy(along).agg((2 * at(1) - at(2)).alias("_a"), (2 * at(n) - at(n - 1)).alias("_b"))
+        rim = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("_a").alias("val")), F.struct(F.lit(n + 1).alias("k"), F.col("_b").alias("val"))))
+        return ends.select(along, rim.alias("r")).select(along, F.col("r.k").alias(across), "r.val").select("row", "col", "val")
+
+    wide = grid.select("row", "col", "val")
+    wide = wide.union(beyond(wide, "row", "col", ncols))
+    return wide.union(beyond(wide, "col", "row", nrows))
+
+
+def neighbours(grid: DataFrame, rim: tuple[int, int] | None = None) -> DataFrame:
     """row, col, val and the eight neighbours' values (n, ne, e, se, s, sw, w, nw; NULL where there is none).
 
-    Every cell sends its value to its neighbours; one aggregation by cell puts them side by side.
+    Every cell sends its value to its neighbours; one aggregation by cell puts them side by side. With ``rim`` (numbers
+    of rows and columns) cells at the grid's edge get neighbours beyond it by linear continuation.
     """
+    if rim is not None:
+        return neighbours(with_rim(grid, *rim)).where(F.col("row").between(1, rim[0]) & F.col("col").between(1, rim[1]))
     sent = shifted(grid, [(0, 0), *EIGHT])
     pick = lambda dr, dc: F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("val")))
     every = sent.groupBy("row", "col").agg(F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1)).alias("_own"), pick(0, 0).alias("val"), *[pick(*o).alias(n) for o, n in zip(EIGHT, NAMES)])
@@ -139,15 +159,16 @@ def neighbours(grid: DataFrame) -> DataFrame:
 
 
 def gradient(around: DataFrame, dx: float, dy: float) -> DataFrame:
-    """``neighbours`` with p and q: central differences eastward and northward over all eight, NULL at edges."""
-    p = (F.col("ne") + F.col("e") + F.col("se") - F.col("nw") - F.col("w") - F.col("sw")) / (6 * dx)
-    q = (F.col("ne") + F.col("n") + F.col("nw") - F.col("se") - F.col("s") - F.col("sw")) / (6 * dy)
+    """``neighbours`` with p and q: central differences eastward and northward, NULL beside a missing value."""
+    p = (F.col("e") - F.col("w")) / (2 * dx)
+    q = (F.col("n") - F.col("s")) / (2 * dy)
     return around.withColumns({"p": p, "q": q})
 
 
-def surface(grid: DataFrame, dx: float, dy: float) -> DataFrame:
-    """row, col, val, slope and aspect (degrees) and the unit normal nx, ny, nz of cells with all eight neighbours."""
-    g = gradient(neighbours(grid), dx, dy).where("p is not null and q is not null")
+def surface(grid: DataFrame, dx: float, dy: float, rim: tuple[int, int] | None = None) -> DataFrame:
+    """row, col, val, slope and aspect (degrees) and the unit normal nx, ny, nz of cells with all four side neighbours
+    (at the grid's edge with ``rim``, see ``neighbours``)."""
+    g = gradient(neighbours(grid, rim), dx, dy).where("p is not null and q is not null")
     p, q = F.col("p"), F.col("q")
     size = F.sqrt(p * p + q * q + 1)
     return g.select("row", "col", "val", F.degrees(F.atan(F.sqrt(p * p + q * q))).alias("slope"), (F.degrees(F.atan2(p, q)) + 180).alias("aspect"), (-p / size).alias("nx"), (-q / size).alias("ny"), (1 / size).alias("nz"))
@@ -231,6 +252,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = f"/tmp/terragrid-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

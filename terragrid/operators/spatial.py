@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import _cut
 
 
-def nearest_2d(left: DataFrame, right: DataFrame, cell: float, k: int = 1, most_rings: int = 12) -> DataFrame:
-    """left id, right id, distance and rank of the k nearest points of ``right`` (id, x, y) to each of ``left`` (id, x, y).
+def nearest(left: DataFrame, right: DataFrame, cell: float, k: int = 1, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """left id, right id, distance and rank of the k nearest points of ``right`` (id, axes) to each of ``left`` (id, axes).
 
-    Both sides are dealt into square buckets. A left point asks its 3 x 3 buckets; while fewer than k points are
-    within the reach of what it asked (so nearer ones may lie outside), the reach doubles for those points only. Points
-    without enough neighbours in reach at the end take the best that was found. Ties take the smaller id.
+    Both sides are dealt into square (or cubic) buckets. A left point asks the buckets around its own; while fewer than
+    k points are within the reach of what it asked (so nearer ones may lie outside), the reach grows for those points
+    only, till it spans both sides' extent: then every point has been asked, so none is left without its neighbours.
+    Ties take the smaller id; points with a missing coordinate have and are no neighbours.
     """
-    spot = lambda c, size: F.floor(F.col(c) / size)
-    rest, done, reach = left.select("id", "x", "y"), None, cell
-    r = right.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    for ring in range(most_rings):
-        span = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = rest.select("id", "x", "y", F.explode(span).alias("s")).select("id", "x", "y", (spot("x", reach) + F.col("s.i")).alias("bx"), (spot("y", reach) + F.col("s.j")).alias("by"))
-        there = r.withColumns({"bx": F.floor(F.col("rx") / reach), "by": F.floor(F.col("ry") / reach)})
-        d = F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry")))
-        found = asked.join(there, ["bx", "by"]).select("id", "rid", d.alias("distance"))
+    there_ = " and ".join(f"{c} is not null and not isnan({c})" for c in axes)
+    left, right = left.select("id", *axes).where(there_), right.where(there_).select(F.col("id").alias("rid"), *[F.col(c).alias(f"r_{c}") for c in axes])
+    ends = [d.agg(*[f(c) for c in cols for f in (F.min, F.max)]).head() for d, cols in ((left, axes), (right, [f"r_{c}" for c in axes]))]
+    empty = any(v is None for e in ends for v in e)
+    extent = 0.0 if empty else max(max(e[2 * i + 1] for e in ends) - min(e[2 * i] for e in ends) for i in range(len(axes)))
+    rest, done, reach, ring = left, None, cell, 0
+    square = lambda a: a * a
+    while True:
+        around = F.array(*[F.struct(*[F.lit(o).alias(f"o_{c}") for c, o in zip(axes, step)]) for step in product((-1, 0, 1), repeat=len(axes))])
+        asked = rest.select("id", *axes, F.explode(around).alias("s")).select("id", *axes, *[(F.floor(F.col(c) / reach) + F.col(f"s.o_{c}")).alias(f"b_{c}") for c in axes])
+        there = right.withColumns({f"b_{c}": F.floor(F.col(f"r_{c}") / reach) for c in axes})
+        d = F.sqrt(sum((square(F.col(c) - F.col(f"r_{c}")) for c in axes), F.lit(0.0)))
+        found = asked.join(there, [f"b_{c}" for c in axes]).select("id", "rid", d.alias("distance"))
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "rid"))).where(F.col("rank") <= k)
-        last = ring == most_rings - 1
+        last = reach >= extent
         sure = ranked if last else ranked.join(ranked.where((F.col("rank") == k) & (F.col("distance") <= reach)).select("id"), "id", "left_semi")
         done = sure if done is None else done.union(sure)
         if last:
-            break
+            return done
         rest = rest.join(sure.select("id").distinct(), "id", "left_anti")
         rest = _cut(rest) if ring else rest
         if not rest.limit(1).count():
-            break
-        reach *= 2
-    return done
+            return done
+        ring, reach = ring + 1, reach * (2 if ring < 3 else 8)
+
+
+def nearest_2d(left: DataFrame, right: DataFrame, cell: float, k: int = 1) -> DataFrame:
+    return nearest(left, right, cell, k)
 
 
 def hamming_bits(a: Column, b: Column) -> Column:
@@ -52,15 +62,19 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def match(query: DataFrame, train: DataFrame, block: list[str], distance, k: int = 1, other: bool = False) -> DataFrame:
+def match(query: DataFrame, train: DataFrame, block: list[str], distance, k: int = 1, other: bool = False, tile: int = 256) -> DataFrame:
     """block..., query id, train id, distance, rank: the k nearest descriptors (id, d) of the same block, ties by id;
     with ``other`` none has the query's own id.
 
-    The partial best are taken where pairs are made, so a shuffle carries k rows a query and task.
+    The other side is gathered into tiles of about ``tile`` descriptors; a query row meets a tile, not its members, and
+    keeps k of it, so what is shuffled is k rows a query and tile, never all pairs.
     """
-    t = train.select(*block, F.col("id").alias("tid"), F.col("d").alias("td"))
-    met = query.select(*block, "id", "d").join(t, block)
-    pairs = (met.where("id <> tid") if other else met).select(*block, "id", "tid", distance(F.col("d"), F.col("td")).alias("distance"))
+    sizes = train.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / tile).alias("_tiles"))
+    t = train.select(*block, F.col("id").alias("tid"), F.col("d").alias("td")).join(sizes, block)
+    tiles = t.groupBy(*block, F.pmod(F.xxhash64("tid"), "_tiles").alias("_tile")).agg(F.collect_list(F.struct("tid", "td")).alias("_all"))
+    others = F.filter("_all", lambda x: x["tid"] != F.col("id")) if other else F.col("_all")
+    best = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(distance(F.col("d"), x["td"]).alias("distance"), x["tid"].alias("tid")))), 1, k)
+    pairs = query.select(*block, "id", "d").join(tiles, block).select(*block, "id", F.explode(best).alias("_b")).select(*block, "id", "_b.tid", "_b.distance")
     order = Window.partitionBy(*block, "id").orderBy("distance", "tid")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -113,7 +127,9 @@ def boxes_meet(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 def face_neighbours(faces: DataFrame, most: int = 15) -> DataFrame:
     """face_id, other: faces that share a vertex (face_id, vertex), the face itself too, the ``most`` highest ids."""
-    other = faces.select(F.col("face_id").alias("other"), "vertex")
+    # only a vertex's highest faces can be among a face's highest
+    high = Window.partitionBy("vertex").orderBy(F.desc("face_id"))
+    other = faces.withColumn("_k", F.row_number().over(high)).where(F.col("_k") <= most).select(F.col("face_id").alias("other"), "vertex")
     pairs = faces.join(other, "vertex").select("face_id", "other").distinct()
     return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("face_id").orderBy(F.desc("other")))).where(F.col("_r") <= most).drop("_r")
 

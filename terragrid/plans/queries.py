@@ -25,8 +25,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 AX = G.Axes(0.0, 9.0, 1.0, 1.0, 50, 10)
 #: Cells of lineitem: mean price by part and supplier number.
-GRID = """g as (select cast(10 - l_suppkey % 10 as integer) as "row", cast(l_partkey % 50 + 1 as integer) as col, avg(l_extendedprice) as val, count(l_extendedprice) as n from lineitem group by all)"""
-REF = """ref as (select cast(10 - (p_partkey // 50) % 10 as integer) as "row", cast(p_partkey % 50 + 1 as integer) as col, avg(p_retailprice) * 25 as val from part group by all)"""
+GRID = """g as (select cast(10 - l_suppkey % 10 as integer) as "row", cast(l_partkey % 50 + 1 as integer) as col, sum(l_extendedprice::decimal(18, 2))::double / count(l_extendedprice) as val, count(l_extendedprice) as n from lineitem group by all)"""
+REF = """ref as (select cast(10 - (p_partkey // 50) % 10 as integer) as "row", cast(p_partkey % 50 + 1 as integer) as col, sum(p_retailprice::decimal(18, 2))::double / count(p_retailprice) * 25 as val from part group by all)"""
 
 
 def query(sql: str | None = None):
@@ -48,12 +48,12 @@ def points(spark, sf) -> DataFrame:
 
 
 def cells(spark, sf) -> DataFrame:
-    return G.cell_mean(points(spark, sf), AX)
+    return G.cell_mean(points(spark, sf), AX, digits=2)
 
 
 def reference(spark, sf) -> DataFrame:
     p = table(spark, sf, "part").select((F.col("p_partkey") % 50).cast("double").alias("x"), (F.floor(F.col("p_partkey") / 50) % 10).cast("double").alias("y"), F.col("p_retailprice").alias("z"))
-    return G.cell_mean(p, AX).select("row", "col", (F.col("val") * 25).alias("val"))
+    return G.cell_mean(p, AX, digits=2).select("row", "col", (F.col("val") * 25).alias("val"))
 
 
 def positions(spark, sf) -> DataFrame:
@@ -299,7 +299,7 @@ def neighbors8(spark, sf):
     return rounded(G.neighbours(cells(spark, sf)), 4, "val", *G.NAMES)
 
 
-_PQ = f"{_N8}, d as (select *, (ne + e + se - nw - w - sw) / 6000 as p, (ne + n + nw - se - s - sw) / 6000 as q from o)"
+_PQ = f"{_N8}, d as (select *, (e - w) / 2000 as p, (n - s) / 2000 as q from o)"
 
 
 @query(f'with {_PQ} select "row", col, round(degrees(atan(sqrt(p * p + q * q))), 6) as slope, round(degrees(atan2(p, q)) + 180, 6) as aspect, round(-p / sqrt(p * p + q * q + 1), 8) as nx, round(-q / sqrt(p * p + q * q + 1), 8) as ny, round(1 / sqrt(p * p + q * q + 1), 8) as nz from d where p is not null and q is not null')

@@ -55,7 +55,7 @@ def rasterize(points: DataFrame, axes: Axes, gap_cells: int = 4, speckle_cells:
     cells = cell_mean(points, axes).select("row", "col", "val")
     gaps = axes.cells(spark).select("row", "col").join(cells, ["row", "col"], "left_anti")
     large = area_open(gaps, gap_cells)
-    filled = est.inpaint(cells, axes, rounds=20, tolerance=0.01)
+    filled = est.inpaint(cells, axes)
     out = filled.join(dilate(large, disk(1), axes.nrows, axes.ncols), ["row", "col"], "left_anti")
     out = out.join(area_open(out, speckle_cells), ["row", "col"], "left_semi")
     if median_size:

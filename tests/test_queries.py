@@ -12,7 +12,7 @@ from terragrid.functions import semantics as S
 from terragrid.operators import estimators as E
 from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
-from terragrid.plans import queries, stages
+from terragrid.plans import more, queries, stages
 from terragrid.streaming import windows
 from tests.conftest import SF
 
@@ -32,7 +32,7 @@ def plain(rows):
     return sorted((tuple(clean(v) for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(more.ORACLES))
 def test_query_matches_sql(spark, db, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -84,7 +84,7 @@ def test_published_polynomial_fit(spark):
 def test_two_unknowns_of_the_worked_example(spark):
     values = [[0, 0, 0, 0], [1, None, None, 4], [2, 3, 5, 8]]
     cells = [(r + 1, c + 1, None if v is None else float(v)) for r, row in enumerate(values) for c, v in enumerate(row)]
-    got = {(r.row, r.col): r.val for r in E.inpaint(spark.createDataFrame(cells, "row int, col int, val double"), G.Axes(0, 0, 1, 1, 4, 3), tolerance=1e-7).collect()}
+    got = {(r.row, r.col): r.val for r in E.inpaint(spark.createDataFrame(cells, "row int, col int, val double"), G.Axes(0, 0, 1, 1, 4, 3)).collect()}
     assert abs(got[2, 2] - 25 / 15) < 1e-4 and abs(got[2, 3] - 40 / 15) < 1e-4
 
 
