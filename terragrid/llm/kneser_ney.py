@@ -1,86 +1,111 @@
-"""Quality by an interpolated modified Kneser-Ney model of characters, trained on trusted text."""
+"""Quality by an interpolated modified Kneser-Ney model of characters, trained on trusted text.
+
+n-grams are strings of code points. Counts, discounts, probabilities and back-off weights are tables joined by n-gram;
+no part of the model is collected or broadcast, in estimation or in scoring, whatever its size.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch
+from .common import Scratch, fresh
 
-#: Bits of a character in an n-gram's key. Code points from U+0800 on count by their block of 256.
-BITS = 12
 _START = 1
 
 
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts on end, and where each begins. Other white space than newlines counts as a space, digits as 0."""
+    """Code points of all texts on end, and where each begins. Other white space than newlines counts as a space, digits as 0."""
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    x = np.where(x >= 0x800, 0x800 + (x >> np.uint64(8) & np.uint64(0x7FF)), x)
+    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     x = np.where((x == 9) | ((x >= 11) & (x <= 13)) | (x == 0xA0), 32, x)
-    return np.where((x >= 48) & (x <= 57), 48, np.maximum(x, 2)).astype(np.uint64), at
+    return np.where((x >= 48) & (x <= 57), 48, np.maximum(x, 2)).astype(np.uint32), at
 
 
-def _keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, texts begun with start symbols; and where each text's begin."""
+def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which n-gram ends at each character (texts begun with start symbols), the distinct n-grams (rows of code
+    points), and where each text's characters begin."""
     x, at = _symbols(texts)
-    padded = np.insert(x, np.repeat(at[:-1], order - 1), np.uint64(_START))
-    key = np.zeros(len(padded), np.uint64)
-    for k in range(order):
-        key[order - 1 :] |= padded[order - 1 - k : len(padded) - k] << np.uint64(BITS * k)
+    padded = np.insert(x, np.repeat(at[:-1], order - 1), np.uint32(_START))
     keep = np.ones(len(padded), bool)
     first = at[:-1] + np.arange(len(at) - 1) * (order - 1)
     for k in range(order - 1):
         keep[first + k] = False
-    return key[keep], at
+    ends = np.flatnonzero(keep)
+    if not len(ends):
+        return np.zeros(0, np.int64), np.zeros((0, order), np.uint32), at
+    # these texts' symbols are numbered, so that an n-gram is one whole number
+    used = np.zeros(int(padded.max()) + 1, bool)
+    used[padded] = True
+    symbols = np.flatnonzero(used).astype(np.uint32)
+    if len(symbols) ** order < 1 << 64:
+        number = np.zeros(len(used), np.uint64)
+        number[symbols] = np.arange(len(symbols), dtype=np.uint64)
+        number = number[padded]
+        key = number[ends]
+        for k in range(1, order):
+            key = key + number[ends - k] * np.uint64(len(symbols) ** k)
+        code, distinct = pd.factorize(key)
+        rows = np.empty((len(distinct), order), np.uint32)
+        for k in range(order):
+            rows[:, order - 1 - k] = symbols[(distinct // np.uint64(len(symbols) ** k) % np.uint64(len(symbols))).astype(np.int64)]
+    else:
+        rows, code = np.unique(padded[ends[:, None] - np.arange(order - 1, -1, -1)], axis=0, return_inverse=True)
+    return code.ravel(), rows, at
+
+
+def _strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"<U{rows.shape[1]}").ravel()
+
+
+def _hash(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = T.mix(h * np.uint64(31) + rows[:, k].astype(np.uint64) + np.uint64(1))
+    return h
 
 
 def count(docs: DataFrame, order: int = 5) -> DataFrame:
-    """key and c of all n-grams of the texts of ``docs``: every task adds up its own before the shuffle."""
-    emit = T.emitter("key long, c long")
+    """key (the n-gram) and c of all n-grams of the texts of ``docs``; a slice's are added up before the shuffle."""
+    emit = T.emitter("key string, c long")
 
     def run(batches):
-        held_keys, held_counts, held = [], [], 0
-
-        def merged():
-            keys, where = np.unique(np.concatenate(held_keys), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate(held_counts), len(keys)).astype(np.int64)
-
-        for part in T.slices(batches, most=1 << 20):
-            keys, n = np.unique(_keys(part.column("text").to_pylist(), order)[0], return_counts=True)
-            held_keys.append(keys)
-            held_counts.append(n)
-            held += len(keys)
-            if held > 4_000_000:
-                keys, n = merged()
-                if len(keys) > 2_000_000:
-                    yield emit({"key": keys.view(np.int64), "c": n})
-                    held_keys, held_counts, held = [], [], 0
-                else:
-                    held_keys, held_counts, held = [keys], [n], len(keys)
-        if held:
-            keys, n = merged()
-            yield emit({"key": keys.view(np.int64), "c": n})
-
-    return docs.selectExpr("cast(text as string) text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        for part in T.slices(batches, most=4 << 20):
+            code, rows, _ = _grams(part.column("text").to_pylist(), order)
+            yield emit({"key": _strings(rows), "c": np.bincount(code, minlength=len(rows))})
+
+    return docs.selectExpr("cast(text as string) text").mapInArrow(run, "key string, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _suffix(key: str = "key") -> F.Column:
+    return F.expr(f"substring({key}, 2)")
+
+
+def _context(key: str = "key") -> F.Column:
+    return F.expr(f"left({key}, char_length({key}) - 1)")
 
 
 def estimate(counts: DataFrame, scratch: Scratch, order: int = 5) -> tuple[list[DataFrame], list[DataFrame]]:
     """Probabilities (key, p) and back-off weights (ctx, gamma) of the orders 1 to ``order``.
 
     Orders below the highest count the distinct characters before an n-gram. Each order has three discounts from its
-    counts of counts. Tables are joined on contexts and on shorter n-grams by their keys' bits.
+    counts of counts. Below order 1 all symbols seen and one more are equally likely. Tables are joined on contexts
+    and on shorter n-grams.
     """
     tables, now = [], scratch.save(counts, f"count{order}")
     for n in range(order, 0, -1):
         tables.append(now)
         if n > 1:
-            shorter = now.select(F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-            now = scratch.save(shorter, f"count{n - 1}")
+            now = scratch.save(now.select(_suffix().alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")), f"count{n - 1}")
+    every = now.count() + 1
     probabilities, weights, lower = [], [], None
     for n, table in enumerate(reversed(tables), 1):
         few = {r.k: r.n for r in table.groupBy(F.least("c", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,152 +113,142 @@ def estimate(counts: DataFrame, scratch: Scratch, order: int = 5) -> tuple[list[
         y = n1 / (n1 + 2 * n2)
         d1, d2, d3 = (min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = table.select("key", "c", F.shiftrightunsigned("key", BITS).alias("ctx"), cut.alias("d"))
+        rows = table.select("key", "c", _context().alias("ctx"), cut.alias("d"))
         context = scratch.save(rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma")), f"context{n}")
         rows = rows.join(context, "ctx")
         own = (F.col("c") - F.col("d")) / F.col("total")
         if lower is None:
-            p = rows.select("key", (own + F.col("gamma") / float(1 << BITS)).alias("p"))
+            p = rows.select("key", (own + F.col("gamma") / float(every)).alias("p"))
         else:
             below = lower.select(F.col("key").alias("_k"), F.col("p").alias("_p"))
-            p = rows.join(below, F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1) == F.col("_k")).select("key", (own + F.col("gamma") * F.col("_p")).alias("p"))
+            p = rows.join(below, _suffix() == F.col("_k")).select("key", (own + F.col("gamma") * F.col("_p")).alias("p"))
         lower = scratch.save(p, f"p{n}")
         probabilities.append(lower)
         weights.append(context.select("ctx", "gamma"))
     return probabilities, weights
 
 
-@dataclass
-class Table:
-    """Open addressing over 64-bit keys: numpy looks up whole arrays at once."""
-
-    keys: np.ndarray
-    values: np.ndarray
-    bits: int
-
-    EMPTY = np.uint64((1 << 64) - 1)
-
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        bits = max(4, int(2 * len(keys)).bit_length())
-        made = cls(np.full(1 << bits, cls.EMPTY), np.zeros(1 << bits, np.float32), bits)
-        keys, values = keys.astype(np.int64).view(np.uint64), values.astype(np.float32)
-        slot = made._slot(keys)
-        while len(keys):
-            free = made.keys[slot] == cls.EMPTY
-            made.keys[slot[free]] = keys[free]
-            placed = made.keys[slot] == keys
-            made.values[slot[placed]] = values[placed]
-            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << bits) - 1)
-        return made
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        """Values in the keys' order; ``missing`` for keys that aren't there."""
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        out = self.values[slot]
-        out[there == self.EMPTY] = missing
-        rest = np.flatnonzero((there != keys) & (there != self.EMPTY))
-        while len(rest):
-            at = (slot[rest] + 1) & ((1 << self.bits) - 1)
-            slot[rest] = at
-            there = self.keys[at]
-            out[rest] = np.where(there == self.EMPTY, missing, self.values[at])
-            rest = rest[(there != keys[rest]) & (there != self.EMPTY)]
-        return out
-
-
-def _log_p(keys: np.ndarray, p: list[Table], gamma: list[Table], order: int) -> np.ndarray:
-    """Natural logs of the n-grams' probabilities: the longest seen one, times the back-off weights above it."""
-    out, rest, now = np.zeros(len(keys)), np.arange(len(keys)), keys
-    for n in range(order, 0, -1):
-        if not len(rest):
-            break
-        found = p[n - 1].get(now, -1.0)
-        seen = found > 0
-        out[rest[seen]] += np.log(found[seen])
-        rest, now = rest[~seen], now[~seen]
-        out[rest] += np.log(gamma[n - 1].get(now >> np.uint64(BITS), 1.0))
-        now = now & np.uint64((1 << BITS * (n - 1)) - 1)
-    out[rest] -= np.log(float(1 << BITS))
-    return out
-
-
-def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], most: int = 8_000_000, keep_text: bool = False, broadcasts: list | None = None) -> DataFrame:
+def look_up(grams: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """h and lp (natural log-probability) of the n-grams (h, gram): the longest part that the model has, and the
+    back-off weights above it; a round of joins for each order."""
+    rest, found = grams.select("h", F.col("gram").alias("key"), F.lit(0.0).alias("w")), None
+    for n in range(len(probabilities), 0, -1):
+        rest = scratch.save(rest.join(probabilities[n - 1], "key", "left"), f"asked{n}")
+        seen = rest.where("p is not null").select("h", (F.col("w") + F.log("p")).alias("lp"))
+        found = seen if found is None else found.union(seen)
+        rest = rest.where("p is null").select("h", "key", "w", _context().alias("ctx")).join(weights[n - 1], "ctx", "left")
+        rest = rest.select("h", _suffix().alias("key"), (F.col("w") + F.log(F.coalesce("gamma", F.lit(1.0)))).alias("w"))
+    every = probabilities[0].count() + 1
+    return found.union(rest.select("h", (F.col("w") - F.log(F.lit(float(every)))).alias("lp")))
+
+
+def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], keep_text: bool = False, block: int = 16 << 20, shard_keys: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` with lm_chars and lm_log_p (summed natural log-probability of the characters) after their
     own columns; without ``keep_text`` the text is left out. A null text has no characters.
 
-    A model of up to ``most`` entries (counted first; 16 bytes each) is sent to the workers. A larger one stays
-    sharded: the texts' n-grams, counted by document, are joined with the probabilities by key (the n-grams that the
-    model lacks, order by order), and summed by document. ``broadcasts`` gets what was
-    sent, to be destroyed once the result is written.
+    Texts are gathered in compressed blocks of about ``block`` bytes, each with its distinct n-grams. All blocks'
+    distinct n-grams are looked up by joins. Then a block sends each of its n-grams (by a 64-bit hash) once to that
+    hash's shard and gets the logarithms back; the table of blocks is bucketed, so the texts themselves aren't shuffled.
     """
-    order = len(probabilities)
-    entries = sum(t.count() for t in [*probabilities, *weights])
-    if entries > most:
-        return _score_sharded(docs, probabilities, weights, keep_text)
-    held = [df.toArrow() for df in [*probabilities, *weights]]
-    sent = docs.sparkSession.sparkContext.broadcast([(t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.float32)) for t in held])
-    del held
-    if broadcasts is not None:
-        broadcasts.append(sent)
+    spark, order = docs.sparkSession, len(probabilities)
+    scratch = Scratch(spark, "scores")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    ddl = "block long, n_grams int, grams binary, data binary"
+    emit, emit_gram = T.emitter(ddl), T.emitter("h long, gram string")
+
+    def gather(batches):
+        part, number, held, parts, rows = TaskContext.get().partitionId(), 0, 0, [], []
+        pack = zstandard.ZstdCompressor(level=3).compress
+
+        def flush():
+            grams = np.concatenate(rows)
+            grams = grams[np.unique(_hash(grams), return_index=True)[1]]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema) as out:
+                for p in parts:
+                    out.write_batch(p)
+            return emit({"block": [part << 32 | number], "n_grams": [len(grams)], "grams": [pack(grams.tobytes())], "data": [pack(sink.getvalue())]})
+
+        for sub in T.slices(batches, most=1 << 20):
+            rows.append(_grams(sub.column("text").to_pylist(), order)[1])
+            parts.append(sub)
+            held += sub.nbytes
+            if held >= block:
+                yield flush()
+                number, held, parts, rows = number + 1, 0, [], []
+        if parts:
+            yield flush()
+
+    def open_grams(data: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(data), "<u4").reshape(-1, order)
+
+    def list_grams(batches):
+        for batch in batches:
+            for data in batch.column("grams").to_pylist():
+                grams = open_grams(data)
+                yield emit_gram({"h": _hash(grams).view(np.int64), "gram": _strings(grams)})
+
+    made = docs.mapInArrow(gather, ddl)
+    name, buckets = f"kn_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.bucketBy(buckets, "block").option("path", f"{scratch.base}/blocks").option("compression", "zstd").saveAsTable(name)
+    blocks = spark.table(name)
+    grams = blocks.select("grams").mapInArrow(list_grams, "h long, gram string").distinct()
+    shards = max(1, (blocks.agg(F.sum("n_grams")).head()[0] or 0) // shard_keys)
+    scores = look_up(grams, probabilities, weights, scratch)
+    scores = scores.withColumn("shard", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(shards), 32).cast("int"))
+    sent, back = T.emitter("shard int, block long, hs binary"), T.emitter("block long, shard int, lps binary")
+
+    def send(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist()):
+                h = np.sort(_hash(open_grams(data)))
+                shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                ends = np.append(cuts[1:], len(h))
+                yield sent({"shard": shard[cuts], "block": [number] * len(cuts), "hs": [h[a:b].tobytes() for a, b in zip(cuts, ends)]})
+
+    def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h, lp = known.column("h").to_numpy().view(np.uint64), known.column("lp").to_numpy()
+        order_ = np.argsort(h)
+        h, lp = h[order_], lp[order_]
+        got = [lp[np.searchsorted(h, np.frombuffer(x, "<u8"))].tobytes() for x in asked.column("hs").to_pylist()]
+        return pa.Table.from_batches([back({"block": asked.column("block").combine_chunks(), "shard": asked.column("shard").combine_chunks(), "lps": got})])
+
+    asked = blocks.select("block", "grams").mapInArrow(send, "shard int, block long, hs binary")
+    replies = asked.groupBy("shard").cogroup(scores.groupBy("shard")).applyInArrow(reply, "block long, shard int, lps binary")
+    replies = replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "lps"))).alias("replies"))
     schema = docs.schema if keep_text else docs.drop("text").schema
-    names = schema.names
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lm_chars long", "lm_log_p double"])
-    emit = T.emitter(ddl)
-
-    def run(batches):
-        tables = [Table.of(k, v) for k, v in sent.value]
-        for part in T.slices(batches, most=1 << 20):
-            keys, at = _keys(part.column("text").to_pylist(), order)
-            total = np.concatenate([[0.0], np.cumsum(_log_p(keys, tables[:order], tables[order:], order))])
-            yield emit({c: part.column(c) for c in names} | {"lm_chars": np.diff(at), "lm_log_p": total[at[1:]] - total[at[:-1]]})
-
-    return docs.mapInArrow(run, ddl)
-
-
-def _score_sharded(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame], keep_text: bool) -> DataFrame:
-    """The same by joins: a row for each document and distinct n-gram, a round for each order."""
-    order = len(probabilities)
-    scratch = Scratch(docs.sparkSession, "sharded")
-    marked = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    emit = T.emitter("_row long, key long, n long")
-
-    def grams(batches):
-        for part in T.slices(batches, most=1 << 20):
-            rows = part.column("_row").to_numpy()
-            keys, at = _keys(part.column("text").to_pylist(), order)
-            for row, a, b in zip(rows, at[:-1], at[1:]):
-                key, n = np.unique(keys[a:b], return_counts=True)
-                yield emit({"_row": np.full(len(key), row), "key": key.view(np.int64), "n": n})
-
-    rest = marked.select("_row", "text").mapInArrow(grams, "_row long, key long, n long").withColumn("w", F.lit(0.0))
-    sums = None
-    for n in range(order, 0, -1):
-        rest = scratch.save(rest.join(probabilities[n - 1], "key", "left"), f"rest{n}")
-        part = rest.where("p is not null").groupBy("_row").agg(F.sum(F.col("n") * (F.col("w") + F.log("p"))).alias("s"))
-        sums = part if sums is None else sums.union(part)
-        rest = rest.where("p is null").drop("p").withColumn("ctx", F.shiftrightunsigned("key", BITS)).join(weights[n - 1], "ctx", "left")
-        rest = rest.select("_row", F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1).alias("key"), "n", (F.col("w") + F.log(F.coalesce("gamma", F.lit(1.0)))).alias("w"))
-    sums = sums.union(rest.groupBy("_row").agg(F.sum(F.col("n") * (F.col("w") - F.log(F.lit(float(1 << BITS))))).alias("s")))
-    out = marked.join(sums.groupBy("_row").agg(F.sum("s").alias("lm_log_p")), "_row", "left").drop("_row")
-    out = out.withColumn("lm_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).withColumn("lm_log_p", F.coalesce("lm_log_p", F.lit(0.0)))
-    return out.select(*[c for c in docs.columns if keep_text or c != "text"], "lm_chars", "lm_log_p")
+    out_ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lm_chars long, lm_log_p double"])
+    emit_row = T.emitter(out_ddl)
+
+    def add_up(batches):
+        for batch in batches:
+            for data, grams, got in zip(*(batch.column(c).to_pylist() for c in ("data", "grams", "replies"))):
+                h, lp = np.sort(_hash(open_grams(grams))), np.frombuffer(b"".join(r["lps"] for r in got), "<f8")
+                for sub in pa.ipc.open_stream(zstandard.decompress(data)):
+                    code, rows, at = _grams(sub.column("text").to_pylist(), order)
+                    own = lp[np.searchsorted(h, _hash(rows))]
+                    total = np.concatenate([[0.0], np.cumsum(own[code])])
+                    yield emit_row({c: sub.column(c) for c in schema.names} | {"lm_chars": np.diff(at), "lm_log_p": total[at[1:]] - total[at[:-1]]})
+        T.release()
+
+    result = scratch.save(blocks.join(replies, "block", "left").select("data", "grams", F.coalesce("replies", F.array().cast("array<struct<shard:int,lps:binary>>")).alias("replies")).mapInArrow(add_up, out_ddl), "scored")
+    spark.sql(f"drop table {name}")
+    scratch.drop("blocks", *[f"asked{n}" for n in range(1, order + 1)])
+    return result
 
 
 def mark_trusted(docs: DataFrame, trusted: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``docs`` with lm_trusted: whether the doc_id is in ``trusted`` (doc_id). Up to ``most`` ids (counted first) are
     broadcast, more are joined by a shuffle."""
-    ids = trusted.selectExpr("cast(doc_id as long) _trusted").where("_trusted is not null").distinct()
+    (id_,) = fresh(docs, "trusted_id")
+    ids = trusted.select(F.col("doc_id").cast("long").alias(id_)).where(F.col(id_).isNotNull()).distinct()
     ids = F.broadcast(ids) if ids.count() <= most else ids
-    return docs.join(ids, docs.doc_id.cast("long") == F.col("_trusted"), "left").withColumn("lm_trusted", F.col("_trusted").isNotNull()).drop("_trusted")
+    return docs.join(ids, docs.doc_id.cast("long") == F.col(id_), "left").withColumn("lm_trusted", F.col(id_).isNotNull()).drop(id_)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.99, margin: float = 1.12, prior: int = 200, most: int = 8_000_000, keep_text: bool = False) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, others) with lm_chars, perplexity, lm_threshold and lm_kept.
+def judge(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.99, margin: float = 1.12, prior: int = 200, keep_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, others) with lm_chars, perplexity, lm_threshold and lm_kept, which take the place of columns of these names.
 
     The model counts every character n-gram of the trusted documents. A document's perplexity is drawn toward the
     trusted text's mean as if by ``prior`` more characters, which steadies short texts. A language's threshold is
@@ -242,12 +257,11 @@ def judge(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float =
     characters has no perplexity and isn't kept. Null languages are a language; rows stay one to one.
     """
     scratch = Scratch(docs.sparkSession, "kneser_ney")
+    docs = docs.drop("lm_chars", "lm_log_p", "lm_trusted", "perplexity", "lm_threshold", "lm_kept")
+    lang_, limit_ = fresh(docs, "limit_lang", "limit")
     marked = mark_trusted(docs, trusted)
     probabilities, weights = estimate(count(marked.where("lm_trusted"), order), scratch, order)
-    sent: list = []
-    scored = scratch.save(score(marked, probabilities, weights, most, keep_text, sent), "scored")
-    for b in sent:
-        b.destroy()
+    scored = score(marked, probabilities, weights, keep_text)
     mean = F.sum("lm_log_p") / F.sum("lm_chars")
     trusted_mean = scored.where("lm_trusted and lm_chars > 0").agg(mean.alias("m")).head().m or 0.0
     perplexity = F.when(F.col("lm_chars") > 0, F.exp(-(F.col("lm_log_p") + prior * trusted_mean) / (F.col("lm_chars") + prior)))
@@ -256,7 +270,7 @@ def judge(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float =
     top = F.percentile_approx("perplexity", quantile, F.lit(100_000)) * margin
     every = good.agg(top.alias("t")).head().t
     rows = [(r.lang, r.t) for r in good.groupBy("lang").agg(top.alias("t")).collect()]  # a row a language
-    limits = docs.sparkSession.createDataFrame(rows, "_lang string, _limit double")
-    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("_limit", F.lit(float("inf") if every is None else float(every)))
-    return out.withColumn("lm_threshold", limit).withColumn("lm_kept", F.coalesce(F.col("perplexity") <= limit, F.lit(False))).drop("_lang", "_limit", "lm_trusted", "lm_log_p")
+    limits = docs.sparkSession.createDataFrame(rows, f"{lang_} string, {limit_} double")
+    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col(lang_)), "left")
+    limit = F.coalesce(limit_, F.lit(float("inf") if every is None else float(every)))
+    return out.withColumn("lm_threshold", limit).withColumn("lm_kept", F.coalesce(F.col("perplexity") <= limit, F.lit(False))).drop(lang_, limit_, "lm_trusted", "lm_log_p")

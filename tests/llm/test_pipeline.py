@@ -70,7 +70,7 @@ def brute_kneser_ney(texts, order):
     def p(gram):
         n = len(gram)
         if not n:
-            return 1 / 4096
+            return 1 / (len(counts[1]) + 1)
         seen, d = followers[n].get(gram[:-1]), discounts[n]
         if not seen:
             return p(gram[1:])
@@ -81,17 +81,38 @@ def brute_kneser_ney(texts, order):
     return lambda t: sum(np.log(p(tuple(([1] * (order - 1) + [ord(c) for c in t])[i : i + order]))) for i in range(len(t)))
 
 
-def test_kneser_ney_equals_the_textbook_by_both_ways(spark):
-    train = ["the cat sat on the mat", "the dog sat on a log", "a cat and a dog", "zebra"]
-    probe = [(1, "the cat"), (2, "xyz the mat"), (3, None), (4, "a dog on"), (4, "a dog on"), (None, "é")]
+def test_kneser_ney_equals_the_textbook(spark):
+    """All scripts, blocks of any size and any number of shards, to the precision of doubles."""
+    train = ["the cat sat on the mat", "the dog sat on a log", "a cat and a dog", "zebra", "नमस्ते दुनिया", "猫が座った 犬が座った"]
+    probe = [(1, "the cat"), (2, "xyz the mat"), (3, None), (4, "a dog on"), (4, "a dog on"), (None, "é"), (7, "दुनिया 猫が"), (8, "🙂 мир"), (9, "")]
     scratch = Scratch(spark, "kn")
     model = kneser_ney.estimate(kneser_ney.count(edge(spark, list(enumerate(train))), 3), scratch, 3)
     want = brute_kneser_ney(train, 3)
     docs = edge(spark, probe)
-    for most in (10**6, 0):
-        got = sorted((r.doc_id or 0, r.lm_chars, round(r.lm_log_p, 4)) for r in kneser_ney.score(docs, *model, most=most).collect())
+    for options in ({}, {"block": 10, "shard_keys": 7}):
+        got = sorted((r.doc_id or 0, r.lm_chars, r.lm_log_p) for r in kneser_ney.score(docs, *model, **options).collect())
         for (i, t), (j, n, lp) in zip(sorted(((i or 0, t or "") for i, t in probe)), got):
-            assert (i, len(t)) == (j, n) and abs(lp - want(t)) < 2e-3
+            assert (i, len(t)) == (j, n) and abs(lp - want(t)) < 1e-9
+    assert kneser_ney.score(docs.limit(0), *model).count() == 0
+
+
+def test_thresholds_by_hand(spark):
+    """Perplexities drawn to the trusted mean, thresholds from their quantiles, also with columns of clashing names."""
+    rows = [(i, "abc " * 30 + "xy" * i, "en" if i % 2 else None) for i in range(12)] + [(20, "q#" * 200, "en"), (21, "", "de"), (22, "abc " * 9, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("lm_chars", "_trusted", "limit", "trusted_id", "lm_trusted", "block", "h")})
+    trusted = spark.createDataFrame([(i,) for i in range(12)], "doc_id long")
+    scratch = Scratch(spark, "kn")
+    good = docs.where("doc_id < 12")
+    model = kneser_ney.estimate(kneser_ney.count(good, 3), scratch, 3)
+    lp = {r.doc_id: (r.lm_log_p, len(r.text)) for r in kneser_ney.score(docs.select("doc_id", "text"), *model, keep_text=True).collect()}
+    mean = sum(lp[i][0] for i in range(12)) / sum(lp[i][1] for i in range(12))
+    ppl = {i: np.exp(-(a + 200 * mean) / (n + 200)) if n else None for i, (a, n) in lp.items()}
+    out = {r.doc_id: r for r in kneser_ney.judge(docs, trusted, order=3, quantile=0.5).collect()}
+    for i, r in out.items():
+        same = sorted(ppl[j] for j in range(12) if j % 2 == (r.lang == "en")) if r.lang != "de" else sorted(ppl[j] for j in range(12))
+        limit = 1.12 * same[-(-len(same) // 2) - 1]
+        assert abs(r.lm_threshold - limit) < 1e-9 and r.lm_kept == (ppl[i] is not None and ppl[i] <= limit) and r._trusted == r.block == "x"
+    assert not out[20].lm_kept and not out[21].lm_kept
 
 
 def test_kneser_ney_query_and_edges(spark):
