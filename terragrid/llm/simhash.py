@@ -124,6 +124,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     now = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges0")
     seen = mark(now)
     for i in range(1, most + 1):
+        now = now.coalesce(1 + seen[0] // 500_000)  # few edges take few tasks, in whatever number of files they lie
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = least(large)
@@ -312,7 +313,7 @@ def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000
     return shared
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512, stars: int = 3, centres: int = 8) -> DataFrame:
     """doc_id, text_hash, component_id and root of every row of ``docs`` (doc_id, text): groups of texts whose word
     shingles are alike. text_hash is Spark's xxhash64 of the text, root tells groups apart (ids may repeat).
 
@@ -320,11 +321,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     similarity of their sets is ``similarity`` or more, a group is what links connect, and no link between groups is
     left out. Two such sets share one of their rarest (1 - ``similarity``) n + 1 shingles (a prefix filter), so classes
     meet in a bucket for each of these; sizes, the shingle's place in both and then the pigeonring filter over counts of
-    shingles by segment prune pairs that can't be alike, and the sets decide. First every class is held against the
-    least and the greatest of its buckets. Then all pairs in a bucket whose groups still differ are held against one
-    another, in blocks of about ``block`` classes: pairs inside a group add nothing, so a large group costs the square
-    of its size only where its ends show few of its links. component_id is the group's least doc_id. Blank and null
-    texts are one group. Rows stay one to one; texts that only rows without an id have link nothing.
+    shingles by segment prune pairs that can't be alike, and the sets decide. In each of ``stars`` turns every class is
+    held against ``centres`` members of its buckets whose groups differ from its own, other ones each turn. Then all pairs in
+    a bucket whose groups still differ are held against one another, in blocks of about ``block`` classes and by bands
+    of size: pairs inside a group add nothing, so a large group costs the square of its size only where all of its
+    stars show few of its links. component_id is the group's least doc_id. Blank and null texts are one group. Rows stay one to one; texts that only rows without an id have link nothing.
     """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -332,14 +333,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     classes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).where("doc_id is not null"), "classes")
     shared = _shared_keys(known.join(classes.select("node", "doc_id"), ["node", "doc_id"], "left_semi"), scratch)
     held = F.struct("node", "n", "at")
-    ends = scratch.save(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(held).alias("first"), F.max(held).alias("last")).where("first.node < last.node"), "ends")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "size")
+    keyed = scratch.save(shared.join(sizes, "key"), "keyed")
+    scratch.drop("shared")
     a, b = F.col("a"), F.col("b")
     sketches = known.select("node", "n", "sketch")
 
     def pairs(found: DataFrame) -> DataFrame:
-        """Distinct pairs of a and b that the sizes and a shared shingle's places leave able to be alike."""
+        """Distinct pairs of a and b that the sizes and a shared shingle's places leave able to be alike. At the first
+        shingle that two sets share, neither shares any before it."""
         low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        most = F.least(a["at"], b["at"]) + F.least(a["n"] - a["at"], b["n"] - b["at"])
+        most = F.least(a["n"] - a["at"], b["n"] - b["at"])
         able = (low >= similarity * high - 1e-9) & (most * (1 + similarity) >= similarity * (low + high) - 1e-9)
         found = found.where((a["node"] != b["node"]) & able)
         return found.select(F.greatest(a["node"], b["node"]).alias("u"), F.least(a["node"], b["node"]).alias("v")).distinct()
@@ -383,19 +387,35 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
         scratch.drop(f"pruned_{name}", f"sets_{name}")
         return links
 
-    keyed = shared.join(ends, "key")
-    one = alike(pairs(keyed.select(held.alias("a"), F.explode(F.array("first", "last")).alias("b"))), "ends")
-    roots = components(one, scratch)
-    rooted = keyed.join(roots, "node", "left").select("key", "size", held.alias("held"), F.coalesce("root", "node").alias("root"))
+    rooted, links, roots = keyed.withColumn("root", F.col("node")), None, None
+    for turn in range(stars):
+        # the least by each of some hashes, which are mostly the same members in all buckets of a group
+        by = lambda k: F.struct(F.xxhash64("node", F.lit(turn * centres + k)).alias("h"), "node", "n", "at", "root")  # noqa: B023, E731
+        ends = rooted.groupBy("key").agg(F.array(*[F.min(by(k)) for k in range(centres)]).alias("ends"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "ends")
+        met = rooted.join(ends, "key").select(held.alias("a"), "root", F.explode("ends").alias("e")).where("root <> e.root")
+        found = alike(pairs(met.select("a", F.struct("e.node", "e.n", "e.at").alias("b"))), f"star{turn}")
+        links = found if links is None else links.union(found)
+        roots = components(links, scratch)
+        rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = scratch.save(rooted.select("key", "size", "node", "n", "at", "root"), f"rooted{turn}")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    slot = F.pmod(F.xxhash64("held.node"), F.ceil(F.col("size") / block)).alias("slot")
-    blocks = scratch.save(rooted.join(mixed, "key", "left_semi").groupBy("key", "root", slot).agg(F.collect_list("held").alias("all")), "buckets")
-    scratch.drop("shared", "ends")
-    left, right = blocks.select("key", "root", F.col("all").alias("as")), blocks.select("key", F.col("root").alias("other"), F.col("all").alias("bs"))
-    met = left.join(right, "key").where("root < other").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
+    rest = rooted.join(mixed, "key", "left_semi")
+    # the smaller of a pair has its shingle among the first (1 - s) / (1 + s); the other's size is in its band or the next
+    band = F.floor(F.log(F.greatest("n", F.lit(1)) + 0.5) / float(-np.log(similarity))).cast("int")
+    slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("slot")
+
+    def gathered(rows: DataFrame, bands, root: str, members: str) -> DataFrame:
+        rows = rows.withColumn("band", F.explode(F.array(*bands)))
+        return rows.groupBy("key", "band", F.col("root").alias(root), slot).agg(F.collect_list(held).alias(members)).drop("slot")
+
+    first = F.col("at") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9
+    left = scratch.save(gathered(rest.where(first), [band], "root", "as"), "left")
+    right = scratch.save(gathered(rest, [band, band - 1], "other", "bs"), "right")
+    met = left.join(right, ["key", "band"]).where("root <> other").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
+    met = met.where((a["n"] < b["n"]) | (a["n"] == b["n"]))
     two = alike(pairs(met), "rest")
-    scratch.drop("buckets")
-    roots = components(one.union(two), scratch)
+    scratch.drop("left", "right", *[f"rooted{turn}" for turn in range(stars)])
+    roots = components(links.union(two), scratch)
     groups = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id", "root")
     return known.select("doc_id", "text_hash", "node").join(ids, "node", "left").select("doc_id", "text_hash", "component_id", "root")
