@@ -6,6 +6,7 @@ Series of J. P. Snyder, Map Projections: A Working Manual (1987), on WGS84.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -246,3 +247,22 @@ def paired_points(x: Column, y: Column, disparity: Column, left: np.ndarray, rig
     """xl, yl, xr, yr in the two images of a rectified pixel and its disparity: inverse homographies, then offsets."""
     a, b = homography(np.linalg.inv(left), x, y), homography(np.linalg.inv(right), x - disparity, y)
     return tuple(c + o for c, o in zip((*a, *b), offset))
+
+
+@dataclass(frozen=True)
+class Projection:
+    """Map coordinates: "ll" (degrees), "utm" (zone, hemisphere) or "ps" (lon0, lat0, and false origin)."""
+
+    kind: str = "ll"
+    parameters: tuple = ()
+
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        return (lon, lat) if self.kind == "ll" else {"utm": ll_to_utm, "ps": ll_to_ps}[self.kind](lon, lat, *self.parameters)
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return (x, y) if self.kind == "ll" else {"utm": utm_to_ll, "ps": ps_to_ll}[self.kind](x, y, *self.parameters)
+
+
+def reproject(source: Projection, target: Projection):
+    """A function from source to target coordinates, by longitude and latitude."""
+    return lambda x, y: (x, y) if source == target else target.forward(*source.inverse(x, y))

@@ -110,9 +110,12 @@ def bilinear(points: DataFrame, grid: DataFrame, axes: Axes, out: str = "sample"
     return points.join(got.agg(value.alias(out)), "pt_id", "left")
 
 
-def resample(grid: DataFrame, axes: Axes, target: Axes, inverse=None) -> DataFrame:
-    """row, col, val on the target axes: each target centre goes through ``inverse`` (x, y -> source x, y) and is
-    sampled bilinearly."""
+def resample(grid: DataFrame, axes: Axes, target: Axes, inverse=None, nulls: tuple = ()) -> DataFrame:
+    """row, col, val on the target axes: each target centre goes through ``inverse`` (x, y -> source x, y; see
+    ``projections.reproject``) and is sampled bilinearly. Values in ``nulls`` are missing; a target centre beside a
+    missing cell or outside the source is NULL."""
+    if nulls:
+        grid = grid.withColumn("val", F.when(~F.col("val").isin(*nulls), F.col("val")))
     cells = target.cells(grid.sparkSession).withColumn("pt_id", (F.col("col").cast("long") - 1) * target.nrows + F.col("row"))
     if inverse is not None:
         x, y = inverse(F.col("x"), F.col("y"))

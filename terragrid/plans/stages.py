@@ -2,50 +2,192 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.projections import apply_matrix, solver_forward
+from ..functions.projections import apply_matrix, curve, solver_forward, solver_inverse, uncurve
 from ..operators import estimators as est
+from ..operators.checks import coverage, cut_outliers
+from ..operators.stats import quota, sample
 from ..operators.grid import Axes, area_open, bilinear, cell_mean, dilate, disk, fill, median, surface
 
 
+@dataclass(frozen=True)
+class Step:
+    """One transform of a window's points: "matrix" (3 x 4), "solver" (variables) or "curve" (3 x 4, zone, hemisphere)."""
+
+    kind: str
+    what: tuple
+
+    def forward(self, points: DataFrame) -> DataFrame:
+        x, y, z = F.col("x"), F.col("y"), F.col("z")
+        if self.kind == "curve":
+            return curve(points, np.asarray(self.what[0]), *self.what[1:])
+        moved = apply_matrix(self.what[0], x, y, z) if self.kind == "matrix" else solver_forward(self.what[0], x, y, z)
+        return points.withColumns(dict(zip("xyz", moved)))
+
+    def inverse(self, points: DataFrame) -> DataFrame:
+        x, y, z = F.col("x"), F.col("y"), F.col("z")
+        if self.kind == "curve":
+            return uncurve(points, np.asarray(self.what[0]), *self.what[1:])
+        if self.kind == "solver":
+            return points.withColumns(dict(zip("xyz", solver_inverse(self.what[0], x, y, z))))
+        m = np.asarray(self.what[0], float)
+        back = np.linalg.inv(m[:, :3])
+        return points.withColumns(dict(zip("xyz", apply_matrix(np.column_stack([back, -back @ m[:, 3]]), x, y, z))))
+
+
+def apply_chain(points: DataFrame, chain: list[Step]) -> DataFrame:
+    for step in chain:
+        points = step.forward(points)
+    return points
+
+
+def undo_chain(points: DataFrame, chain: list[Step]) -> DataFrame:
+    """The exact reverse of ``apply_chain``: the inverses, last step first."""
+    for step in reversed(chain):
+        points = step.inverse(points)
+    return points
+
+
+#: How far the solver's ten variables may go each way: rotations (degrees), shifts (axis units), axis scales, whole scale.
+#: None leaves a variable out.
+BOUNDS = {"rotation": (2.0, 2.0, 2.0), "shift": (50.0, 50.0, 50.0), "scale": (0.02, 0.02, 0.02), "whole": 0.02}
+
+
+def optimise(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFrame | None = None, bounds: dict = BOUNDS, rounds: int = 200, settled: float = 0.1, clip: tuple[float, float] | None = (0.05, 0.95)) -> tuple[dict, float, list]:
+    """Solver variables that take the points nearest to the reference, their vertical error and the log of errors.
+
+    A simplex over the variables scaled to -1..1 within their bounds; each error is one Spark job (transform, grid,
+    join, mask, clip, root mean square). Outside the bounds the error is infinite.
+    """
+    centre = points.agg(*[F.avg(c) for c in "xyz"]).head()
+    if centre[0] is None:
+        raise ValueError("no points to fit")
+    slots = [(name, i, b) for name in ("rotation", "shift", "scale") for i, b in enumerate(bounds.get(name) or (None,) * 3) if b] + ([("whole", None, bounds["whole"])] if bounds.get("whole") else [])
+
+    def variables(u: np.ndarray) -> dict:
+        v = {"center": [float(c) for c in centre], "rotation": [0.0] * 3, "shift": [0.0] * 3, "scale": [1.0] * 3, "whole": 1.0, "surface": None}
+        for (name, i, b), x in zip(slots, u):
+            if i is None:
+                v[name] += float(x) * b
+            else:
+                v[name][i] += float(x) * b
+        return v
+
+    def error(u: np.ndarray) -> float:
+        if np.abs(u).max(initial=0.0) > 1:
+            return float("inf")
+        got = est.vertical_error(Step("solver", (variables(u),)).forward(points), reference, axes, mask, clip).head().rmse
+        return float("inf") if got is None else got
+
+    best, value, log = est.simplex(error, np.zeros(len(slots)), np.full(len(slots), 0.25), rounds, settled)
+    return variables(best), value, log
+
+
 @dataclass(frozen=True)
 class Georeference:
-    """What georeferencing found: first the motion from alignment, then the solver's variables, and the errors."""
+    """What georeferencing found: the chain of transforms, the vertical error and the simplex's log."""
 
-    motion: np.ndarray
-    solver: dict
+    chain: list
     rmse: float
     log: list
 
     def apply(self, points: DataFrame) -> DataFrame:
-        x, y, z = apply_matrix(self.motion, F.col("x"), F.col("y"), F.col("z"))
-        x, y, z = solver_forward(self.solver, x, y, z)
-        return points.withColumns({"x": x, "y": y, "z": z})
+        return apply_chain(points, self.chain)
 
 
 def georeference(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFrame | None = None, rounds: int = 30, shift_step: float = 10.0, most_rmse: float = 50.0) -> Georeference:
     """Fit points (pt_id, x, y, z) to reference cells (row, col, val): point-to-plane alignment over the reference's
-    surface, then a simplex over shifts whose error is one Spark job (grid, join, mask, clip, root mean square)."""
+    surface, then the simplex over shifts of up to four times ``shift_step``."""
     face = surface(reference, axes.dx, axes.dy).join(axes.cells(points.sparkSession), ["row", "col"])
-    motion = est.icp(points, face, axes)
-    moved = points.withColumns(dict(zip("xyz", apply_matrix(motion, F.col("x"), F.col("y"), F.col("z")))))
-    centre = moved.agg(*[F.avg(c) for c in "xyz"]).head()
-    base = {"center": [float(c) for c in centre], "scale": [1.0] * 3, "whole": 1.0, "rotation": [0.0] * 3, "surface": None}
-
-    def error(v: np.ndarray) -> float:
-        at = moved.withColumns(dict(zip("xyz", solver_forward(base | {"shift": list(map(float, v))}, F.col("x"), F.col("y"), F.col("z")))))
-        got = est.vertical_error(at, reference, axes, mask).head().rmse
-        return float("inf") if got is None else got
-
-    best, value, log = est.simplex(error, np.zeros(3), np.array([shift_step, shift_step, shift_step / 2]), rounds, settled=1e-3)
+    motion = Step("matrix", (est.icp(points, face, axes),))
+    solver, value, log = optimise(motion.forward(points), reference, axes, mask, {"shift": (4 * shift_step, 4 * shift_step, 2 * shift_step)}, rounds, 1e-3)
     if value > most_rmse:
         raise ValueError(f"vertical error {value:.1f} is over {most_rmse}")
-    return Georeference(motion, base | {"shift": list(map(float, best))}, value, log)
+    return Georeference([motion, Step("solver", (solver,))], value, log)
+
+
+def initial_transform(points: DataFrame, controls: DataFrame, reference: DataFrame, axes: Axes, n: int = 1_000_000, rounds: int = 60, most_rmse: float = 50.0, shift: float = 10_000.0) -> Georeference:
+    """A first placement of one window: the similarity through control points (x, y, z, tx, ty, tz), then the simplex
+    over wide bounds (45 degrees, ``shift``, whole scale by a factor of two at most; axis scales left out) on a sample."""
+    if controls.limit(3).count() < 3:
+        raise ValueError("give three control points or more: automatic ones were not found")
+    rough = Step("matrix", (est.horn(controls).matrix,))
+    some = rough.forward(sample(points, "pt_id", n))
+    solver, value, log = optimise(some, reference, axes, None, {"rotation": (45.0,) * 3, "shift": (shift,) * 3, "whole": 0.5}, rounds)
+    if value > most_rmse:
+        raise ValueError(f"vertical error {value:.1f} of the first placement is over {most_rmse}")
+    return Georeference([rough, Step("solver", (solver,))], value, log)
+
+
+def georeference_regions(points: DataFrame, windows: DataFrame, first: list[Step], reference: DataFrame, axes: Axes, links: DataFrame | None = None, mask: DataFrame | None = None, attempts: int = 3, retry_over: float = 25.0, least: float = 0.33, per_region: int = 1_000_000, most_off: float = 200.0, bounds: dict = BOUNDS, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """All windows of all regions: placed points (region_id, window_id, pt_id, x, y, z) and a lineage row a window
+    (region_id, window_id, rmse, attempts, chain as JSON, error).
+
+    points: region_id, window_id, pt_id, x, y, z; windows: region_id, window_id, expected (points); ``first``: the chain
+    that places the first window's frame; links: region_id, x, y, z, tx, ty, tz, pairs of a region's frame and that
+    first window's. A region takes the windows with ``least`` of their expected points, is aligned to the first by its
+    links, and is fitted on an even sample of its windows, again from where it got to while the error is over
+    ``retry_over`` (``attempts`` times at most). Elevations more than ``most_off`` from the reference's become NULL. What
+    fails is recorded with its error and the other windows go on. The driver loops over regions, not rows.
+    """
+    spark, rows, placed = points.sparkSession, [], None
+    gate = coverage(points, windows, "window_id", "z", least).join(windows.select("region_id", "window_id"), "window_id")
+    by_region: dict = {}
+    for r in gate.orderBy("region_id", "window_id").collect():  # a row a window
+        by_region.setdefault(r.region_id, []).append(r)
+    for region, all_windows in by_region.items():
+        good = [r.window_id for r in all_windows if r.covered]
+        rows += [(region, r.window_id, None, 0, None, f"{r.share:.2f} of the expected points, {least} are needed") for r in all_windows if not r.covered]
+        if not good:
+            continue
+        chain, value, tries = list(first), float("inf"), 0
+        own = points.where((F.col("region_id") == region) & F.col("window_id").isin(good))
+        try:
+            if links is not None and (found := links.where(F.col("region_id") == region)).limit(3).count() >= 3:
+                chain = [Step("matrix", (est.horn(found).matrix,)), *chain]
+            some = quota(own, "window_id", "pt_id", max(1, per_region // len(good)))
+            while tries < attempts and value > retry_over:
+                solver, value, _ = optimise(apply_chain(some, chain), reference, axes, mask, bounds, rounds)
+                chain, tries = [*chain, Step("solver", (solver,))], tries + 1
+            rows += [(region, w, value, tries, chain_json(chain), None) for w in good]
+        except Exception as error:  # noqa: BLE001 - recorded; the other regions go on
+            rows += [(region, w, None, tries, None, f"{type(error).__name__}: {error}"[:500]) for w in good]
+            continue
+        moved = apply_chain(own, chain).withColumns({"row": axes.row_of(F.col("y")), "col": axes.col_of(F.col("x"))})
+        met = moved.join(reference.select("row", "col", F.col("val").alias("_ref")), ["row", "col"], "left")
+        moved = cut_outliers(met, "z", "_ref", most_off).select("region_id", "window_id", "pt_id", "x", "y", "z")
+        placed = moved if placed is None else placed.union(moved)
+    lineage = spark.createDataFrame(rows, "region_id long, window_id long, rmse double, attempts int, chain string, error string")
+    return points.limit(0).select("region_id", "window_id", "pt_id", "x", "y", "z") if placed is None else placed, lineage
+
+
+def chain_json(chain: list[Step]) -> str:
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+    return json.dumps([[s.kind, [plain(w) for w in s.what]] for s in chain])
+
+
+def chain_of(text: str) -> list[Step]:
+    return [Step(kind, tuple(what)) for kind, what in json.loads(text)]
+
+
+def guarded(fn, columns: list[str]):
+    """``fn`` (key, frame -> frame) for applyInPandas that never fails a stage: a group that raises gives one row of
+    missing ``columns`` with the message in ``error``."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return fn(key, frame).assign(error=None)
+        except Exception as error:  # noqa: BLE001 - recorded in the row
+            return pd.DataFrame([{c: None for c in columns} | {"error": f"{type(error).__name__}: {error}"}])
+
+    return run
 
 
 def rasterize(points: DataFrame, axes: Axes, gap_cells: int = 4, speckle_cells: int = 40, median_size: int = 3, denoise: float | None = None) -> DataFrame:

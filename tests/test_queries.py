@@ -107,6 +107,49 @@ def test_georeference_end_to_end(spark):
     assert found.rmse < 1.0 and "z" in found.apply(pts).columns
 
 
+def test_regions_record_errors_and_chains_can_be_undone(spark):
+    axes, ref, pts = queries._scene(spark, (0.0, 0.0, 3.0))
+    wide = pts.withColumns({"region_id": (F.col("pt_id") % 3).cast("long"), "window_id": (F.col("pt_id") % 6).cast("long")})
+    wide = wide.where("region_id < 2 or pt_id < 30").withColumn("z", F.when(F.col("region_id") == 1, F.col("z") + 5000).otherwise(F.col("z")))
+    windows_ = spark.createDataFrame([(w % 3, w, 500) for w in range(6)], "region_id long, window_id long, expected long")
+    first = [stages.Step("matrix", (np.column_stack([np.eye(3), [0, 0, -1.0]]),))]
+    placed, lineage = stages.georeference_regions(wide, windows_, first, ref, axes, attempts=2, retry_over=1.0, bounds={"shift": (0.0, 0.0, 8.0)}, rounds=8)
+    got = {r.window_id: r for r in lineage.collect()}
+    assert len(got) == 6 and got[0].rmse < 1 and got[2].error.startswith("0.0") and got[1].attempts == 2
+    z = placed.groupBy("region_id").agg(F.count("z").alias("n")).collect()
+    assert {r.region_id: r.n > 0 for r in z} == {0: True, 1: False}
+    back = stages.undo_chain(placed.where("region_id = 0 and z is not null"), stages.chain_of(got[0].chain)).join(wide.select("pt_id", F.col("z").alias("z0"), F.col("x").alias("x0")), "pt_id")
+    assert back.agg(F.max(F.abs(F.col("z") - F.col("z0")) + F.abs(F.col("x") - F.col("x0")))).head()[0] < 1e-9
+
+
+def test_guarded_groups_and_large_holes(spark):
+    def fail(key, frame):
+        if key[0] == 1:
+            raise ValueError("no")
+        return frame[["g", "v"]]
+
+    got = spark.createDataFrame([(1, 1.0), (2, 2.0)], "g int, v double").groupBy("g").applyInPandas(stages.guarded(fail, ["g", "v"]), "g int, v double, error string").collect()
+    assert sorted((r.g or 0, r.error or "") for r in got) == [(0, "ValueError: no"), (2, "")]
+    axes = G.Axes(0, 33, 1, 1, 34, 34)
+    plane = axes.cells(spark).select("row", "col", (2.0 * F.col("row") - F.col("col")).alias("val"))
+    hole = plane.where("not (row between 3 and 31 and col between 3 and 31)")
+    for largest, within in ((10_000, 1e-9), (300, 0.2)):
+        out = E.inpaint(hole, axes, largest=largest, tolerance=1e-3).join(plane.withColumnRenamed("val", "want"), ["row", "col"])
+        assert out.count() == 34 * 34 and out.agg(F.max(F.abs(F.col("val") - F.col("want")))).head()[0] < within
+
+
+def test_nearest_far_away_and_reprojection(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(7, 1e6, 0.0)], "id long, x double, y double")
+    assert [(r.id, r.rid) for r in X.nearest_2d(left, right, 10.0, 3).collect()] == [(1, 7)]
+    pair = P.reproject(P.Projection("utm", (32, "N")), P.Projection("ps", (0.0, 71.0)))
+    back = P.reproject(P.Projection("ps", (0.0, 71.0)), P.Projection("utm", (32, "N")))
+    p = spark.createDataFrame([(500_000.0, 7_900_000.0)], "x double, y double")
+    there = p.select(*[c.alias(n) for c, n in zip(pair(F.col("x"), F.col("y")), "xy")])
+    r = there.select(*[c.alias(n) for c, n in zip(back(F.col("x"), F.col("y")), "xy")]).head()
+    assert abs(r.x - 500_000) < 1e-2 and abs(r.y - 7_900_000) < 1e-2
+
+
 def test_components_and_holes(spark):
     axes = G.Axes(0, 0, 1, 1, 7, 7)
     ring = [(r, c) for r in range(2, 7) for c in range(2, 7) if r in (2, 6) or c in (2, 6)] + [(1, 1)]
