@@ -101,9 +101,11 @@ def links(prints: DataFrame, budget: int = 2, segments: int = 4, hot: int = 64)
     u, v = F.col("u"), F.col("v")
     near = a.join(b, ["k", "key"]).where((u > v) & chain(u, v, budget, segments) & (F.bit_count(u.bitwiseXOR(v)) <= budget)).select("u", "v")
     flips = F.array(*[F.array(F.lit(0), *[F.lit(signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
-    if budget < 2:
-        return near.union(many.select("fp", "k", "key").join(many.select("k", "key", F.col("fp").alias("v")), ["k", "key"]).where("1 = 0").select("fp", "v")).distinct()
     around = many.select("k", "key", "fp", F.explode(flips[F.col("k")]).alias("flip")).select("k", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("pattern"))
+    if budget < 2:  # a fingerprint one bit away is itself one of the patterns
+        other = many.select("k", "key", F.col("fp").alias("v"), F.col("fp").alias("pattern"))
+        one = around.join(other, ["k", "key", "pattern"]).where((F.col("fp") > F.col("v")) & F.lit(budget == 1)).select(F.col("fp").alias("u"), "v")
+        return near.union(one).distinct()
     stars = around.groupBy("k", "key", "pattern").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("us")).select(F.explode("us").alias("u"), "v").where("u <> v")
     return near.union(stars).distinct()
 

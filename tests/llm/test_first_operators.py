@@ -178,3 +178,35 @@ def test_kept_equals_a_plain_version_of_the_rules(spark):
     made = spark.createDataFrame([(1, "Home About Contact\nLogin Register Help Home About\nNext Previous Search | Sitemap FAQ Help Home About\n" * 3)], "doc_id long, text string")
     row = line_rules.clean_lines(made).head()
     assert row.n_lines_removed == 9 and not row.kept
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Scores of a fitted lexicon recomputed word by word: folding, weights, exceptions, length."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame([(90_001, "Ｔrash can, trаsh t4sh \u200bclown fish", "en", "s", 1), (90_002, None, None, None, None), (90_003, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    fitted = toxicity.fit(docs, labels)
+    lexicon = toxicity.Lexicon(fitted.weights | {" trash ": 3.0, " clow": 2.0}, fitted.exceptions, fitted.bias, fitted.slope)
+
+    def fold(text):
+        out = []
+        for c in text:
+            c = chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c
+            c = c.lower()
+            c = toxicity.HOMOGLYPHS.get(c, toxicity.SUBSTITUTES.get(c, c))
+            out.append(c if c.isalpha() else "" if c in "\u200b\u200c\u200d\u00ad\ufeff" else " ")
+        return " " + "".join(out) + " "
+
+    def density(text):
+        t, total = fold(text), 0.0
+        spared = {k for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(p)} )", t) for k in range(m.start(), m.start() + len(p) + 2)}
+        for m in re.finditer(" (?=[^ ])", t):
+            fit = [w for term, w in lexicon.weights.items() if t.startswith(term, m.start())]
+            if fit and m.start() not in spared:
+                total += max(fit)
+        return 100 * total / max(20, t.count(" ") - 1) if total else 0.0
+
+    for r in toxicity.score(docs, lexicon).join(docs.select("doc_id", "text"), "doc_id").collect():
+        want = density(r.text or "")
+        assert abs(r.density - want) < 1e-6 * max(1, want)
+        assert abs(r.score - 1 / (1 + math.exp(-min(30, max(-30, lexicon.bias + lexicon.slope * math.log1p(want)))))) < 1e-9
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0

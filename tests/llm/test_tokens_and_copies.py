@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terragrid.llm import packing, queries, repair, simhash
@@ -46,8 +47,8 @@ def test_simhash_query_matches_brute_force(spark):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{prints[i]:016x}", want[i]) for i in text}
 
 
-@pytest.mark.parametrize("hot", [1, 64])
-def test_links_lose_none(spark, hot):
+@pytest.mark.parametrize("hot, budget", [(1, 2), (64, 2), (1, 1), (64, 0)])
+def test_links_lose_none(spark, hot, budget):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     prints = {int(c) for c in centre} | {0}
@@ -57,14 +58,14 @@ def test_links_lose_none(spark, hot):
             x ^= 1 << int(b)
         prints.add(x)
     signed = {p - (1 << 64) if p >= 1 << 63 else p: p for p in prints}
-    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), hot=hot).collect()
+    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), budget, hot=hot).collect()
     up = {}
     find = lambda x: x if up.get(x, x) == x else find(up[x])
     for r in links:
-        assert (signed[r.u] ^ signed[r.v]).bit_count() <= 2
+        assert (signed[r.u] ^ signed[r.v]).bit_count() <= budget
         a, b = find(signed[r.u]), find(signed[r.v])
         up[max(a, b)] = min(a, b)
-    assert {p: find(p) for p in prints} == brute_components({p: p for p in prints})
+    assert {p: find(p) for p in prints} == brute_components({p: p for p in prints}, budget)
 
 
 def test_simhash_edges(spark):
@@ -207,6 +208,15 @@ def test_packing_query(spark):
     assert max(abs(seen[q][s] - 4096 * n / total) for q in full for s, n in share.items()) < 3 * 128
 
 
+def test_packing_repeated_and_null_ids(spark):
+    rows = [(1, "one two three", "a", 5), (1, "one two three", "a", 5), (None, "four five", None, 6), (None, None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int").withColumns({"n": F.lit("x"), "part": F.lit("y"), "_source": F.lit("z")})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(docs, path, 2).collect()
+    assert sum(r.length for r in got) == 4 + 4 + 3 + 1 and {r.doc_id for r in got} == {1, None}
+    assert packing.pack(docs.limit(0), path, 2).count() == 0
+
+
 def test_packing_weights_and_edges(spark):
     rows = [(i, "one two three four " * 40, "a" if i % 4 else None) for i in range(60)] + [(100, None, "b"), (101, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
