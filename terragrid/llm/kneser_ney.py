@@ -158,7 +158,7 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
 
     def gather(batches):
         part, number, held, parts, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
 
         def flush():
             grams = np.concatenate(rows)
@@ -176,8 +176,11 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
             if held >= block:
                 yield flush()
                 number, held, parts, rows = number + 1, 0, [], []
+                T.release()
         if parts:
             yield flush()
+            parts, rows = [], []
+            T.release()
 
     def open_grams(data: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(data), "<u4").reshape(-1, order)
@@ -187,6 +190,7 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
             for data in batch.column("grams").to_pylist():
                 grams = open_grams(data)
                 yield emit_gram({"h": _hash(grams).view(np.int64), "gram": _strings(grams)})
+        T.release()
 
     made = docs.mapInArrow(gather, ddl)
     name, buckets = f"kn_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -194,7 +198,8 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
     blocks = spark.table(name)
     grams = blocks.select("grams").mapInArrow(list_grams, "h long, gram string").distinct()
     shards = max(1, (blocks.agg(F.sum("n_grams")).head()[0] or 0) // shard_keys)
-    scores = look_up(grams, probabilities, weights, scratch)
+    scores = scratch.save(look_up(grams, probabilities, weights, scratch), "looked_up")
+    scratch.drop(*[f"asked{n}" for n in range(1, order + 1)])
     scores = scores.withColumn("shard", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(shards), 32).cast("int"))
     sent, back = T.emitter("shard int, block long, hs binary"), T.emitter("block long, shard int, lps binary")
 
@@ -206,6 +211,7 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                 ends = np.append(cuts[1:], len(h))
                 yield sent({"shard": shard[cuts], "block": [number] * len(cuts), "hs": [h[a:b].tobytes() for a, b in zip(cuts, ends)]})
+        T.release()
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
         h, lp = known.column("h").to_numpy().view(np.uint64), known.column("lp").to_numpy()
@@ -234,7 +240,7 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
 
     result = scratch.save(blocks.join(replies, "block", "left").select("data", "grams", F.coalesce("replies", F.array().cast("array<struct<shard:int,lps:binary>>")).alias("replies")).mapInArrow(add_up, out_ddl), "scored")
     spark.sql(f"drop table {name}")
-    scratch.drop("blocks", *[f"asked{n}" for n in range(1, order + 1)])
+    scratch.drop("blocks", "looked_up")
     return result
 
 
