@@ -334,12 +334,13 @@ def _solve_hole(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": r, "col": c, "val": x})
 
 
-def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
+def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 400, tolerance: float = 1e-5) -> DataFrame:
     """All cells of the axes, missing ones filled so that each is the mean of its (two to four) side neighbours.
 
     Holes of up to ``largest`` cells are solved exactly, each by one task. For larger ones the same is first done on
     the grid at half its size (and so on, till holes are small enough); its values start a relaxation by neighbour
-    joins that ends when no cell moves by more than ``tolerance``, or raises after ``rounds``. Cells stay NULL only
+    joins that ends when a round moves no cell by more than ``tolerance`` of the known values' range (near the solution,
+    not equal to it), or raises after ``rounds``. Cells stay NULL only
     where no cell of the grid has a value.
     """
     side = [(-1, 0), (0, 1), (1, 0), (0, -1)]
@@ -361,6 +362,8 @@ def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 2
     coarse = known.groupBy(half("row").alias("row"), half("col").alias("col")).agg(F.avg("val").alias("val"))
     less = Axes(axes.x0, axes.y0, axes.dx * 2, axes.dy * 2, (axes.ncols + 1) // 2, (axes.nrows + 1) // 2)
     start = inpaint(coarse, less, largest, rounds, tolerance).select(F.col("row").alias("_r"), F.col("col").alias("_c"), "val")
+    ends = known.agg(F.min("val"), F.max("val")).head()
+    enough = tolerance * (ends[1] - ends[0]) if ends[0] is not None else 0.0
     now = _cut(open_.join(start, (half("row") == F.col("_r")) & (half("col") == F.col("_c"))).select("row", "col", "val"))
     for i in range(1, rounds + 1):
         sent = shifted(known.union(now), side).groupBy("row", "col").agg(F.avg("val").alias("val"))
@@ -371,7 +374,7 @@ def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 2
         after = _cut(after)
         moved = after.join(now.withColumnRenamed("val", "_was"), ["row", "col"]).agg(F.max(F.abs(F.col("val") - F.col("_was")))).head()[0]
         now = after
-        if moved is None or moved <= tolerance:
+        if moved is None or moved <= enough:
             return known.union(now)
     raise RuntimeError(f"cells still move by {moved} after {rounds} rounds")
 
