@@ -78,9 +78,10 @@ def count(docs: DataFrame, order: int = 5) -> DataFrame:
     emit = T.emitter("key string, c long")
 
     def run(batches):
-        for part in T.slices(batches, most=4 << 20):
+        for part in T.slices(batches, most=1 << 20):
             code, rows, _ = _grams(part.column("text").to_pylist(), order)
             yield emit({"key": _strings(rows), "c": np.bincount(code, minlength=len(rows))})
+            T.release()
 
     return docs.selectExpr("cast(text as string) text").mapInArrow(run, "key string, c long").groupBy("key").agg(F.sum("c").alias("c"))
 

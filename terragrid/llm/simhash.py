@@ -315,7 +315,7 @@ def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000
     return shared
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512, stars: int = 3, centres: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512, stars: int = 2, centres: int = 8) -> DataFrame:
     """doc_id, text_hash, component_id and root of every row of ``docs`` (doc_id, text): groups of texts whose word
     shingles are alike. text_hash is Spark's xxhash64 of the text, root tells groups apart (ids may repeat).
 
