@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, kneser_ney, line_rules, mixing, packing, repair, simhash, substrings, toxicity
+from . import fingerprints, hamerly, html_text, kneser_ney, line_rules, mixing, packing, repair, sharding, simhash, substrings, toxicity, whitening
 from .common import documents, ship
 
 MIX_SEED, MIX_ALPHA, MIX_MOST = 20240, 0.5, 64.0
@@ -87,3 +87,27 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_substrings": op5_substrings}
+
+
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of the embeddings after five rounds under Hamerly's bounds."""
+    ship(spark)
+    return hamerly.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    ship(spark)
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 16 shards with counts at most one apart."""
+    out = sharding.shard(documents(spark, sf_dir), shards=16)
+    text = F.col("text").cast("binary")
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, F.crc32(F.coalesce(text, F.lit(b"")))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES |= {"op11_hamerly": op11_hamerly, "op12_whitening": op12_whitening, "op13_sharding": op13_sharding}
+ORACLES |= {"op11_hamerly": hamerly.sql("embeddings")}
