@@ -24,6 +24,11 @@ CLOSES_P = BLOCK - frozenset("body html caption option optgroup legend summary t
 HOLDERS = frozenset("html article main section div td center blockquote details dd table tbody tr".split())
 #: Words in class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets masthead skip pagination pager toolbar complementary contentinfo search form dialog".split())
+#: Those of them that also name a paragraph or phrase of an article; they count on containers only.
+CONTAINED = frozenset("search form social related recommended recommendations banner menu nav navigation notice notices alert dialog skip share sharing reply replies respond comment comments promo promotion subscribe subscription signup footer toolbar widget widgets overlay complementary contentinfo".split())
+TEXT_LEVEL = frozenset("p span a b i em strong small u s q abbr cite code mark time sub sup label blockquote pre figcaption caption dt dd td th tr h1 h2 h3 h4 h5 h6".split())
+#: Elements that carry an article's text among others of their kind.
+FLOW = frozenset("p blockquote pre figure table ul ol dl section hr".split()) | HEADINGS
 #: Words that may stand beside one of these in a name.
 BESIDE = frozenset("list box block section area wrap wrapper container bar item items slot unit links link top bottom left right inner outer site page main post posts thread primary secondary sticky small large header".split())
 
@@ -45,10 +50,11 @@ class _Node:
         self.density = self.sum = 0.0
 
 
-def _names_boilerplate(name: str) -> bool:
+def _names_boilerplate(name: str, tag: str) -> bool:
     """Whether a class, id or role says so in all of its words: ``comment-list`` does, ``related-work`` doesn't."""
     words = [w.lower() for w in _NAME.findall(name)]
-    return not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words)
+    marks = MARKS - CONTAINED if tag in TEXT_LEVEL else MARKS
+    return not marks.isdisjoint(words) and all(w in marks or w in BESIDE for w in words)
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
@@ -64,7 +70,7 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name in ("class", "id", "role") and tag not in HEADINGS and any(map(_names_boilerplate, value.split())):
+        elif name in ("class", "id", "role") and tag not in HEADINGS and any(_names_boilerplate(v, tag) for v in value.split()):
             return True
     return False
 
@@ -156,30 +162,46 @@ def density(node: _Node, body: _Node) -> float:
     return c / t * max(0.0, math.log(max(1.0, c * t / (max(1, lc) * lt)))) / max(1.0, math.log(base) if base > math.e else 1.0)
 
 
+def _runs_on(node: _Node) -> bool:
+    """Whether a block has text and isn't a list of links: three or more that hold most of its characters."""
+    return bool(node.chars) and (node.link_tags < 3 or 2 * node.links <= node.chars)
+
+
 def contents(root: _Node, slack: float = 0.5) -> list[_Node]:
     """The nodes whose text is the article, in page order.
 
     The element with the largest sum of its children's densities is its core (of equal ones an article or main element,
-    then the deeper). If an article element is around the core it is the article. Else what stands beside the core, or
-    beside an element around it, belongs to it if its density is ``slack`` of the body-path threshold or more: the
-    least density on the path from the core to the body, the body itself apart. So do headings there.
+    then the deeper). What stands beside the core, or beside an element around it, belongs to it if its density is
+    ``slack`` of the body-path threshold or more: the least density on the path from the core to the body, the body
+    itself apart, and it isn't a list of links. So do headings there. Short parts of the article fall under any threshold: a block beside the core
+    in the same parent that carries text as it does (a section beside a section, a paragraph, list or table), and all
+    blocks within an article element around the core, belong to it unless they are lists of links. Nothing
+    beside an article or main element does.
     """
     nodes = [n for n in _measure(root) if n.tag in HOLDERS]
     best = max(nodes, key=lambda n: (round(n.sum, 6), n.tag in ("article", "main"), n.depth))
     path = [best]
     while path[-1].up is not None:
         path.append(path[-1].up)
-    around = [n for n in path if n.tag == "article"]
-    if around:
-        return around[-1:]
     threshold = slack * min([n.density for n in path[:-1]] or [0.0])
+    inside = sum(n.tag == "article" for n in path[1:])  # article elements still around
     core = [best]
     for child, parent in zip(path, path[1:]):
-        if parent.tag == "main" or child.tag == "main":
+        if child.tag in ("article", "main") and not inside:
             break
-        beside = [x for x in parent.down if isinstance(x, _Node) and not x.out and (x is child or x.chars and (x.tag in HEADINGS or x.density >= threshold))]
+        close = child is best and parent is not root
+
+        def belongs(x: _Node) -> bool:
+            if x is child or x.chars and x.tag in HEADINGS:  # noqa: B023
+                return True
+            near = inside > 0 or close and x.tag in FLOW and (x.tag != "section" or child.tag == "section")  # noqa: B023
+            return _runs_on(x) and (near or x.density >= threshold)
+
+        # text between elements of an article is its own too
+        beside = [x for x in parent.down if (x.strip() and inside > 0 if isinstance(x, str) else not x.out and belongs(x))]
         where = next(i for i, x in enumerate(beside) if x is child)
         core = beside[:where] + core + beside[where + 1 :]
+        inside -= parent.tag == "article"
     return core
 
 

@@ -27,11 +27,11 @@ class LineRules:
     shorter; the last line of a text may be cut and is spared). separators: more than ``most_separators`` of the words
     being one of them makes a navigation line, as does a line of any length that is navigation entries and nothing
     else. symbols: more than ``most_symbols`` of the characters. shouting: more than ``most_upper`` of the
-    letters upper case in a line of ``upper_from`` letters or more. most_lost: share of word characters that a document
+    cased letters upper case in a line of ``upper_from`` of them or more; scripts without case can't shout. most_lost: share of word characters that a document
     may lose.
     """
 
-    terminal: str = ".!?…:;\"'”’»)]。！？"
+    terminal: str = ".!?…:;\"'”’»)]。！？」』؟۔।॥"
     punctuated_from: int = 5
     separators: tuple[str, ...] = ("|", "»", "›", "•", "·", ">", "/", "»»")
     most_separators: float = 0.2
@@ -63,8 +63,11 @@ class LineRules:
             return "boilerplate"
         if sum(line.count(c) for c in SYMBOLS) > self.most_symbols * len(line):
             return "symbols"
-        if len(line) >= self.upper_from and line.isupper() or line.upper() == line and sum(map(str.isalpha, line)) >= self.upper_from:
-            return "shouting"
+        upper = sum(map(str.isupper, line)) if low != line else 0
+        if upper > self.most_upper * self.upper_from:
+            cased = upper + sum(map(str.islower, line))
+            if cased >= self.upper_from and upper > self.most_upper * cased:
+                return "shouting"
         if len(words) >= self.punctuated_from and not last and words[-1][-1] not in self.terminal:
             return "punctuation"
         return ""

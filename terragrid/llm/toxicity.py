@@ -84,11 +84,11 @@ def _prefixes(folded: str, least: int, most: int) -> set[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_terms: int = 20_000, least_df: float = 0.01, least_weight: float = 2.5, lengths: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, least_df: float = 0.01, least_weight: float = 2.5, lengths: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn the lexicon from labelled rows, at most ``most_rows`` of each label, the first by hash of doc_id.
 
-    Terms are words and word beginnings of ``lengths`` letters that stand in ``least_df`` of the toxic texts at least
-    (``most_terms`` of them at most); their weight is the log-odds of standing in a toxic text, and terms under
+    Terms are words and word beginnings of ``lengths`` letters that stand in ``least_df`` of the toxic texts at least,
+    so there are at most 1 / ``least_df`` times as many as a toxic text has on average; their weight is the log-odds of standing in a toxic text, and terms under
     ``least_weight`` or no better than a shorter beginning go. The logistic is fitted on the same rows. Rows with a
     null id, label or text are left out; with no toxic rows the lexicon is empty and the score low everywhere.
     """
@@ -108,9 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_terms: i
         yield count({"term": list(df), "n": list(df.values())})
 
     toxic = texts.where("toxic = 1")
-    rows = toxic.select("text").mapInArrow(candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(most_terms).collect()
     n_toxic = int(known.where("toxic = 1").limit(most_rows).count())
-    found = {r.term: r.n for r in rows if r.n >= max(2, least_df * n_toxic)}
+    often = toxic.select("text").mapInArrow(candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least_df * n_toxic))
+    found = {r.term: r.n for r in often.collect()}
     if not found:
         return Lexicon({}, exceptions)
 

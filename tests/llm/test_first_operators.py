@@ -163,7 +163,8 @@ def test_kept_equals_a_plain_version_of_the_rules(spark):
             return True
         if any(b in line.lower() for b in rules.boilerplate) or sum(c in "#*$%&|<>" for c in line) > 0.15 * len(line):
             return True
-        if len([c for c in line if c.isalpha()]) >= 20 and line == line.upper() and line != line.lower():
+        cased = [c for c in line if c.isupper() or c.islower()]
+        if len(cased) >= 20 and sum(c.isupper() for c in cased) > 0.7 * len(cased):
             return True
         return len(words) >= 5 and not last and line.rstrip()[-1] not in rules.terminal
 
@@ -175,11 +176,41 @@ def test_kept_equals_a_plain_version_of_the_rules(spark):
         lost = sum(size(t) for i, t in enumerate(lines) if fails(t, i == len(lines) - 1))
         failed = got[r.doc_id][0]
         assert got[r.doc_id][1] == (not failed and lost <= 0.5 * size(r.text)), r.doc_id
+    prose = {
+        1: "春天来了，城市里的花园慢慢恢复了颜色，人们在河边散步，孩子们追着风筝跑过草地。\n老人坐在长椅上谈论去年的雨水和今年的收成，街角的小店重新开张。",
+        2: "朝早くから市場には人が集まり、新鮮な魚や野菜を選ぶ声が通りに響いていた。\n昼になると雨が降り始め、店の人たちは急いで品物を屋根の下に移した。",
+        3: "في الصباح الباكر خرج الناس إلى السوق لشراء الخضار والفواكه الطازجة من المزارعين.\nهل كان الطقس جميلا في ذلك اليوم من أيام الربيع الطويلة؟",
+        4: "सुबह के समय लोग नदी के किनारे टहलने जाते हैं और पक्षियों की आवाज़ सुनते हैं।\nबच्चे मैदान में खेलते हैं और बूढ़े लोग पेड़ की छाया में बैठकर बातें करते हैं।",
+        5: "THIS WHOLE TEXT IS SHOUTED AT THE READER WITHOUT PAUSE.\nAND SO IS THE SECOND OF ITS LINES, Quite LOUDLY.",
+    }
+    rows = spark.createDataFrame(list(prose.items()), "doc_id long, text string")
+    for r in line_rules.clean_lines(rows).collect():
+        want = [v for v in (fails(t, i == 1) for i, t in enumerate(prose[r.doc_id].split("\n"))) if v]
+        assert r.n_lines_removed == len(want) == (2 if r.doc_id == 5 else 0) and (r.removed == ["shouting"] * 2 or r.doc_id != 5)
+        assert r.text == ("" if r.doc_id == 5 else prose[r.doc_id])
     made = spark.createDataFrame([(1, "Home About Contact\nLogin Register Help Home About\nNext Previous Search | Sitemap FAQ Help Home About\n" * 3)], "doc_id long, text string")
     row = line_rules.clean_lines(made).head()
     assert row.n_lines_removed == 9 and not row.kept
 
 
+def test_fitted_weights_equal_a_plain_version(spark):
+    """Document frequencies of every word and beginning by hand; the log-odds; no term left out but by the stated bounds."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    text = {r.doc_id: r.text for r in docs.collect() if r.text is not None}
+    df, n = {0: collections.Counter(), 1: collections.Counter()}, collections.Counter(r.toxic for r in labels.collect())
+    for r in labels.collect():
+        terms = set()
+        for word in toxicity.fold(text[r.doc_id]).split():
+            terms |= {f" {word} "} | {f" {word[:k]}" for k in range(4, 9) if k < len(word)}
+        df[r.toxic].update(terms)
+    odds = {t: math.log((c + 0.5) / (n[1] + 1)) - math.log((df[0][t] + 0.5) / (n[0] + 1)) for t, c in df[1].items() if c >= max(2, 0.01 * n[1])}
+    want: dict = {}
+    for t in sorted(odds, key=lambda t: (len(t), t)):
+        if odds[t] >= 2.5 and odds[t] > 1 + max([want[t[:k]] for k in range(2, len(t)) if t[:k] in want], default=-1.0):
+            want[t] = round(odds[t], 4)
+    assert want and toxicity.fit(docs, labels).weights == want
+
+
 def test_toxicity_equals_a_plain_version(spark):
     """Scores of a fitted lexicon recomputed word by word: folding, weights, exceptions, length."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame([(90_001, "Ｔrash can, trаsh t4sh \u200bclown fish", "en", "s", 1), (90_002, None, None, None, None), (90_003, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))

@@ -177,3 +177,27 @@ def test_near_duplicates_keeps_different_texts_of_one_id(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SF2)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in [rows[0], rows[1], rows[4], rows[5]])
+
+
+def test_short_sections_and_named_paragraphs_stay():
+    long = "<p>" + "A sentence of the article that carries its text along. " * 6 + "</p>"
+    page = f"<body><div class='top'><a href=1>Home</a> <a href=2>News</a></div><div id=content><section><h2>First</h2>{long}</section><section><h2>Second</h2>{long}</section><section><h2>Third</h2><p>tiny.</p></section></div></body>"
+    text = html_text.main_text(page).split("\n")
+    assert [t for t in text if len(t) < 20] == ["First", "Second", "Third", "tiny."] and len(text) == 6
+    assert html_text.main_text(page.replace("<div id=content>", "<article>").replace("</section></div>", "</section></article>")) == "\n".join(text)
+    named = f"<body><article>{long}<p class='search'>How the search went.</p><p class='social'>A social matter.</p><div class='social'>Follow us</div><p class='advert'>Buy now</p></article></body>"
+    assert html_text.main_text(named).split("\n")[1:] == ["How the search went.", "A social matter."]
+
+
+def test_only_density_tells_text_from_links(monkeypatch):
+    """Pages without a telling name or tag: link lists before, beside and after the text, of more characters than it."""
+    words = "Plain words make up this sentence of the story, and more of them follow it. "
+    links = "".join(f"<div><a href='{i}'>A longer headline of another story number {i}</a></div>" for i in range(60))
+    for order in ("{links}{text}", "{text}{links}", "{links}{text}{links}"):
+        body = order.format(links=f"<div class='c1'>{links}</div>", text=f"<div class='c2'><h1>Story</h1><p>{words * 4}</p><p>{words * 3}</p><p>Short end.</p></div>")
+        page = f"<body><div class='c0'>{body}</div></body>"
+        want = f"Story\n{(words * 4).strip()}\n{(words * 3).strip()}\nShort end."
+        assert html_text.main_text(page) == want
+        with monkeypatch.context() as without:
+            without.setattr(html_text, "density", lambda node, body: 0.0)
+            assert html_text.main_text(page) != want
