@@ -162,9 +162,11 @@ def density(node: _Node, body: _Node) -> float:
     return c / t * max(0.0, math.log(max(1.0, c * t / (max(1, lc) * lt)))) / max(1.0, math.log(base) if base > math.e else 1.0)
 
 
-def _runs_on(node: _Node) -> bool:
-    """Whether a block has text and isn't a list of links: three or more that hold most of its characters."""
-    return bool(node.chars) and (node.link_tags < 3 or 2 * node.links <= node.chars)
+def _runs_on(node: _Node, core: _Node, share: float = 0.1) -> bool:
+    """Whether a block has text and isn't a list of links: three or more that bring the link adjustment of its
+    density (its density over its plain characters a tag) under ``share`` of the core's."""
+    plain = lambda n: n.chars / max(1, n.tags)
+    return bool(node.chars) and (node.link_tags < 3 or node.density * plain(core) >= share * core.density * plain(node))
 
 
 def contents(root: _Node, slack: float = 0.5) -> list[_Node]:
@@ -195,7 +197,7 @@ def contents(root: _Node, slack: float = 0.5) -> list[_Node]:
             if x is child or x.chars and x.tag in HEADINGS:  # noqa: B023
                 return True
             near = inside > 0 or close and x.tag in FLOW and (x.tag != "section" or child.tag == "section")  # noqa: B023
-            return _runs_on(x) and (near or x.density >= threshold)
+            return _runs_on(x, best) and (near or x.density >= threshold)
 
         # text between elements of an article is its own too
         beside = [x for x in parent.down if (x.strip() and inside > 0 if isinstance(x, str) else not x.out and belongs(x))]
