@@ -41,6 +41,20 @@ def horn(pairs: DataFrame, scale: bool = True, weight: str | None = None, planar
         good = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
         ok = good if ok is None else ok & good
     m = moments(pairs.where(ok), s, t, weight).head()
+    return similarity_of(m, s, t, scale, planar)
+
+
+def horn_by(pairs: DataFrame, by: str) -> dict:
+    """The similarity of each group of pairs, from one aggregation; groups of fewer than three pairs have none."""
+    s, t = ["x", "y", "z"], ["tx", "ty", "tz"]
+    ok = F.lit(True)
+    for c in [*s, *t]:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return {m[by]: similarity_of(m, s, t) for m in moments(pairs.where(ok), s, t, by=[by]).collect() if m.n >= 3}  # a row a group
+
+
+def similarity_of(m, s: list[str], t: list[str], scale: bool = True, planar: bool = False) -> Similarity:
+    """The similarity that sums of coordinates and their products (see ``moments``) ask for."""
     n = m.n or 0.0
     if n <= 0:
         raise ValueError("no pairs to align")
@@ -156,11 +170,15 @@ def vertical_error(points: DataFrame, reference: DataFrame, axes: Axes, mask: Da
     return rmse(clip_quantiles(diff, "d", *clip) if clip else diff, "d")
 
 
-def simplex(error: Callable[[np.ndarray], float], start: np.ndarray, step: np.ndarray, rounds: int = 60, settled: float = 0.1, memory: int = 10) -> tuple[np.ndarray, float, list[float]]:
-    """Nelder-Mead over a few variables; each call of ``error`` may be a Spark job. Stops when the last ``memory`` best
-    errors differ by less than ``settled``; returns the best variables, their error, and the best error of each round."""
+def simplex_moves(start: np.ndarray, step: np.ndarray, rounds: int = 60, settled: float = 0.1, memory: int = 10):
+    """Nelder-Mead over a few variables as a generator: it yields lists of points to try, is sent their errors, and
+    returns the best point, its error and the best error of each round.
+
+    A round asks for the reflected, the expanded and both contracted points at once, so several simplexes can have
+    their errors worked out together. It stops when the last ``memory`` best errors differ by less than ``settled``.
+    """
     points = [np.asarray(start, float)] + [np.asarray(start, float) + step * np.eye(len(start))[i] for i in range(len(start))]
-    values, log = [error(p) for p in points], []
+    values, log = list((yield points)), []
     for _ in range(rounds):
         order = np.argsort(values, kind="stable")
         points, values = [points[i] for i in order], [values[i] for i in order]
@@ -168,24 +186,46 @@ def simplex(error: Callable[[np.ndarray], float], start: np.ndarray, step: np.nd
         if len(log) > memory and max(log[-memory - 1 : -1]) - min(log[-memory - 1 : -1]) < settled:
             break
         centre = np.mean(points[:-1], axis=0)
-        tried = lambda k: (lambda p: (p, error(p)))(centre + k * (centre - points[-1]))
-        p, v = tried(1.0)
-        if v < values[0]:
-            p2, v2 = tried(2.0)
-            points[-1], values[-1] = (p2, v2) if v2 < v else (p, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = p, v
+        tried = [centre + k * (centre - points[-1]) for k in (1.0, 2.0, 0.5, -0.5)]
+        across, beyond, before, within = got = yield tried
+        if across < values[0]:
+            chosen = 1 if beyond < across else 0
+        elif across < values[-2]:
+            chosen = 0
+        else:
+            chosen = 2 if across < values[-1] else 3
+            chosen = chosen if got[chosen] < min(across, values[-1]) else None
+        if chosen is not None:
+            points[-1], values[-1] = tried[chosen], got[chosen]
         else:
-            p2, v2 = tried(0.5 if v < values[-1] else -0.5)
-            if v2 < min(v, values[-1]):
-                points[-1], values[-1] = p2, v2
-            else:
-                points = [points[0]] + [points[0] + (q - points[0]) / 2 for q in points[1:]]
-                values = [values[0]] + [error(q) for q in points[1:]]
+            points = [points[0]] + [points[0] + (q - points[0]) / 2 for q in points[1:]]
+            values = [values[0], *(yield points[1:])]
     best = int(np.argmin(values))
     return points[best], values[best], log
 
 
+def simplex(error: Callable[[np.ndarray], float], start: np.ndarray, step: np.ndarray, rounds: int = 60, settled: float = 0.1, memory: int = 10) -> tuple[np.ndarray, float, list[float]]:
+    """The simplex of ``simplex_moves`` for one error function."""
+    return together({0: simplex_moves(start, step, rounds, settled, memory)}, lambda asked: {0: [error(p) for p in asked[0]]})[0]
+
+
+def together(moves: dict, errors: Callable[[dict], dict]) -> dict:
+    """Run generators of moves side by side: each round ``errors`` gets the points of all that still move, by key, and
+    returns their errors; the result of each by key."""
+    done, asked = {}, {}
+    for key, move in moves.items():
+        asked[key] = next(move)
+    while asked:
+        got, now = errors(asked), {}
+        for key in asked:
+            try:
+                now[key] = moves[key].send(got[key])
+            except StopIteration as end:
+                done[key] = end.value
+        asked = now
+    return done
+
+
 def polyfit(df: DataFrame, variables: list[str], target: str, terms: list[tuple[float, ...]]) -> dict:
     """Least squares of a polynomial: terms (exponents of each variable), coef, std, rmse, r2, adjusted_r2, dof, n.
 

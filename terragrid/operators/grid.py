@@ -94,20 +94,22 @@ def window_scan(grid: DataFrame, axes: Axes, box: tuple[float, float, float, flo
     return grid.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
 
 
-def bilinear(points: DataFrame, grid: DataFrame, axes: Axes, out: str = "sample") -> DataFrame:
+def bilinear(points: DataFrame, grid: DataFrame, axes: Axes, out: str = "sample", by: list[str] | None = None) -> DataFrame:
     """Points (pt_id, x, y, ...) with the value between the four cells around them; NULL outside or beside a missing one.
 
-    Each point asks for its (at most four) cells with a weight, one equi-join and one sum by pt_id answer.
+    Each point asks for its (at most four) cells with a weight, one equi-join and one sum by pt_id answer. With ``by``
+    both sides have these columns, and a group's points meet its own grid.
     """
+    by = by or []
     fx, fy = (F.col("x") - axes.x0) / axes.dx + 1, (F.lit(axes.y0) - F.col("y")) / axes.dy + 1
     # the last row and column end the grid: points on them lie in the cell before
     c, r = F.least(F.floor(fx), F.lit(max(1, axes.ncols - 1))), F.least(F.floor(fy), F.lit(max(1, axes.nrows - 1)))
     inside = fx.between(1, axes.ncols) & fy.between(1, axes.nrows)
     corner = lambda dr, dc: F.struct((r + dr).cast("int").alias("row"), (c + dc).cast("int").alias("col"), ((fy - r if dr else 1 - (fy - r)) * (fx - c if dc else 1 - (fx - c))).alias("w"))
-    asked = points.where(inside).select("pt_id", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("s")).select("pt_id", "s.*").where("w > 0")
-    got = asked.join(grid.select("row", "col", "val"), ["row", "col"], "left").groupBy("pt_id")
+    asked = points.where(inside).select(*by, "pt_id", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("s")).select(*by, "pt_id", "s.*").where("w > 0")
+    got = asked.join(grid.select(*by, "row", "col", "val"), [*by, "row", "col"], "left").groupBy(*by, "pt_id")
     value = F.when(F.count("val") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("val")))
-    return points.join(got.agg(value.alias(out)), "pt_id", "left")
+    return points.join(got.agg(value.alias(out)), [*by, "pt_id"], "left")
 
 
 def resample(grid: DataFrame, axes: Axes, target: Axes, inverse=None, nulls: tuple = ()) -> DataFrame:

@@ -16,6 +16,12 @@ def clip_quantiles(df: DataFrame, value: str, low: float = 0.05, high: float = 0
     return df.where(F.col(value).between(q[low], q[high])) if q else df.limit(0)
 
 
+def clip_quantiles_by(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Rows with a value between two Hazen quantiles of their group's values."""
+    ends = hazen(df, value, [low, high], by).groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    return df.join(ends, by).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
 def rmse(df: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
     return df.agg(F.count(value).alias("n"), F.sum(v * v).alias("sse"), F.sqrt(F.avg(v * v)).alias("rmse"))
@@ -78,11 +84,12 @@ def convergence(df: DataFrame, group: str, order: list[str], value: str, n: int
     return df.withColumn("spread", F.max(value).over(w) - F.min(value).over(w)).withColumn("settled", (F.count(value).over(w) == n) & F.coalesce(F.col("spread") < within, F.lit(False)))
 
 
-def moments(df: DataFrame, left: list[str], right: list[str], weight: str | None = None) -> DataFrame:
-    """n, sums of all columns and of the products left x right: what closed-form alignment needs, in one aggregation."""
+def moments(df: DataFrame, left: list[str], right: list[str], weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """n, sums of all columns and of the products left x right: what closed-form alignment needs, in one aggregation
+    (for each group ``by``)."""
     w = F.col(weight) if weight else F.lit(1.0)
     sums = [F.sum(w).alias("n")] + [F.sum(w * F.col(c)).alias(f"s_{c}") for c in [*left, *right]]
-    return df.agg(*sums, *[F.sum(w * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a in left for b in right], *[F.sum(w * F.col(a) * F.col(a)).alias(f"s_{a}_{a}") for a in [*left, *right]])
+    return df.groupBy(*(by or [])).agg(*sums, *[F.sum(w * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a in left for b in right], *[F.sum(w * F.col(a) * F.col(a)).alias(f"s_{a}_{a}") for a in [*left, *right]])
 
 
 def normal_equations(df: DataFrame, features: dict[str, Column], target: Column) -> DataFrame:

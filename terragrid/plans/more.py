@@ -20,10 +20,10 @@ def slope_window(spark, sf):
     return K.slope_window(G.surface(cells(spark, sf), 1000.0, 1000.0)).select("row", "col", F.round("slope", 6).alias("slope"))
 
 
-@query(f'with {GRID}, {REF} select g."row", g.col, round(case when abs(g.val - ref.val) > 5000 then null else g.val end, 4) as val from g left join (select * from ref where col % 9 > 0) ref using ("row", col)')
+@query(f'with {GRID}, {REF} select g."row", g.col, round(case when abs(g.val - ref.val) > 5000 then null else g.val end, 9) as val from g left join (select * from ref where col % 9 > 0) ref using ("row", col)')
 def outlier_cut(spark, sf):
     met = cells(spark, sf).join(reference(spark, sf).where("col % 9 > 0").select("row", "col", F.col("val").alias("ref")), ["row", "col"], "left")
-    return rounded(K.cut_outliers(met, "val", "ref", 5000.0), 4, "val").select("row", "col", "val")
+    return rounded(K.cut_outliers(met, "val", "ref", 5000.0), 9, "val").select("row", "col", "val")
 
 
 @query(f"with {POS}, w as (select pt_id, lon, case when pt_id % 5 = 0 then lat * 1.5 else lat end as lat, case when pt_id % 11 = 0 then null else h end as z from p), f as (select pt_id, case when not lon between -180 and 180 then 'longitude' when not lat between -90 and 90 then 'latitude' when not coalesce(z > -500 and z < 9000, false) then 'elevation' end as fault from w) select pt_id, fault from f where fault is not null")
@@ -198,11 +198,11 @@ def nn_3d(spark, sf):
     return X.nearest(at("customer", "c_custkey", (29, 31, 41)), at("supplier", "s_suppkey", (37, 91, 53)), 20.0, 2, ("x", "y", "z")).withColumn("distance", F.round("distance", 6))
 
 
-@query(f'with {_N8}, d as (select "row", col, coalesce(e, case when col = 50 then 2 * val - w end) as e, coalesce(w, case when col = 1 then 2 * val - e end) as w, coalesce(n, case when "row" = 1 then 2 * val - s end) as n, coalesce(s, case when "row" = 10 then 2 * val - n end) as s from o) select "row", col, round((e - w) / 2, 4) as p, round((n - s) / 2, 4) as q from d where e is not null and w is not null and n is not null and s is not null')
+@query(f'with {_N8}, d as (select "row", col, coalesce(e, case when col = 50 then 2 * val - w end) as e, coalesce(w, case when col = 1 then 2 * val - e end) as w, coalesce(n, case when "row" = 1 then 2 * val - s end) as n, coalesce(s, case when "row" = 10 then 2 * val - n end) as s from o) select "row", col, round((e - w) / 2, 9) as p, round((n - s) / 2, 9) as q from d where e is not null and w is not null and n is not null and s is not null')
 def gradient_with_rim(spark, sf):
     """Central differences with the grid continued in lines beyond its edge."""
     g = G.gradient(G.neighbours(cells(spark, sf), (AX.nrows, AX.ncols)), 1.0, 1.0)
-    return rounded(g.where("p is not null and q is not null").select("row", "col", "p", "q"), 4, "p", "q")
+    return rounded(g.where("p is not null and q is not null").select("row", "col", "p", "q"), 9, "p", "q")
 
 
 @query("select 0 as power, round(regr_intercept(l_extendedprice, l_quantity), 4) as coef, round(regr_r2(l_extendedprice, l_quantity), 8) as r2 from lineitem union all select 1, round(regr_slope(l_extendedprice, l_quantity), 4), round(regr_r2(l_extendedprice, l_quantity), 8) from lineitem")

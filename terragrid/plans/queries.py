@@ -68,9 +68,9 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query(f'with {GRID} select "row", col, round(val, 4) as val, n from g')
+@query(f'with {GRID} select "row", col, round(val, 9) as val, n from g')
 def cell_mean(spark, sf):
-    return rounded(cells(spark, sf), 4, "val")
+    return rounded(cells(spark, sf), 9, "val")
 
 
 @query(f"""with {GRID}, {REF},
@@ -115,9 +115,9 @@ def nearest_axis(spark, sf):
     return X.nearest_on_axis(table(spark, sf, "orders"), "o_totalprice", 0.0, 1000.0, 300).select("o_orderkey", "axis_index")
 
 
-@query(f'with {GRID} select "row", col, round(val, 4) as val from g where col between 4 and 23 and "row" between 3 and 8')
+@query(f'with {GRID} select "row", col, round(val, 9) as val from g where col between 4 and 23 and "row" between 3 and 8')
 def region_bbox_scan(spark, sf):
-    return rounded(G.window_scan(cells(spark, sf), AX, (4.6, 2.2, 20.4, 6.9), 0.1), 4, "val").select("row", "col", "val")
+    return rounded(G.window_scan(cells(spark, sf), AX, (4.6, 2.2, 20.4, 6.9), 0.1), 9, "val").select("row", "col", "val")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when l_extendedprice between -500 and 9000 and l_extendedprice not in (1000) then l_extendedprice end as val from lineitem")
@@ -294,9 +294,9 @@ def row_col_mean(spark, sf):
 _N8 = f'{GRID}, o as (select g."row", g.col, g.val, ' + ", ".join(f'max(h.val) filter (where h."row" = g."row" + ({dr}) and h.col = g.col + ({dc})) as {n}' for (dr, dc), n in zip(G.EIGHT, G.NAMES)) + ' from g left join g h on abs(h."row" - g."row") <= 1 and abs(h.col - g.col) <= 1 group by 1, 2, 3)'
 
 
-@query(f'with {_N8} select "row", col, round(val, 4) as val, ' + ", ".join(f"round({n}, 4) as {n}" for n in G.NAMES) + " from o")
+@query(f'with {_N8} select "row", col, round(val, 9) as val, ' + ", ".join(f"round({n}, 9) as {n}" for n in G.NAMES) + " from o")
 def neighbors8(spark, sf):
-    return rounded(G.neighbours(cells(spark, sf)), 4, "val", *G.NAMES)
+    return rounded(G.neighbours(cells(spark, sf)), 9, "val", *G.NAMES)
 
 
 _PQ = f"{_N8}, d as (select *, (e - w) / 2000 as p, (n - s) / 2000 as q from o)"
@@ -474,10 +474,10 @@ def argmin_param(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"))
 
 
-@query(f'with {GRID}, {REF}, h as (select "row", col, case when n % 3 = 0 then null else val end as val from g) select h."row", h.col, round(coalesce(h.val, ref.val), 4) as val from h left join ref using ("row", col)')
+@query(f'with {GRID}, {REF}, h as (select "row", col, case when n % 3 = 0 then null else val end as val from g) select h."row", h.col, round(coalesce(h.val, ref.val), 9) as val from h left join ref using ("row", col)')
 def coalesce_fill(spark, sf):
     holed = cells(spark, sf).select("row", "col", F.when(F.col("n") % 3 != 0, F.col("val")).alias("val"))
-    return rounded(G.fill(holed, reference(spark, sf)), 4, "val")
+    return rounded(G.fill(holed, reference(spark, sf)), 9, "val")
 
 
 @query("""with f as (select distinct l_orderkey as face_id, l_partkey as vertex from lineitem),

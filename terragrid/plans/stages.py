@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.projections import apply_matrix, curve, solver_forward, solver_inverse, uncurve
+from ..functions.projections import apply_matrix, curve, ecef_to_geodetic, geodetic_to_ecef, ll_to_utm, rotation, solver_forward, solver_inverse, uncurve, utm_to_ll
+from ..functions.semantics import hash_order
 from ..operators import estimators as est
 from ..operators.checks import coverage, cut_outliers
-from ..operators.stats import quota, sample
-from ..operators.grid import Axes, area_open, bilinear, cell_mean, dilate, disk, fill, median, surface
+from ..operators.grid import Axes, _cut, area_open, bilinear, cell_mean, dilate, disk, fill, locate, median, surface
+from ..operators.spatial import inside_polygons
+from ..operators.stats import clip_quantiles_by, quota, sample
 
 
 @dataclass(frozen=True)
@@ -60,19 +63,65 @@ def undo_chain(points: DataFrame, chain: list[Step]) -> DataFrame:
 BOUNDS = {"rotation": (2.0, 2.0, 2.0), "shift": (50.0, 50.0, 50.0), "scale": (0.02, 0.02, 0.02), "whole": 0.02}
 
 
-def optimise(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFrame | None = None, bounds: dict = BOUNDS, rounds: int = 200, settled: float = 0.1, clip: tuple[float, float] | None = (0.05, 0.95)) -> tuple[dict, float, list]:
-    """Solver variables that take the points nearest to the reference, their vertical error and the log of errors.
+def affine(v: dict) -> np.ndarray:
+    """Solver variables without a surface as one 3 x 4 matrix."""
+    turn, c = rotation(*v["rotation"]) * (np.asarray(v["scale"]) * v["whole"]), np.asarray(v["center"], float)
+    return np.column_stack([turn, c + np.asarray(v["shift"]) - turn @ c])
+
+
+def _small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """A table of ``rows`` rows (counted), broadcast if there are no more than ``most``."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def apply_each(points: DataFrame, by: list[str], matrices: dict) -> DataFrame:
+    """Points (by..., x, y, z, ...) of each group under the group's 3 x 4 matrix; groups without one go."""
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+    rows = [(*key, [float(t) for t in np.asarray(m, float).ravel()]) for key, m in matrices.items()]
+    table = points.sparkSession.createDataFrame(rows, f"{kinds}, _m array<double>")
+    m, xyz = F.col("_m"), [F.col(c) for c in "xyz"]
+    moved = {n: sum((m[4 * r + k] * c for k, c in enumerate(xyz)), m[4 * r + 3]) for r, n in enumerate("xyz")}
+    return points.join(_small(table, len(rows)), by).withColumns(moved).drop("_m")
+
 
-    A simplex over the variables scaled to -1..1 within their bounds; each error is one Spark job (transform, grid,
-    join, mask, clip, root mean square). Outside the bounds the error is infinite.
+def trial_errors(points: DataFrame, by: list[str], trials: dict, reference: DataFrame, axes: Axes, clip: tuple[float, float] | None = (0.05, 0.95)) -> DataFrame:
+    """by..., trial, n, sse and rmse of every trial (a list of 3 x 4 matrices for each group) at once.
+
+    Every point of a group goes through each of its trials; means by cell, differences from the reference, the clip
+    between two quantiles and the sums are grouped by trial, so the number of jobs doesn't depend on groups or trials.
     """
-    centre = points.agg(*[F.avg(c) for c in "xyz"]).head()
-    if centre[0] is None:
-        raise ValueError("no points to fit")
+    flat = [(*key, [[float(t) for t in np.asarray(m, float).ravel()] for m in ms]) for key, ms in trials.items()]
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+    table = points.sparkSession.createDataFrame(flat, f"{kinds}, _ms array<array<double>>")
+    each = points.join(_small(table, sum(len(r[-1]) for r in flat)), by).select(*by, "x", "y", "z", F.posexplode("_ms").alias("trial", "_m"))
+    m, xyz = F.col("_m"), [F.col(c) for c in "xyz"]
+    moved = each.select(*by, "trial", *[sum((m[4 * r + k] * c for k, c in enumerate(xyz)), m[4 * r + 3]).alias(n) for r, n in enumerate("xyz")])
+    keys = [*by, "trial"]
+    met = cell_mean(moved, axes, by=keys).join(reference.select("row", "col", F.col("val").alias("_ref")), ["row", "col"])
+    diff = met.select(*keys, (F.col("_ref") - F.col("val")).alias("d")).where("d is not null")
+    kept = clip_quantiles_by(diff, "d", keys, *clip) if clip else diff
+    d = F.col("d")
+    return kept.groupBy(*keys).agg(F.count("d").alias("n"), F.sum(d * d).alias("sse"), F.sqrt(F.avg(d * d)).alias("rmse"))
+
+
+def optimise_each(points: DataFrame, by: list[str], reference: DataFrame, axes: Axes, mask: DataFrame | None = None, bounds: dict = BOUNDS, rounds: int = 200, settled: float = 0.1, clip: tuple[float, float] | None = (0.05, 0.95)) -> dict:
+    """For each group of points (by..., x, y, z) the solver variables that take it nearest to the reference, their
+    vertical error and the log of errors, by key (a tuple).
+
+    A simplex a group over the variables scaled to -1..1 within their bounds, outside of which the error is infinite.
+    All groups' simplexes move in step: a round is one grouped job over the sample, which is written once. The driver
+    holds the simplexes (eleven points a group). A group without points has no entry; one that nowhere meets the
+    reference has an infinite error.
+    """
+    points = _cut(points.select(*by, "x", "y", "z"))
+    if mask is not None:
+        reference = reference.join(mask.select("row", "col").distinct(), ["row", "col"], "left_anti")
+    reference = _cut(reference.select("row", "col", "val").where("val is not null"))
+    centres = {tuple(r[c] for c in by): [float(r[c]) for c in ("_x", "_y", "_z")] for r in points.groupBy(*by).agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"]).collect() if r["_x"] is not None and r["_z"] is not None}  # a row a group
     slots = [(name, i, b) for name in ("rotation", "shift", "scale") for i, b in enumerate(bounds.get(name) or (None,) * 3) if b] + ([("whole", None, bounds["whole"])] if bounds.get("whole") else [])
 
-    def variables(u: np.ndarray) -> dict:
-        v = {"center": [float(c) for c in centre], "rotation": [0.0] * 3, "shift": [0.0] * 3, "scale": [1.0] * 3, "whole": 1.0, "surface": None}
+    def variables(key: tuple, u: np.ndarray) -> dict:
+        v = {"center": centres[key], "rotation": [0.0] * 3, "shift": [0.0] * 3, "scale": [1.0] * 3, "whole": 1.0, "surface": None}
         for (name, i, b), x in zip(slots, u):
             if i is None:
                 v[name] += float(x) * b
@@ -80,14 +129,50 @@ def optimise(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFram
                 v[name][i] += float(x) * b
         return v
 
-    def error(u: np.ndarray) -> float:
-        if np.abs(u).max(initial=0.0) > 1:
-            return float("inf")
-        got = est.vertical_error(Step("solver", (variables(u),)).forward(points), reference, axes, mask, clip).head().rmse
-        return float("inf") if got is None else got
+    def errors(asked: dict) -> dict:
+        out = {key: [float("inf")] * len(us) for key, us in asked.items()}
+        within = {key: [i for i, u in enumerate(us) if np.abs(u).max(initial=0.0) <= 1] for key, us in asked.items()}
+        trials = {key: [affine(variables(key, asked[key][i])) for i in at] for key, at in within.items() if at}
+        if trials:
+            for r in trial_errors(points, by, trials, reference, axes, clip).collect():  # a row a trial
+                key = tuple(r[c] for c in by)
+                out[key][within[key][r.trial]] = float("inf") if r.rmse is None else r.rmse
+        return out
+
+    moves = {key: est.simplex_moves(np.zeros(len(slots)), np.full(len(slots), 0.25), rounds, settled) for key in centres}
+    return {key: (variables(key, best), value, log) for key, (best, value, log) in est.together(moves, errors).items()}
+
 
-    best, value, log = est.simplex(error, np.zeros(len(slots)), np.full(len(slots), 0.25), rounds, settled)
-    return variables(best), value, log
+def optimise(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFrame | None = None, bounds: dict = BOUNDS, rounds: int = 200, settled: float = 0.1, clip: tuple[float, float] | None = (0.05, 0.95)) -> tuple[dict, float, list]:
+    """``optimise_each`` for one group of points."""
+    found = optimise_each(points.withColumn("_all", F.lit(0)), ["_all"], reference, axes, mask, bounds, rounds, settled, clip)
+    if not found:
+        raise ValueError("no points to fit")
+    return found[0,]
+
+
+def near_reference(points: DataFrame, by: list[str], reference: DataFrame, axes: Axes, most: float = 50.0) -> DataFrame:
+    """Points (by..., pt_id, x, y, z) at which the reference differs by less than ``most`` from the group's own cell
+    means (the difference grid sampled between cells)."""
+    own = cell_mean(points, axes, by=by)
+    diff = own.join(reference.select("row", "col", F.col("val").alias("_ref")), ["row", "col"]).select(*by, "row", "col", (F.col("_ref") - F.col("val")).alias("val"))
+    return bilinear(points, diff, axes, "_off", by).where(F.abs("_off") < most).drop("_off")
+
+
+def fit_curvature(points: DataFrame, by: list[str], zone: int, hemisphere: str, n: int = 100) -> dict:
+    """By group the similarity (3 x 4) from the map (x, y, z) to geocentric coordinates over n points in hash order."""
+    some = quota(points.withColumn("_group", F.struct(*by)), "_group", "pt_id", n)
+    lon, lat = utm_to_ll(F.col("x"), F.col("y"), zone, hemisphere)
+    some = some.withColumns({"_lon": lon, "_lat": lat})
+    tx, ty, tz = geodetic_to_ecef(F.col("_lon"), F.col("_lat"), F.col("z"))
+    return {key: m.matrix for key, m in est.horn_by(some.withColumns({"tx": tx, "ty": ty, "tz": tz}), by[0]).items()}
+
+
+def curve_each(points: DataFrame, by: str, matrices: dict, zone: int, hemisphere: str) -> DataFrame:
+    """``curve`` with a matrix a group."""
+    placed = apply_each(points, [by], {(k,): m for k, m in matrices.items()})
+    round_ = placed.withColumns(dict(zip("xyz", ecef_to_geodetic(*[F.col(c) for c in "xyz"]))))
+    return round_.withColumns(dict(zip("xy", ll_to_utm(F.col("x"), F.col("y"), zone, hemisphere))))
 
 
 @dataclass(frozen=True)
@@ -126,46 +211,92 @@ def initial_transform(points: DataFrame, controls: DataFrame, reference: DataFra
     return Georeference([rough, Step("solver", (solver,))], value, log)
 
 
-def georeference_regions(points: DataFrame, windows: DataFrame, first: list[Step], reference: DataFrame, axes: Axes, links: DataFrame | None = None, mask: DataFrame | None = None, attempts: int = 3, retry_over: float = 25.0, least: float = 0.33, per_region: int = 1_000_000, most_off: float = 200.0, bounds: dict = BOUNDS, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """All windows of all regions: placed points (region_id, window_id, pt_id, x, y, z) and a lineage row a window
-    (region_id, window_id, rmse, attempts, chain as JSON, error).
+def georeference_regions(points: DataFrame, windows: DataFrame, first: list[Step], reference: DataFrame, axes: Axes, links: DataFrame | None = None, mask: DataFrame | None = None, attempts: int = 3, retry_over: float = 25.0, least: float = 0.33, per_region: int = 1_000_000, most_off: float = 200.0, bounds: dict = BOUNDS, rounds: int = 200, zone: tuple[int, str] | None = None, separately: bool = False, near: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """All windows of all regions: placed points (region_id, window_id, pt_id, x, y, z; with a zone lon and lat too) and
+    a lineage row a window (region_id, window_id, rmse, attempts, chain as JSON, error).
 
     points: region_id, window_id, pt_id, x, y, z; windows: region_id, window_id, expected (points); ``first``: the chain
     that places the first window's frame; links: region_id, x, y, z, tx, ty, tz, pairs of a region's frame and that
     first window's. A region takes the windows with ``least`` of their expected points, is aligned to the first by its
-    links, and is fitted on an even sample of its windows, again from where it got to while the error is over
-    ``retry_over`` (``attempts`` times at most). Elevations more than ``most_off`` from the reference's become NULL. What
-    fails is recorded with its error and the other windows go on. The driver loops over regions, not rows.
+    links, bent onto the ellipsoid (with a ``zone`` and hemisphere), and fitted on an even sample of its windows (with
+    ``near``, 50 metres say, where it is that close to the reference), again from where it got to while the error is over ``retry_over``
+    (``attempts`` times at most); with ``separately`` each window once more by itself. Elevations more than
+    ``most_off`` from the reference's become NULL. Windows and regions that fail are recorded with the reason.
+
+    All regions are fitted together (see ``optimise_each``): the number of jobs grows with attempts and rounds, not
+    with regions. The driver holds a few matrices a window.
     """
-    spark, rows, placed = points.sparkSession, [], None
-    gate = coverage(points, windows, "window_id", "z", least).join(windows.select("region_id", "window_id"), "window_id")
-    by_region: dict = {}
-    for r in gate.orderBy("region_id", "window_id").collect():  # a row a window
-        by_region.setdefault(r.region_id, []).append(r)
-    for region, all_windows in by_region.items():
-        good = [r.window_id for r in all_windows if r.covered]
-        rows += [(region, r.window_id, None, 0, None, f"{r.share:.2f} of the expected points, {least} are needed") for r in all_windows if not r.covered]
-        if not good:
-            continue
-        chain, value, tries = list(first), float("inf"), 0
-        own = points.where((F.col("region_id") == region) & F.col("window_id").isin(good))
-        try:
-            if links is not None and (found := links.where(F.col("region_id") == region)).limit(3).count() >= 3:
-                chain = [Step("matrix", (est.horn(found).matrix,)), *chain]
-            some = quota(own, "window_id", "pt_id", max(1, per_region // len(good)))
-            while tries < attempts and value > retry_over:
-                solver, value, _ = optimise(apply_chain(some, chain), reference, axes, mask, bounds, rounds)
-                chain, tries = [*chain, Step("solver", (solver,))], tries + 1
-            rows += [(region, w, value, tries, chain_json(chain), None) for w in good]
-        except Exception as error:  # noqa: BLE001 - recorded; the other regions go on
-            rows += [(region, w, None, tries, None, f"{type(error).__name__}: {error}"[:500]) for w in good]
-            continue
-        moved = apply_chain(own, chain).withColumns({"row": axes.row_of(F.col("y")), "col": axes.col_of(F.col("x"))})
-        met = moved.join(reference.select("row", "col", F.col("val").alias("_ref")), ["row", "col"], "left")
-        moved = cut_outliers(met, "z", "_ref", most_off).select("region_id", "window_id", "pt_id", "x", "y", "z")
-        placed = moved if placed is None else placed.union(moved)
-    lineage = spark.createDataFrame(rows, "region_id long, window_id long, rmse double, attempts int, chain string, error string")
-    return points.limit(0).select("region_id", "window_id", "pt_id", "x", "y", "z") if placed is None else placed, lineage
+    gate = coverage(points, windows, "window_id", "z", least).join(windows.select("region_id", "window_id"), "window_id").collect()  # a row a window
+    rows = [(r.region_id, r.window_id, None, 0, None, f"{r.share:.2f} of the expected points, {least} are needed") for r in gate if not r.covered]
+    good: dict = {}
+    for r in gate:
+        if r.covered:
+            good.setdefault(r.region_id, []).append(r.window_id)
+    region, window = ["region_id"], ["region_id", "window_id"]
+    kept = points.sparkSession.createDataFrame([(r, w, max(1, per_region // len(ws))) for r, ws in good.items() for w in ws], "region_id long, window_id long, _quota long")
+    own = points.withColumns({c: F.col(c).cast("long") for c in window}).join(_small(kept, sum(map(len, good.values()))), window)
+    chains = {r: list(first) for r in good}
+    if links is not None:
+        found = {r: m.matrix for r, m in est.horn_by(links, "region_id").items() if r in good}
+        chains.update({r: [Step("matrix", (m,)), *first] for r, m in found.items()})
+        own = apply_each(own, region, {(r,): found.get(r, np.eye(3, 4)) for r in good})
+    own = apply_chain(own, first)
+    if zone is not None:
+        bent = fit_curvature(own, region, *zone)
+        own = curve_each(own, "region_id", bent, *zone)
+        chains = {r: [*chains[r], Step("curve", (bent[r], *zone))] for r in bent}
+    own = _cut(own)
+    order = Window.partitionBy(*window).orderBy(hash_order(F.col("pt_id"), 0), "pt_id")
+    some = _cut(own.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota"))
+    fits, tries, motion = {}, dict.fromkeys(chains, 0), {r: np.eye(3, 4) for r in chains}
+    compose = lambda a, b: np.column_stack([a[:, :3] @ b[:, :3], a[:, :3] @ b[:, 3] + a[:, 3]])
+    close = lambda p, by: p if near is None else near_reference(p, by, reference, axes, near)
+    open_ = list(chains)
+    while open_:
+        now = close(apply_each(some, region, {(r,): motion[r] for r in open_}), region)
+        got = optimise_each(now, region, reference, axes, mask, bounds, rounds)
+        for (r,), (solver, value, _) in got.items():
+            if np.isfinite(value):
+                fits[r], tries[r], motion[r] = value, tries[r] + 1, compose(affine(solver), motion[r])
+                chains[r] = [*chains[r], Step("solver", (solver,))]
+        open_ = [r for r in open_ if np.isfinite(got.get((r,), (0, np.inf))[1]) and fits[r] > retry_over and tries[r] < attempts]
+    each = {(r, w): (motion[r], chains[r], fits[r]) for r in fits for w in good[r]}
+    if separately and each:
+        now = close(apply_each(some, window, {k: m for k, (m, _, _) in each.items()}), window)
+        for key, (solver, value, _) in optimise_each(now, window, reference, axes, mask, bounds, rounds).items():
+            if np.isfinite(value):
+                m, chain, _ = each[key]
+                each[key] = compose(affine(solver), m), [*chain, Step("solver", (solver,))], value
+    rows += [(r, w, each[r, w][2], tries[r], chain_json(each[r, w][1]), None) if (r, w) in each else (r, w, None, 0, None, "nothing of it is near the reference") for r in good for w in good[r]]
+    lineage = points.sparkSession.createDataFrame(rows, "region_id long, window_id long, rmse double, attempts int, chain string, error string")
+    moved = apply_each(own, window, {k: m for k, (m, _, _) in each.items()})
+    met = moved.withColumns({"row": axes.row_of(F.col("y")), "col": axes.col_of(F.col("x"))}).join(reference.select("row", "col", F.col("val").alias("_ref")), ["row", "col"], "left")
+    placed = cut_outliers(met, "z", "_ref", most_off).select(*window, "pt_id", "x", "y", "z")
+    if zone is not None:
+        placed = placed.withColumns(dict(zip(("lon", "lat"), utm_to_ll(F.col("x"), F.col("y"), *zone))))
+    return placed, lineage
+
+
+def prepare_reference(terrain: DataFrame, vertices: DataFrame, zone: int, hemisphere: str, cell: float = 90.0, reach: int = 3, strip: float = 0.01) -> tuple[Axes, DataFrame, DataFrame]:
+    """Axes, reference cells (row, col, val) and mask cells (row, col) on the map for reference elevations given in
+    longitude and latitude (lon, lat, val).
+
+    The map grid spans the terrain and a cell more each way. Cells are means of the elevations that fall into them;
+    the mask is where any position in a polygon (of unstable ground) falls, grown by ``reach`` cells.
+    """
+    x, y = ll_to_utm(F.col("lon"), F.col("lat"), zone, hemisphere)
+    on_map = _cut(terrain.select("lon", "lat", "val").withColumns({"x": x, "y": y}))
+    e = on_map.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    if e[0] is None:
+        raise ValueError("the reference holds no elevation here")
+    x0, y1 = math.floor(e[0]) - cell, math.floor(e[2]) - cell
+    ncols, nrows = (int((math.ceil(b) + cell - a) // cell) + 1 for a, b in ((x0, e[1]), (y1, e[3])))
+    axes = Axes(x0, y1 + (nrows - 1) * cell, cell, cell, ncols, nrows)
+    cells = cell_mean(on_map.select("x", "y", F.col("val").alias("z")), axes).select("row", "col", "val").where("val is not null")
+    named = on_map.withColumn("pt_id", F.xxhash64("lon", "lat"))
+    under = inside_polygons(named.select("pt_id", F.col("lon").alias("x"), F.col("lat").alias("y")), vertices, strip).select("pt_id").distinct()
+    wet = locate(named.join(under, "pt_id", "left_semi"), axes).select("row", "col").distinct()
+    return axes, cells, dilate(wet, disk(reach), axes.nrows, axes.ncols)
 
 
 def chain_json(chain: list[Step]) -> str:
