@@ -73,7 +73,8 @@ def ring_descriptors(grid: DataFrame, axes: Axes, keypoints: DataFrame, radii: l
     """
     rings = ring_samples(grid, axes, keypoints, radii, angles).groupBy("id", "ring").agg(F.array_sort(F.collect_list(F.struct("k", "z"))).alias("s"), F.count("z").alias("n"), F.stddev_samp("z").alias("sd"), F.avg("z").alias("mean"))
     z = F.transform("s", lambda x: x["z"])
-    first = F.array_position(z, F.array_max(z)).cast("int")
+    near = F.transform("s", lambda x: F.round(x["z"], 9))  # the first and the last sample stand at one place
+    first = F.array_position(near, F.array_max(near)).cast("int")
     turned = F.concat(F.slice(z, first, angles), F.slice(z, 1, first - 1))
     scaled = rings.where((F.col("n") == angles) & (F.col("sd") > 0)).select("id", "ring", "sd", "mean", turned.alias("z")).select("id", "ring", F.transform("z", lambda v: (v - F.col("mean")) / F.col("sd")).alias("d"))
     whole = scaled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ring", "d"))).alias("all"))

@@ -252,9 +252,8 @@ def components(mask: DataFrame, eight: bool = True, most: int = 200) -> DataFram
     raise RuntimeError(f"components didn't settle in {most} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the checkpoint folder."""
-    spark = df.sparkSession
+def checkpoint_dir(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -263,6 +262,12 @@ def _cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

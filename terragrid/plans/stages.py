@@ -145,7 +145,7 @@ def optimise_each(points: DataFrame, by: list[str], reference: DataFrame, axes:
 
 def optimise(points: DataFrame, reference: DataFrame, axes: Axes, mask: DataFrame | None = None, bounds: dict = BOUNDS, rounds: int = 200, settled: float = 0.1, clip: tuple[float, float] | None = (0.05, 0.95)) -> tuple[dict, float, list]:
     """``optimise_each`` for one group of points."""
-    found = optimise_each(points.withColumn("_all", F.lit(0)), ["_all"], reference, axes, mask, bounds, rounds, settled, clip)
+    found = optimise_each(points.withColumn("fit_group", F.lit(0)), ["fit_group"], reference, axes, mask, bounds, rounds, settled, clip)
     if not found:
         raise ValueError("no points to fit")
     return found[0,]

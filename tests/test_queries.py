@@ -12,7 +12,7 @@ from terragrid.functions import semantics as S
 from terragrid.operators import estimators as E
 from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
-from terragrid.plans import more, queries, stages
+from terragrid.plans import more, queries, regional, stages
 from terragrid.streaming import windows
 from tests.conftest import SF
 
@@ -32,7 +32,7 @@ def plain(rows):
     return sorted((tuple(clean(v) for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(more.ORACLES))
+@pytest.mark.parametrize("name", sorted(regional.ORACLES))
 def test_query_matches_sql(spark, db, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -194,3 +194,119 @@ def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert queries.inpaint(spark, SF).count() == 1600
+
+
+def test_regions_fitted_together_equal_regions_fitted_alone(spark):
+    axes, ref, pts = queries._scene(spark, (0.0, 0.0, 0.0))
+    moved = pts.withColumn("g", (F.col("pt_id") % 3).cast("long")).withColumn("z", F.col("z") - 2.0 * F.col("g"))
+    bounds = {"shift": (1.0, 1.0, 8.0), "whole": 0.1}
+    every = stages.optimise_each(moved, ["g"], ref, axes, bounds=bounds, rounds=5, settled=1e-6)
+    for g in range(2):
+        v, e, log = stages.optimise(moved.where(F.col("g") == g), ref, axes, bounds=bounds, rounds=5, settled=1e-6)
+        (w, f, more_) = every[g,]
+        assert np.allclose(v["shift"], w["shift"], atol=1e-6) and abs(e - f) < 1e-6 and len(log) == len(more_) == 5
+    assert every[0,][1] < every[2,][1] < 4
+
+
+def test_jobs_grow_with_rounds_not_with_regions(spark):
+    axes, ref, pts = queries._scene(spark)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (1, 6):
+        spark.sparkContext.setJobGroup(f"fit{n}", "fit")
+        p = pts.where("pt_id < 600").withColumn("g", F.col("pt_id") % n)
+        stages.optimise_each(p, ["g"], ref, axes, bounds={"shift": (0.0, 0.0, 5.0)}, rounds=2, settled=0.0)
+        jobs.append(len(tracker.getJobIdsForGroup(f"fit{n}")))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[1] <= 1.5 * jobs[0]
+
+
+def test_curvature_near_masks_and_way_back(spark):
+    """Points on a flat model of an ellipsoid's patch are bent to it; windows are fitted once more by themselves."""
+    x0, y0 = 500_000.0, 4_000_000.0
+    axes = G.Axes(x0 - 2000, y0 + 2000, 200.0, 200.0, 21, 21)
+    ref = axes.cells(spark).withColumn("val", 300 + 40 * F.sin((F.col("x") - x0) / 900) + 30 * F.cos((F.col("y") - y0) / 700)).select("row", "col", "val")
+    n = F.col("id")
+    pts = spark.range(4000).select(n.alias("pt_id"), (n % 2).alias("region_id"), (n % 4).alias("window_id"), (x0 - 1800 + (n * 7919 % 3600)).cast("double").alias("x"), (y0 - 1800 + (n * 104729 % 3600)).cast("double").alias("y"))
+    pts = pts.withColumn("z", 300 + 40 * F.sin((F.col("x") - x0) / 900) + 30 * F.cos((F.col("y") - y0) / 700) + 3 * F.col("region_id") + F.when(F.col("pt_id") % 50 == 0, 900).otherwise(0))
+    windows_ = spark.createDataFrame([(w % 2, w, 900) for w in range(4)], "region_id long, window_id long, expected long")
+    links = spark.createDataFrame([(r, x, y, z, x, y, z - 3.0 * r) for r in range(2) for x, y, z in ((x0, y0, 0.0), (x0 + 900, y0, 5.0), (x0, y0 + 800, 9.0), (x0 + 500, y0 + 500, 3.0))], "region_id long, x double, y double, z double, tx double, ty double, tz double")
+    placed, lineage = stages.georeference_regions(pts, windows_, [], ref, axes, links=links, attempts=1, bounds={"shift": (0.0, 0.0, 20.0)}, rounds=6, zone=(33, "N"), separately=True, near=50.0)
+    got = lineage.collect()
+    assert len(got) == 4 and all(r.error is None and r.rmse < 2 for r in got)
+    kinds = [s.kind for s in stages.chain_of(got[0].chain)]
+    assert kinds == ["matrix", "curve", "solver", "solver"]
+    rows = placed.join(pts.select("pt_id", F.col("x").alias("x1"), F.col("y").alias("y1")), "pt_id")
+    far = rows.agg(F.max(F.abs(F.col("x") - F.col("x1"))), F.sum(F.when(F.col("z").isNull(), 1).otherwise(0)), F.count("z"), F.max("lon"), F.min("lat")).head()
+    assert far[0] < 3 and far[1] == 80 and far[2] == 3920  # spikes far over the reference are cut
+    assert abs(far[3] - 15) < 0.1 and abs(far[4] - 36.1) < 0.1
+    back = stages.undo_chain(placed.where("window_id = 1 and z is not null"), stages.chain_of(next(r.chain for r in got if r.window_id == 1)))
+    worst = back.join(pts.select("pt_id", F.col("x").alias("x1"), F.col("z").alias("z1")), "pt_id").agg(F.max(F.abs(F.col("x") - F.col("x1")) + F.abs(F.col("z") - F.col("z1")))).head()[0]
+    assert worst < 1e-2
+
+
+def test_reference_is_prepared_on_the_map(spark):
+    rows = [(15.0 + i * 0.001, 36.0 + j * 0.001, 100.0 + i) for i in range(12) for j in range(12)]
+    terrain = spark.createDataFrame([*rows, (15.0, 36.0, None)], "lon double, lat double, val double")
+    square = spark.createDataFrame([(1, 0, k, x, y) for k, (x, y) in enumerate([(15.0045, 36.0045), (15.0065, 36.0045), (15.0065, 36.0065), (15.0045, 36.0065)])], "poly_id long, ring_id int, vtx_id int, x double, y double")
+    axes, ref, mask = stages.prepare_reference(terrain, square, 33, "N", reach=0)
+    assert (axes.dx, axes.dy) == (90.0, 90.0) and axes.ncols in (13, 14) and axes.nrows in (15, 16)
+    assert ref.agg(F.min("val"), F.max("val")).head() == (100.0, 111.0) and ref.count() == 144
+    assert mask.count() == 4 and stages.prepare_reference(terrain, square, 33, "N", reach=1)[2].count() == 12
+    with pytest.raises(ValueError):
+        stages.prepare_reference(terrain.limit(0), square, 33, "N")
+
+
+def test_control_points_recover_a_planted_similarity(spark):
+    from terragrid.operators import control
+
+    rng, n = np.random.default_rng(5), 70
+    bumps = [(*rng.uniform(0, n, 2), rng.uniform(-30, 40), rng.uniform(3, 6)) for _ in range(60)]
+    height = lambda x, y: float(sum(a * np.exp(-((x - p) ** 2 + (y - q) ** 2) / (2 * s * s)) for p, q, a, s in bumps))
+    axes, c, s = G.Axes(0.0, n - 1.0, 1.0, 1.0, n, n), math.cos(math.radians(25)), math.sin(math.radians(25))
+    grid = lambda f: spark.createDataFrame([(r, q, f(q - 1.0, float(n - r))) for r in range(1, n + 1) for q in range(1, n + 1)], "row int, col int, val double")
+    turned = grid(lambda x, y: height(c * (x - 35) - s * (y - 35) + 35, s * (x - 35) + c * (y - 35) + 35))
+    scale, found, inliers = control.control_points(turned, axes, grid(height), axes, scales=[0.8, 1.0], most=(60, 120), inlier=1.5, hypotheses=300, angles=72)
+    assert scale == 1.0 and inliers.count() >= 15 and abs(found.scale - 1) < 0.02
+    assert abs(math.degrees(math.atan2(found.rotation[1, 0], found.rotation[0, 0])) - 25) < 1
+    flat = turned.withColumn("val", F.lit(1.0))
+    with pytest.raises(ValueError):
+        control.control_points(flat, axes, flat, axes, scales=[1.0], most=(5, 5), hypotheses=10, angles=8)
+
+
+def test_polygon_boxes_reach_the_scan_and_clips_are_exact(spark, tmp_path):
+    from terragrid.sources import polygons as V
+
+    path = str(tmp_path / "polygons")
+    V.write_polygons(regional._diamonds(spark, SF), path, 1.0)
+    plan = V.read_polygons(spark, [path], (1.0, 2.0, 3.0, 4.0))._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(px0)" in plan and "LessThanOrEqual(px0,3.0)" in plan
+    key = lambda x, y: spark.range(1).select(V.morton(F.lit(x), F.lit(y))).head()[0]
+    assert [key(x, y) for x, y in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (65535, 65535))] == [0, 1, 2, 3, 4, (1 << 32) - 1]
+    ring = lambda *ps: F.lit(None) if not ps else F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps])
+    unit = ring((0, 0), (4, 0), (4, 4), (0, 4))
+    for other, want in ((ring((1, 1), (9, 1), (9, 2), (1, 2)), 3.0), (ring((5, 5), (6, 5), (6, 6)), 0.0), (ring((1, 1), (2, 1), (1, 2)), 0.5), (ring((-9, 2), (2, -9), (13, 2), (2, 13)), 16.0), (ring((0, 0), (8, 0), (0, 8)), 16.0)):
+        assert abs(spark.range(1).select(V.area(V.clip_convex(other, unit))).head()[0] - want) < 1e-9
+    # a hole of one file doesn't open another file's polygon
+    square = lambda f, ring_id, a, b: [(f, 1, ring_id, k, x, y) for k, (x, y) in enumerate(((a, a), (b, a), (b, b), (a, b)))]
+    both = spark.createDataFrame(square(0, 0, 0.0, 9.0) + square(0, 1, 3.0, 6.0) + square(1, 0, 4.0, 5.0), "file_id int, poly_id long, ring_id int, vtx_id int, x double, y double")
+    at = spark.createDataFrame([(1, 1.5, 1.5), (2, 3.5, 3.5), (3, 4.5, 4.5), (4, 9.5, 1.0)], "pt_id long, x double, y double")
+    assert sorted(r.pt_id for r in V.covered(at, V.edge_table(both), 2.0).collect()) == [1, 3]
+
+
+def test_footprints_at_edges_and_holes(spark):
+    from terragrid.operators.summed import local_deviation
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 255, (9, 13)).astype(float)
+    axes, grid = G.Axes(0, 8, 1, 1, 13, 9), spark.createDataFrame([(r + 1, c + 1, float(v[r, c])) for r in range(9) for c in range(13) if (r, c) != (4, 4)], "row int, col int, val double")
+    at = axes.cells(spark).select(((F.col("col").cast("long") - 1) * 9 + F.col("row")).alias("pt_id"), "row", "col")
+    v[4, 4] = np.nan
+    for hr, hc in ((1, 1), (3, 5), (9, 13)):
+        wide = np.pad(v, ((hr, hr), (hc, hc)), mode="symmetric")
+        for r in local_deviation(at, grid, axes, hr, hc).collect():
+            row, col = (r.pt_id - 1) % 9, (r.pt_id - 1) // 9
+            part = wide[row : row + 2 * hr + 1, col : col + 2 * hc + 1]
+            part = part[~np.isnan(part)]
+            assert r.n == part.size and abs(r.mean - part.mean()) < 1e-9 and abs(r.deviation - part.std(ddof=1)) < 1e-9
+    with pytest.raises(ValueError):
+        local_deviation(at, grid, axes, 10, 1)
