@@ -315,7 +315,7 @@ def _shared_keys(classes: DataFrame, scratch: Scratch, block_keys: int = 400_000
     return shared
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512, stars: int = 2, centres: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 512, stars: int = 4, centres: int = 8) -> DataFrame:
     """doc_id, text_hash, component_id and root of every row of ``docs`` (doc_id, text): groups of texts whose word
     shingles are alike. text_hash is Spark's xxhash64 of the text, root tells groups apart (ids may repeat).
 
@@ -341,14 +341,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     a, b = F.col("a"), F.col("b")
     sketches = known.select("node", "n", "sketch")
 
+    def able(x, y):
+        """Whether the sizes and a shared shingle's places leave two sets able to be alike. At the first shingle that
+        they share, neither shares any before it."""
+        low, high = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+        most = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        return (low >= similarity * high - 1e-9) & (most * (1 + similarity) >= similarity * (low + high) - 1e-9)
+
     def pairs(found: DataFrame) -> DataFrame:
-        """Distinct pairs of a and b that the sizes and a shared shingle's places leave able to be alike. At the first
-        shingle that two sets share, neither shares any before it."""
-        low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        most = F.least(a["n"] - a["at"], b["n"] - b["at"])
-        able = (low >= similarity * high - 1e-9) & (most * (1 + similarity) >= similarity * (low + high) - 1e-9)
-        found = found.where((a["node"] != b["node"]) & able)
-        return found.select(F.greatest(a["node"], b["node"]).alias("u"), F.least(a["node"], b["node"]).alias("v")).distinct()
+        """Distinct pairs of a and b that may be alike."""
+        return found.where((a["node"] != b["node"]) & able(a, b)).select(F.greatest(a["node"], b["node"]).alias("u"), F.least(a["node"], b["node"]).alias("v")).distinct()
 
     def with_both(candidates: DataFrame, of: DataFrame, column: str) -> DataFrame:
         """u, v and the ``column`` of both."""
@@ -404,17 +406,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     rest = rooted.join(mixed, "key", "left_semi")
     # the smaller of a pair has its shingle among the first (1 - s) / (1 + s); the other's size is in its band or the next
     band = F.floor(F.log(F.greatest("n", F.lit(1)) + 0.5) / float(-np.log(similarity))).cast("int")
-    slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("slot")
+    # blocks of one large group's members, which needn't meet themselves, and blocks of the small groups' together
+    own = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > block // 8).select("key", "root", F.lit(True).alias("large"))
+    member, slots = F.struct("node", "n", "at", "root"), F.ceil(F.col("size") / block)
+    rest = rest.join(own, ["key", "root"], "left").withColumns({"of": F.when(F.col("large"), F.col("root")), "slot": F.pmod(F.xxhash64("node"), slots), "salts": F.ceil(slots / 8)})
 
-    def gathered(rows: DataFrame, bands, root: str, members: str) -> DataFrame:
+    def gathered(rows: DataFrame, bands, of: str, members: str) -> DataFrame:
         rows = rows.withColumn("band", F.explode(F.array(*bands)))
-        return rows.groupBy("key", "band", F.col("root").alias(root), slot).agg(F.collect_list(held).alias(members)).drop("slot")
+        return rows.groupBy("key", "band", "salts", F.col("of").alias(of), F.col("slot").alias(f"slot_{of}")).agg(F.collect_list(member).alias(members))
 
     first = F.col("at") * (1 + similarity) <= (1 - similarity) * F.col("n") + 1e-9
-    left = scratch.save(gathered(rest.where(first), [band], "root", "as"), "left")
-    right = scratch.save(gathered(rest, [band, band - 1], "other", "bs"), "right")
-    met = left.join(right, ["key", "band"]).where("root <> other").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
-    met = met.where((a["n"] < b["n"]) | (a["n"] == b["n"]))
+    left = scratch.save(gathered(rest.where(first), [band], "of_a", "as"), "left").withColumn("salt", F.pmod("slot_of_a", F.col("salts")))
+    right = scratch.save(gathered(rest, [band, band - 1], "of_b", "bs"), "right").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    met = left.join(right.drop("salts"), ["key", "band", "salt"]).where("of_a is null or of_b is null or of_a <> of_b").select(F.explode("as").alias("a"), "bs")
+    met = met.select("a", F.explode(F.filter("bs", lambda y: (a["root"] != y["root"]) & (a["n"] <= y["n"]) & able(a, y))).alias("b"))
     two = alike(pairs(met), "rest")
     scratch.drop("left", "right", *[f"rooted{turn}" for turn in range(stars)])
     roots = components(links.union(two), scratch)
