@@ -532,9 +532,16 @@ def set_operations(spark, sf):
     return both.distinct().join(table(spark, sf, "nation").where("n_nationkey % 4 = 0"), F.col("k") == F.col("n_nationkey"), "left_anti").select("k")
 
 
-@query("select cast(k + 1 as integer) as window_id, cast(greatest(round((k % 3) * 4300.0 - 300), 0) as integer) as x0, cast(greatest(round((k // 3) * 4500.0 - 300), 0) as integer) as y0, cast(least(round((k % 3 + 1) * 4300.0 - 1 + 300), 12899) as integer) as x1, cast(least(round((k // 3 + 1) * 4500.0 - 1 + 300), 8999) as integer) as y1 from range(6) r(k)")
+@query("""with i as (select p_partkey as image_id, 3000 + p_size * 400 as width, 2500 + p_partkey % 50 * 300 as height from part),
+n as (select *, greatest(1, round(width / 4400.0))::int as nx, greatest(1, round(height / 4400.0))::int as ny from i),
+w as (select *, unnest(range(0, nx * ny)) as k from n)
+select image_id, cast(k + 1 as integer) as window_id, cast(greatest(least(round((k % nx) * (width * 1.0::double / nx) - 300), width - 1), 0) as integer) as x0, cast(greatest(least(round((k // nx) * (height * 1.0::double / ny) - 300), height - 1), 0) as integer) as y0,
+  cast(greatest(least(round((k % nx + 1) * (width * 1.0::double / nx) - 1 + 300), width - 1), 0) as integer) as x1, cast(greatest(least(round((k // nx + 1) * (height * 1.0::double / ny) - 1 + 300), height - 1), 0) as integer) as y1 from w""")
 def window_tiles(spark, sf):
-    return C.window_tiles(0, 0, 12899, 8999, spark)
+    """Windows of every image of part."""
+    k = F.col("p_partkey")
+    images = table(spark, sf, "part").select(k.alias("image_id"), (3000 + F.col("p_size") * 400).alias("width"), (2500 + k % 50 * 300).alias("height"))
+    return C.image_tiles(images)
 
 
 @query("select c_custkey, 304800.0 / 7.0 as focal_px, c_nationkey / 2 as pp_x from customer")
@@ -554,17 +561,32 @@ def _scene(spark, shift=(0.0, 0.0, 0.0)):
     return axes, ref, pts
 
 
+def surveyed(spark, sf):
+    """Axes of 40 x 40 cells, a surface surveyed at the places of orders as cells, and points of it at the places of
+    lineitem, each off by a little that goes by the quantity."""
+    axes = G.Axes(0.0, 39.0, 1.0, 1.0, 40, 40)
+    z = lambda x, y: 20 * F.sin(x / 6) + 15 * F.cos(y / 5) + 0.3 * x
+    o, k = F.col("o_orderkey"), F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    places = table(spark, sf, "orders").select((o * 7919 % 3951 / 100).alias("x"), (o * 104729 % 3947 / 100).alias("y"))
+    cells_ = G.cell_mean(places.withColumn("z", z(F.col("x"), F.col("y"))), axes).select("row", "col", "val")
+    pts = table(spark, sf, "lineitem").select(k.alias("pt_id"), (2 + (k * 7919 + F.col("l_partkey") * 31) % 3600 / 100).alias("x"), (2 + (k * 104729 + F.col("l_suppkey") * 17) % 3600 / 100).alias("y"), ((F.col("l_quantity") - 25.5) / 500).alias("off"))
+    return axes, cells_, pts.select("pt_id", "x", "y", (z(F.col("x"), F.col("y")) + F.col("off")).alias("z"))
+
+
 @query()
 def inpaint(spark, sf):
-    axes, ref, _ = _scene(spark)
-    return E.inpaint(ref.where("not (row between 10 and 14 and col between 10 and 13)"), axes)
+    """A surveyed grid with its empty cells and a cut-out filled."""
+    axes, grid, _ = surveyed(spark, sf)
+    return E.inpaint(grid.where("not (row between 10 and 14 and col between 10 and 13)"), axes)
 
 
 @query()
 def icp(spark, sf):
-    axes, ref, pts = _scene(spark, (0.4, -0.3, 2.0))
-    face = G.surface(ref, 1.0, 1.0).join(axes.cells(spark), ["row", "col"])
-    return spark.createDataFrame([tuple(map(float, r)) for r in E.icp(pts, face, axes, rounds=6)], "a double, b double, c double, shift double")
+    """The motion that takes shifted points of lineitem back onto the surface surveyed at orders."""
+    axes, grid, pts = surveyed(spark, sf)
+    face = G.surface(grid, 1.0, 1.0).join(axes.cells(spark), ["row", "col"])
+    moved = pts.select("pt_id", (F.col("x") + 0.4).alias("x"), (F.col("y") - 0.3).alias("y"), (F.col("z") + 2.0).alias("z"))
+    return spark.createDataFrame([tuple(map(float, r)) for r in E.icp(moved, face, axes, rounds=6)], "a double, b double, c double, shift double")
 
 
 @query()
@@ -594,5 +616,6 @@ def triangulate(spark, sf):
 
 @query()
 def rasterize(spark, sf):
-    axes, _, pts = _scene(spark)
+    """A cleaned elevation grid of lineitem's points."""
+    axes, _, pts = surveyed(spark, sf)
     return stages.rasterize(pts, axes, gap_cells=4, speckle_cells=20, denoise=0.8)

@@ -60,3 +60,16 @@ def window_tiles(x0: int, y0: int, x1: int, y1: int, spark: SparkSession, size:
     k, j = (F.col("id") % nx), F.floor(F.col("id") / nx)
     edge = lambda v, lo, hi: F.greatest(F.least(F.round(v).cast("int"), F.lit(hi)), F.lit(lo))
     return spark.range(nx * ny).select((F.col("id") + 1).cast("int").alias("window_id"), edge(x0 + k * sx - buffer, x0, x1).alias("x0"), edge(y0 + j * sy - buffer, y0, y1).alias("y0"), edge(x0 + (k + 1) * sx - 1 + buffer, x0, x1).alias("x1"), edge(y0 + (j + 1) * sy - 1 + buffer, y0, y1).alias("y1"))
+
+
+def image_tiles(images: DataFrame, size: int = 4400, buffer: int = 300) -> DataFrame:
+    """image_id, window_id (from 1) and pixel limits of the windows of every image (image_id, width, height), of about
+    ``size`` x ``size`` pixels with a buffer, held within the image."""
+    many = lambda c: F.greatest(F.lit(1), F.round(F.col(c) / size)).cast("int")
+    w = images.withColumns({"_nx": many("width"), "_ny": many("height")}).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_nx") * F.col("_ny") - 1)))
+    step = {"x": F.col("width").cast("double") / F.col("_nx"), "y": F.col("height").cast("double") / F.col("_ny")}
+    place = {"x": F.col("_k") % F.col("_nx"), "y": F.floor(F.col("_k") / F.col("_nx"))}
+    edge = lambda v, side: F.greatest(F.least(F.round(v), F.col(side) - 1.0), F.lit(0.0)).cast("int")
+    low = [edge(place[a] * step[a] - buffer, s).alias(f"{a}0") for a, s in (("x", "width"), ("y", "height"))]
+    high = [edge((place[a] + 1) * step[a] - 1 + buffer, s).alias(f"{a}1") for a, s in (("x", "width"), ("y", "height"))]
+    return w.select("image_id", (F.col("_k") + 1).cast("int").alias("window_id"), *low, *high)

@@ -310,3 +310,23 @@ def test_footprints_at_edges_and_holes(spark):
             assert r.n == part.size and abs(r.mean - part.mean()) < 1e-9 and abs(r.deviation - part.std(ddof=1)) < 1e-9
     with pytest.raises(ValueError):
         local_deviation(at, grid, axes, 10, 1)
+
+
+def test_pyramid_registration_recovers_a_motion(spark):
+    from terragrid.operators import registration
+
+    axes, ref, pts = queries._scene(spark)
+    face = G.surface(ref, 1.0, 1.0).join(axes.cells(spark), ["row", "col"])
+    model = face.select(((F.col("col").cast("long") - 1) * 40 + F.col("row")).alias("id"), "x", "y", F.col("val").alias("z"), "nx", "ny", "nz")
+    turn, shift = P.rotation(4, -3, 6), np.array([1.5, -1.0, 2.0])
+    inner = pts.where("x between 6 and 33 and y between 6 and 33 and pt_id < 700").select(F.col("pt_id").alias("id"), "x", "y", "z")
+    wild = inner.where("id < 60").select((F.col("id") + 10_000).alias("id"), "x", "y", (F.col("z") + 90).alias("z"))  # rejected
+    missing = inner.where("id = 1").select(F.lit(-1).cast("long").alias("id"), "x", "y", F.lit(None).cast("double").alias("z"))
+    moved = inner.union(wild).union(missing)
+    moved = moved.select("id", *[c.alias(n) for n, c in zip("xyz", P.apply_matrix(np.column_stack([turn, shift]), F.col("x"), F.col("y"), F.col("z")))])
+    got = registration.icp_pyramid(moved, model, levels=2, iterations=10, tolerance=1e-3)
+    corners = np.array([[10, 10, 0], [30, 10, 20], [10, 30, -10], [30, 30, 5.0]]).T
+    back = got[:, :3] @ (turn @ corners + shift[:, None]) + got[:, [3]]
+    assert np.abs(back - corners).max() < 0.3
+    with pytest.raises(ValueError):
+        registration.icp_pyramid(moved.limit(0), model)
