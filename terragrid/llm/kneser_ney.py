@@ -158,12 +158,15 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
     emit, emit_gram = T.emitter(ddl), T.emitter("h long, gram string")
 
     def gather(batches):
-        part, number, held, parts, rows = TaskContext.get().partitionId(), 0, 0, [], []
+        part, number, held, parts, rows, waiting = TaskContext.get().partitionId(), 0, 0, [], [], 0
         pack = zstandard.ZstdCompressor(level=6).compress
 
-        def flush():
+        def merged():
             grams = np.concatenate(rows)
-            grams = grams[np.unique(_hash(grams), return_index=True)[1]]
+            return grams[np.unique(_hash(grams), return_index=True)[1]]
+
+        def flush():
+            grams = merged()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, parts[0].schema) as out:
                 for p in parts:
@@ -173,10 +176,13 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
         for sub in T.slices(batches, most=1 << 20):
             rows.append(_grams(sub.column("text").to_pylist(), order)[1])
             parts.append(sub)
+            waiting += 1
+            if waiting == 4:  # distinct ones only, every few slices
+                rows, waiting = [merged()], 0
             held += sub.nbytes
             if held >= block:
                 yield flush()
-                number, held, parts, rows = number + 1, 0, [], []
+                number, held, parts, rows, waiting = number + 1, 0, [], [], 0
                 T.release()
         if parts:
             yield flush()
@@ -186,11 +192,16 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
     def open_grams(data: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(data), "<u4").reshape(-1, order)
 
-    def list_grams(batches):
+    def each(batches, *columns):
+        """The rows' values one row at a time: a block is large, and all of a batch at once would be copied."""
         for batch in batches:
-            for data in batch.column("grams").to_pylist():
-                grams = open_grams(data)
-                yield emit_gram({"h": _hash(grams).view(np.int64), "gram": _strings(grams)})
+            for i in range(batch.num_rows):
+                yield tuple(batch.column(c)[i].as_py() for c in columns)
+
+    def list_grams(batches):
+        for (data,) in each(batches, "grams"):
+            grams = open_grams(data)
+            yield emit_gram({"h": _hash(grams).view(np.int64), "gram": _strings(grams)})
         T.release()
 
     made = docs.mapInArrow(gather, ddl)
@@ -205,13 +216,12 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
     sent, back = T.emitter("shard int, block long, hs binary"), T.emitter("block long, shard int, lps binary")
 
     def send(batches):
-        for batch in batches:
-            for number, data in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist()):
-                h = np.sort(_hash(open_grams(data)))
-                shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                ends = np.append(cuts[1:], len(h))
-                yield sent({"shard": shard[cuts], "block": [number] * len(cuts), "hs": [h[a:b].tobytes() for a, b in zip(cuts, ends)]})
+        for number, data in each(batches, "block", "grams"):
+            h = np.sort(_hash(open_grams(data)))
+            shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = np.append(cuts[1:], len(h))
+            yield sent({"shard": shard[cuts], "block": [number] * len(cuts), "hs": [h[a:b].tobytes() for a, b in zip(cuts, ends)]})
         T.release()
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -229,15 +239,14 @@ def score(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFra
     emit_row = T.emitter(out_ddl)
 
     def add_up(batches):
-        for batch in batches:
-            for data, grams, got in zip(*(batch.column(c).to_pylist() for c in ("data", "grams", "replies"))):
-                h, lp = np.sort(_hash(open_grams(grams))), np.frombuffer(b"".join(r["lps"] for r in got), "<f8")
-                for sub in pa.ipc.open_stream(zstandard.decompress(data)):
-                    code, rows, at = _grams(sub.column("text").to_pylist(), order)
-                    own = lp[np.searchsorted(h, _hash(rows))]
-                    total = np.concatenate([[0.0], np.cumsum(own[code])])
-                    yield emit_row({c: sub.column(c) for c in schema.names} | {"lm_chars": np.diff(at), "lm_log_p": total[at[1:]] - total[at[:-1]]})
-        T.release()
+        for data, grams, got in each(batches, "data", "grams", "replies"):
+            h, lp = np.sort(_hash(open_grams(grams))), np.frombuffer(b"".join(r["lps"] for r in got), "<f8")
+            for sub in pa.ipc.open_stream(zstandard.decompress(data)):
+                code, rows, at = _grams(sub.column("text").to_pylist(), order)
+                own = lp[np.searchsorted(h, _hash(rows))]
+                total = np.concatenate([[0.0], np.cumsum(own[code])])
+                yield emit_row({c: sub.column(c) for c in schema.names} | {"lm_chars": np.diff(at), "lm_log_p": total[at[1:]] - total[at[:-1]]})
+            T.release()
 
     result = scratch.save(blocks.join(replies, "block", "left").select("data", "grams", F.coalesce("replies", F.array().cast("array<struct<shard:int,lps:binary>>")).alias("replies")).mapInArrow(add_up, out_ddl), "scored")
     spark.sql(f"drop table {name}")
