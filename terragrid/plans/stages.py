@@ -15,8 +15,9 @@ from ..functions.projections import apply_matrix, curve, ecef_to_geodetic, geode
 from ..functions.semantics import hash_order
 from ..operators import estimators as est
 from ..operators.checks import coverage, cut_outliers
+from ..operators.control import control_points
 from ..operators.grid import Axes, _cut, area_open, bilinear, cell_mean, dilate, disk, fill, locate, median, surface
-from ..operators.spatial import inside_polygons
+from ..operators.spatial import inside_polygons, nearest
 from ..operators.stats import clip_quantiles_by, quota, sample
 
 
@@ -198,11 +199,38 @@ def georeference(points: DataFrame, reference: DataFrame, axes: Axes, mask: Data
     return Georeference([motion, Step("solver", (solver,))], value, log)
 
 
-def initial_transform(points: DataFrame, controls: DataFrame, reference: DataFrame, axes: Axes, n: int = 1_000_000, rounds: int = 60, most_rmse: float = 50.0, shift: float = 10_000.0) -> Georeference:
+def automatic_controls(points: DataFrame, rough: Step, reference: DataFrame, axes: Axes, **options) -> DataFrame:
+    """Control points (x, y, z in the points' own frame; tx, ty, tz) found by matching the points' surface with the
+    reference's: points (pt_id, x, y, z), placed roughly by ``rough``, reference cells (row, col, val).
+
+    Both grids (the points' one has the reference's steps) have their holes filled; ``control_points`` (which takes the
+    options) pairs positions. A pair's elevation is the reference's there, and its source is the point nearest in plan.
+    """
+    placed = _cut(rough.forward(points.select("pt_id", "x", "y", "z")).where("x is not null and y is not null and z is not null"))
+    e = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    if e[0] is None:
+        raise ValueError("no points to match")
+    own = Axes(e[0], e[3], axes.dx, axes.dy, math.floor((e[1] - e[0]) / axes.dx) + 1, math.floor((e[3] - e[2]) / axes.dy) + 1)
+    whole = _cut(est.inpaint(reference.select("row", "col", "val"), axes))
+    surface_ = _cut(est.inpaint(cell_mean(placed, own).select("row", "col", "val"), own))
+    _, _, pairs = control_points(surface_, own, whole, axes, **options)
+    pairs = _cut(pairs.select("pt_id", "x", "y", "tx", "ty"))
+    there = bilinear(pairs.select("pt_id", F.col("tx").alias("x"), F.col("ty").alias("y")), whole, axes, "tz").select("pt_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "tz").where("tz is not null")
+    near = nearest(pairs.select(F.col("pt_id").alias("id"), "x", "y"), placed.select(F.col("pt_id").alias("id"), "x", "y"), max(axes.dx, axes.dy)).select(F.col("id").alias("pt_id"), "rid")
+    source = points.select(F.col("pt_id").alias("rid"), "x", "y", "z")
+    return there.join(near, "pt_id").join(source, "rid").select("x", "y", "z", "tx", "ty", "tz")
+
+
+def initial_transform(points: DataFrame, controls: DataFrame | None, reference: DataFrame, axes: Axes, n: int = 1_000_000, rounds: int = 60, most_rmse: float = 50.0, shift: float = 10_000.0, rough: Step | None = None, **options) -> Georeference:
     """A first placement of one window: the similarity through control points (x, y, z, tx, ty, tz), then the simplex
-    over wide bounds (45 degrees, ``shift``, whole scale by a factor of two at most; axis scales left out) on a sample."""
+    over wide bounds (45 degrees, ``shift``, whole scale by a factor of two at most; axis scales left out) on a sample.
+    Without control points they are found from a ``rough`` placement (see ``automatic_controls`` and its options)."""
+    if controls is None:
+        if rough is None:
+            raise ValueError("give control points, or a rough placement to find them from")
+        controls = _cut(automatic_controls(points, rough, reference, axes, **options))
     if controls.limit(3).count() < 3:
-        raise ValueError("give three control points or more: automatic ones were not found")
+        raise ValueError("it takes three control points or more")
     rough = Step("matrix", (est.horn(controls).matrix,))
     some = rough.forward(sample(points, "pt_id", n))
     solver, value, log = optimise(some, reference, axes, None, {"rotation": (45.0,) * 3, "shift": (shift,) * 3, "whole": 0.5}, rounds)

@@ -330,3 +330,27 @@ def test_pyramid_registration_recovers_a_motion(spark):
     assert np.abs(back - corners).max() < 0.3
     with pytest.raises(ValueError):
         registration.icp_pyramid(moved.limit(0), model)
+
+
+def test_first_placement_finds_its_control_points(spark):
+    rng, n = np.random.default_rng(8), 56
+    bumps = [(*rng.uniform(0, n, 2), rng.uniform(-30, 40), rng.uniform(3, 5)) for _ in range(50)]
+    height = lambda x, y: float(sum(a * np.exp(-((x - p) ** 2 + (y - q) ** 2) / (2 * s * s)) for p, q, a, s in bumps))
+    axes = G.Axes(0.0, n - 1.0, 1.0, 1.0, n, n)
+    ref = spark.createDataFrame([(r, q, height(q - 1.0, float(n - r))) for r in range(1, n + 1) for q in range(1, n + 1)], "row int, col int, val double")
+    turn, shift = P.rotation(0, 0, 12), np.array([4.0, -3.0, 0.0])
+    world = np.column_stack([rng.uniform(1, n - 2, (9000, 2)), np.zeros(9000)])
+    world[:, 2] = [height(x, y) for x, y, _ in world]
+    frame = (world - shift - [28, 28, 0]) @ turn + [28, 28, 0]  # turned back about the middle
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(frame)], "pt_id long, x double, y double, z double")
+    rough = stages.Step("matrix", (np.eye(3, 4),))
+    options = {"scales": [1.0], "most": (50, 100), "inlier": 1.5, "hypotheses": 300, "angles": 72}
+    found = stages.automatic_controls(pts, rough, ref, axes, **options)
+    assert found.columns == ["x", "y", "z", "tx", "ty", "tz"] and found.count() >= 8
+    m = E.horn(found).matrix
+    off = np.abs(m[:, :3] @ frame.T + m[:, [3]] - world.T)  # pairs stand at whole cells
+    assert off.mean() < 1 and off.max() < 3
+    with pytest.raises(ValueError):
+        stages.initial_transform(pts, None, ref, axes)
+    placed = stages.initial_transform(pts, found, ref, axes, rounds=2, shift=2.0)
+    assert placed.rmse < 5 and placed.chain[0].kind == "matrix"
