@@ -7,14 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projections import apply_matrix
 from ..functions.semantics import hash_order
-from .grid import Axes, _cut, cell_mean, components, neighbours, shifted
+from .grid import Axes, _cut, cell_mean
 from .stats import clip_quantiles, moments, normal_equations, rmse
 
 
@@ -338,103 +337,3 @@ def triangulate(points: DataFrame, left: np.ndarray, right: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("pt_id").cast(pa.int64()), *(col(world[:, i]) for i in range(3)), *(pa.array(off[:, i]) for i in range(4)), col(error)], schema=schema)
 
     return points.select("pt_id", "xl", "yl", "xr", "yr").mapInArrow(run, "pt_id long, x double, y double, z double, exl double, eyl double, exr double, eyr double, error double")
-
-
-def _solve_hole(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-    """row, col, val of one hole's cells (row, col, s: sum of the known values beside, n: cells of the grid beside):
-    conjugate gradients on n val - sum of the hole's cells beside = s, to the precision of doubles."""
-    r, c, s, n = (table[k].to_numpy(float if k == "s" else np.int64) for k in ("row", "col", "s", "n"))
-    cell = r * (1 << 32) + c
-    order = np.argsort(cell)
-    beside = []
-    for dr, dc in ((-1, 0), (0, 1), (1, 0), (0, -1)):
-        want = (r + dr) * (1 << 32) + c + dc
-        at = order[np.minimum(np.searchsorted(cell, want, sorter=order), len(cell) - 1)]
-        beside.append(np.where(cell[at] == want, at, len(cell)))
-    if not table["known"].any():  # nothing known around: no value
-        return pd.DataFrame({"row": r, "col": c, "val": np.full(len(r), np.nan)})
-
-    def times(x: np.ndarray) -> np.ndarray:
-        wide = np.append(x, 0.0)
-        return n * x - sum(wide[b] for b in beside)
-
-    x = np.full(len(s), s.sum() / table["known"].sum())
-    left = s - times(x)
-    step, was, enough = left / n, 0.0, 1e-13 * max(1.0, float(np.abs(s).max()))
-    direction, was = step, float(left @ step)
-    for _ in range(20 * len(s) + 50):
-        if np.abs(left).max() <= enough:
-            break
-        moved = times(direction)
-        k = was / float(direction @ moved)
-        x, left = x + k * direction, left - k * moved
-        step = left / n
-        now = float(left @ step)
-        direction, was = step + now / was * direction, now
-    return pd.DataFrame({"row": r, "col": c, "val": x})
-
-
-def inpaint(grid: DataFrame, axes: Axes, largest: int = 250_000, rounds: int = 400, tolerance: float = 1e-5) -> DataFrame:
-    """All cells of the axes, missing ones filled so that each is the mean of its (two to four) side neighbours.
-
-    Holes of up to ``largest`` cells are solved exactly, each by one task. For larger ones the same is first done on
-    the grid at half its size (and so on, till holes are small enough); its values start a relaxation by neighbour
-    joins that ends when a round moves no cell by more than ``tolerance`` of the known values' range (near the solution,
-    not equal to it), or raises after ``rounds``. Cells stay NULL only
-    where no cell of the grid has a value.
-    """
-    side = [(-1, 0), (0, 1), (1, 0), (0, -1)]
-    known = _cut(grid.where("val is not null").select("row", "col", F.col("val").cast("double").alias("val")))
-    holes = components(axes.cells(grid.sparkSession).select("row", "col").join(known, ["row", "col"], "left_anti"), eight=False)
-    rim = shifted(known, side).groupBy("row", "col").agg(F.sum("val").alias("s"), F.count("val").cast("int").alias("known"))
-    one = lambda c: F.when(c, 1).otherwise(0)
-    n = one(F.col("row") > 1) + one(F.col("row") < axes.nrows) + one(F.col("col") > 1) + one(F.col("col") < axes.ncols)
-    asked = holes.join(rim, ["row", "col"], "left").select("component", "row", "col", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("known", F.lit(0)).alias("known"), n.alias("n"))
-    sizes = holes.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    big = sizes.where(F.col("_size") > largest).select("component")
-    small = asked.join(big, "component", "left_anti").groupBy("component").applyInPandas(_solve_hole, "row int, col int, val double")
-    small = small.select("row", "col", F.when(~F.isnan("val"), F.col("val")).alias("val"))
-    if not big.limit(1).count():
-        return known.union(small)
-    known = _cut(known.union(small.where("val is not null")))
-    open_ = _cut(asked.join(big, "component", "left_semi").select("row", "col"))
-    half = lambda c: (F.floor((F.col(c) - 1) / 2) + 1).cast("int")
-    coarse = known.groupBy(half("row").alias("row"), half("col").alias("col")).agg(F.avg("val").alias("val"))
-    less = Axes(axes.x0, axes.y0, axes.dx * 2, axes.dy * 2, (axes.ncols + 1) // 2, (axes.nrows + 1) // 2)
-    start = inpaint(coarse, less, largest, rounds, tolerance).select(F.col("row").alias("_r"), F.col("col").alias("_c"), "val")
-    ends = known.agg(F.min("val"), F.max("val")).head()
-    enough = tolerance * (ends[1] - ends[0]) if ends[0] is not None else 0.0
-    now = _cut(open_.join(start, (half("row") == F.col("_r")) & (half("col") == F.col("_c"))).select("row", "col", "val"))
-    for i in range(1, rounds + 1):
-        sent = shifted(known.union(now), side).groupBy("row", "col").agg(F.avg("val").alias("val"))
-        after = open_.join(sent, ["row", "col"])
-        if i % 5:
-            now = after
-            continue
-        after = _cut(after)
-        moved = after.join(now.withColumnRenamed("val", "_was"), ["row", "col"]).agg(F.max(F.abs(F.col("val") - F.col("_was")))).head()[0]
-        now = after
-        if moved is None or moved <= enough:
-            return known.union(now)
-    raise RuntimeError(f"cells still move by {moved} after {rounds} rounds")
-
-
-def denoise(grid: DataFrame, dx: float, dy: float, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
-    """Feature-preserving smoothing of a surface: normals are averaged over neighbours by (dot - threshold)² where they
-    agree, then heights follow the neighbours' planes. All steps are neighbour joins over cells."""
-    now = grid.select("row", "col", "val")
-    for _ in range(rounds):
-        around = neighbours(now)
-        p = F.coalesce((F.col("e") - F.col("w")) / (2 * dx), F.lit(0.0))
-        q = F.coalesce((F.col("n") - F.col("s")) / (2 * dy), F.lit(0.0))
-        size = F.sqrt(p * p + q * q + 1)
-        own = around.select("row", "col", F.col("val").alias("z"), (-p / size).alias("a"), (-q / size).alias("b"), (1 / size).alias("c"))
-        bundle = own.select("row", "col", F.struct("z", "a", "b", "c").alias("val"))
-        met = shifted(bundle, [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]).select("row", "col", "dr", "dc", "val.*").join(own.select("row", "col", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("c").alias("c0")), ["row", "col"])
-        agree = F.col("a") * F.col("a0") + F.col("b") * F.col("b0") + F.col("c") * F.col("c0") - threshold
-        w = F.when(agree > 0, agree * agree).otherwise(0.0)
-        # the height here of the plane through the neighbour
-        plane = F.col("z") + (F.col("a") * F.col("dc") * dx - F.col("b") * F.col("dr") * dy) / F.col("c")
-        new = met.groupBy("row", "col").agg(F.coalesce(F.try_divide(F.sum(w * plane), F.sum(w)), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("z")))).alias("val"))
-        now = _cut(new)
-    return now

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import projections as P
 from ..functions import semantics as S
 from ..operators import estimators as E
+from ..operators import gaps
 from ..operators import grid as G
 from ..operators import spatial as X
 from ..operators import stats as Q
@@ -577,7 +578,7 @@ def surveyed(spark, sf):
 def inpaint(spark, sf):
     """A surveyed grid with its empty cells and a cut-out filled."""
     axes, grid, _ = surveyed(spark, sf)
-    return E.inpaint(grid.where("not (row between 10 and 14 and col between 10 and 13)"), axes)
+    return gaps.inpaint(grid.where("not (row between 10 and 14 and col between 10 and 13)"), axes)
 
 
 @query()

@@ -16,7 +16,9 @@ from ..functions.semantics import hash_order
 from ..operators import estimators as est
 from ..operators.checks import coverage, cut_outliers
 from ..operators.control import control_points
+from ..operators.gaps import inpaint
 from ..operators.grid import Axes, _cut, area_open, bilinear, cell_mean, dilate, disk, fill, locate, median, surface
+from ..operators.mesh import denoise as smoothed
 from ..operators.spatial import inside_polygons, nearest
 from ..operators.stats import clip_quantiles_by, quota, sample
 
@@ -211,8 +213,8 @@ def automatic_controls(points: DataFrame, rough: Step, reference: DataFrame, axe
     if e[0] is None:
         raise ValueError("no points to match")
     own = Axes(e[0], e[3], axes.dx, axes.dy, math.floor((e[1] - e[0]) / axes.dx) + 1, math.floor((e[3] - e[2]) / axes.dy) + 1)
-    whole = _cut(est.inpaint(reference.select("row", "col", "val"), axes))
-    surface_ = _cut(est.inpaint(cell_mean(placed, own).select("row", "col", "val"), own))
+    whole = _cut(inpaint(reference.select("row", "col", "val"), axes))
+    surface_ = _cut(inpaint(cell_mean(placed, own).select("row", "col", "val"), own))
     _, _, pairs = control_points(surface_, own, whole, axes, **options)
     pairs = _cut(pairs.select("pt_id", "x", "y", "tx", "ty"))
     there = bilinear(pairs.select("pt_id", F.col("tx").alias("x"), F.col("ty").alias("y")), whole, axes, "tz").select("pt_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "tz").where("tz is not null")
@@ -356,12 +358,12 @@ def rasterize(points: DataFrame, axes: Axes, gap_cells: int = 4, speckle_cells:
     cells = cell_mean(points, axes).select("row", "col", "val")
     gaps = axes.cells(spark).select("row", "col").join(cells, ["row", "col"], "left_anti")
     large = area_open(gaps, gap_cells)
-    filled = est.inpaint(cells, axes)
+    filled = inpaint(cells, axes)
     out = filled.join(dilate(large, disk(1), axes.nrows, axes.ncols), ["row", "col"], "left_anti")
     out = out.join(area_open(out, speckle_cells), ["row", "col"], "left_semi")
     if median_size:
         out = median(out, axes.nrows, axes.ncols, median_size)
-    return est.denoise(out, axes.dx, axes.dy, denoise) if denoise is not None else out
+    return smoothed(out, axes, denoise) if denoise is not None else out
 
 
 def orthoimage(elevation: DataFrame, reference: DataFrame, axes: Axes, image: DataFrame, image_axes: Axes, project) -> DataFrame:

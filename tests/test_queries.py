@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terragrid.functions import projections as P
 from terragrid.functions import semantics as S
 from terragrid.operators import estimators as E
+from terragrid.operators import gaps
 from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
 from terragrid.plans import more, queries, regional, stages
@@ -84,7 +85,7 @@ def test_published_polynomial_fit(spark):
 def test_two_unknowns_of_the_worked_example(spark):
     values = [[0, 0, 0, 0], [1, None, None, 4], [2, 3, 5, 8]]
     cells = [(r + 1, c + 1, None if v is None else float(v)) for r, row in enumerate(values) for c, v in enumerate(row)]
-    got = {(r.row, r.col): r.val for r in E.inpaint(spark.createDataFrame(cells, "row int, col int, val double"), G.Axes(0, 0, 1, 1, 4, 3)).collect()}
+    got = {(r.row, r.col): r.val for r in gaps.inpaint(spark.createDataFrame(cells, "row int, col int, val double"), G.Axes(0, 0, 1, 1, 4, 3), method="neighbours").collect()}
     assert abs(got[2, 2] - 25 / 15) < 1e-4 and abs(got[2, 3] - 40 / 15) < 1e-4
 
 
@@ -133,9 +134,9 @@ def test_guarded_groups_and_large_holes(spark):
     axes = G.Axes(0, 15, 1, 1, 16, 16)
     plane = axes.cells(spark).select("row", "col", (2.0 * F.col("row") - F.col("col")).alias("val"))
     hole = plane.where("not (row between 3 and 13 and col between 3 and 13)")
-    for largest, within in ((10_000, 1e-9), (60, 0.5)):
-        out = E.inpaint(hole, axes, largest=largest, tolerance=1e-3).join(plane.withColumnRenamed("val", "want"), ["row", "col"])
-        assert out.count() == 16 * 16 and out.agg(F.max(F.abs(F.col("val") - F.col("want")))).head()[0] < within
+    out = gaps.inpaint(hole, axes).join(plane.withColumnRenamed("val", "want"), ["row", "col"])
+    assert out.count() == 16 * 16 and out.agg(F.max(F.abs(F.col("val") - F.col("want")))).head()[0] < 1e-6
+
 
 
 def test_nearest_far_away_and_reprojection(spark):
