@@ -58,7 +58,7 @@ def _means(holes: DataFrame, axes: Axes) -> DataFrame:
     return beside.union(beside.groupBy("er", "ec").agg((-F.sum("v")).alias("v")).select("er", "ec", F.col("er").alias("row"), F.col("ec").alias("col"), "v"))
 
 
-def inpaint(grid: DataFrame, axes: Axes, method: str = "curvature", block: int = 24, rounds: int = 500, tolerance: float = 1e-11) -> DataFrame:
+def inpaint(grid: DataFrame, axes: Axes, method: str = "curvature", block: int = 48, rounds: int = 500, tolerance: float = 1e-11) -> DataFrame:
     """row, col, val of all cells of the axes, missing ones filled. By "curvature" the sum of squares of the second
     differences (of both directions together, at every cell whose differences hold a missing one) is least, so planes
     are continued; by "neighbours" each missing cell is the mean of its (two to four) side neighbours.
