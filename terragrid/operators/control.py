@@ -103,8 +103,7 @@ def control_points(moving: DataFrame, moving_axes: Axes, reference: DataFrame, r
     for i, s in enumerate(scales):
         d = ring_descriptors(reference, reference_axes, theirs, [r * s for r in radii], angles).withColumn("scale", F.lit(i))
         known = d if known is None else known.unionByName(d)
-    distance = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
-    pairs = match(_cut(asked), _cut(known), ["scale"], distance)
+    pairs = match(_cut(asked), _cut(known), ["scale"], "squared")
     at = lambda axes, c, names: ((F.floor((F.col(c) - 1) / axes.nrows) * axes.dx + axes.x0).alias(names[0]), (F.lit(axes.y0) - F.pmod(F.col(c) - 1, F.lit(axes.nrows)) * axes.dy).alias(names[1]))
     pairs = _cut(pairs.select("scale", F.col("id").alias("pt_id"), *at(moving_axes, "id", ("x", "y")), *at(reference_axes, "tid", ("tx", "ty"))))
     best = None
