@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terragrid.operators import estimators as E
+from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
+from terragrid.plans import stages
 
 
 @pytest.mark.parametrize("distance", ["squared", "bits", "entries"])
@@ -35,3 +38,29 @@ def test_nearest_of_crowded_places(spark):
     table = lambda a: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)], "id long, x double, y double")
     want = {i: int(np.hypot(*(q - v).T).argmin()) for i, v in enumerate(p)}
     assert {r.id: r.rid for r in X.nearest_2d(table(p), table(q), 50.0).collect()} == want
+
+
+def test_cell_means_that_no_order_changes(spark):
+    """Sums of a cell's elevations in cents are exact: two orders of the same points give the same error."""
+    axes = G.Axes(0.0, 0.0, 1.0, 1.0, 1, 1)
+    z = [0.1, 0.2, 0.3, 1e9, -1e9 + 0.4]
+    error = lambda zs: E.vertical_error(spark.createDataFrame([(0.0, 0.0, v) for v in zs], "x double, y double, z double").coalesce(1), axes.cells(spark).select("row", "col", F.lit(0.0).alias("val")), axes, None, digits=2).head()
+    assert error(z).rmse == error(z[::-1]).rmse == 0.2
+
+
+def test_quantile_cells_stay_in(spark):
+    """Differences are worked out once, so cells at a quantile stay in whatever a second sum would give."""
+    axes = G.Axes(0.0, 0.0, 1.0, 1.0, 10, 1)
+    pts = spark.range(10).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("id") + F.rand()).alias("z"))
+    ref = axes.cells(spark).select("row", "col", F.lit(0.0).alias("val"))
+    assert E.vertical_error(pts.drop("g"), ref, axes, clip=(0.05, 0.95)).head().n == 10
+    assert stages.trial_errors(pts, ["g"], {(1,): [np.eye(3, 4)]}, ref, axes).head().n == 10
+
+
+def test_highest_neighbours_of_faces(spark):
+    """Faces of one crowded vertex and of two that share most neighbours, against all pairs."""
+    rows = [(i, 0) for i in range(40)] + [(i, 1) for i in range(30, 60)] + [(i, 2) for i in range(35, 45)]
+    got = X.face_neighbours(spark.createDataFrame(rows, "face_id long, vertex long"), 7)
+    at = {v: {f for f, w in rows if w == v} for v in (0, 1, 2)}
+    want = {(f, o) for f in {f for f, _ in rows} for o in sorted(set().union(*(at[v] for g, v in rows if g == f)), reverse=True)[:7]}
+    assert {(r.face_id, r.other) for r in got.collect()} == want
