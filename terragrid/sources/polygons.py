@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial import edges
@@ -25,10 +25,11 @@ def morton(x: Column, y: Column, bits: int = 16) -> Column:
 def edge_table(vertices: DataFrame) -> DataFrame:
     """file_id, poly_id, ring_id, x1, y1, x2, y2 and the polygon's box (px0, py0, px1, py1) of every edge of polygons
     given as vertices (file_id, poly_id, ring_id, vtx_id, x, y); ring 0 is the outer one, the others are holes."""
-    box = vertices.groupBy(*KEYS).agg(F.min("x").alias("px0"), F.min("y").alias("py0"), F.max("x").alias("px1"), F.max("y").alias("py1"))
     named = vertices.withColumn("_poly", F.struct(*KEYS))
     rings = edges(named.select(F.col("_poly").alias("poly_id"), "ring_id", "vtx_id", "x", "y"))
-    return rings.select("poly_id.*", "ring_id", "x1", "y1", "x2", "y2").join(box, KEYS)
+    whole = Window.partitionBy(*KEYS)  # not a join, whose side Spark would take for small and broadcast
+    box = {"px0": F.min("x1"), "py0": F.min("y1"), "px1": F.max("x1"), "py1": F.max("y1")}
+    return rings.select("poly_id.*", "ring_id", "x1", "y1", "x2", "y2").withColumns({n: e.over(whole) for n, e in box.items()})
 
 
 def write_polygons(vertices: DataFrame, path: str, cell: float, rows: int = 50_000) -> None:
@@ -59,11 +60,12 @@ def covered_by(points: DataFrame, table: DataFrame, cell: float) -> DataFrame:
     boxes = table.groupBy(*KEYS, "px0", "py0", "px1", "py1").agg(F.count(F.lit(1)).alias("_n"))
     bucket = lambda c: F.floor(F.col(c) / cell)
     dealt = boxes.withColumn("_bx", F.explode(F.sequence(bucket("px0"), bucket("px1")))).withColumn("_by", F.explode(F.sequence(bucket("py0"), bucket("py1"))))
-    near = points.select("pt_id", "x", "y", bucket("x").alias("_bx"), bucket("y").alias("_by")).join(dealt, ["_bx", "_by"])
+    near = points.select("pt_id", "x", "y", bucket("x").alias("_bx"), bucket("y").alias("_by")).join(dealt.hint("merge"), ["_bx", "_by"])
     near = near.where(F.col("x").between(F.col("px0"), F.col("px1")) & F.col("y").between(F.col("py0"), F.col("py1"))).select(*KEYS, "pt_id", "x", "y", F.col("_by").alias("_strip"))
     sides = table.where("y1 <> y2").select(*KEYS, "ring_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))).alias("_strip"))
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    odd = near.join(sides, [*KEYS, "_strip"]).where(crosses).groupBy("pt_id", *KEYS, "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
+    odd = near.join(sides.hint("merge"), [*KEYS, "_strip"])  # tables of polygons aren't broadcast
+    odd = odd.where(crosses).groupBy("pt_id", *KEYS, "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
     return odd.groupBy("pt_id", *KEYS).agg(F.max("ring_id").alias("_last")).where("_last = 0").select("pt_id", *KEYS)
 
 

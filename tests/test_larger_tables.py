@@ -8,6 +8,7 @@ from terragrid.operators import estimators as E
 from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
 from terragrid.plans import stages
+from terragrid.sources import polygons as V
 
 
 @pytest.mark.parametrize("distance", ["squared", "bits", "entries"])
@@ -64,3 +65,13 @@ def test_highest_neighbours_of_faces(spark):
     at = {v: {f for f, w in rows if w == v} for v in (0, 1, 2)}
     want = {(f, o) for f in {f for f, _ in rows} for o in sorted(set().union(*(at[v] for g, v in rows if g == f)), reverse=True)[:7]}
     assert {(r.face_id, r.other) for r in got.collect()} == want
+
+
+def test_polygon_tables_are_not_broadcast(spark):
+    """Spark takes exploded polygons for small; none of the joins over them sends a side to the driver."""
+    one = spark.range(1).select(F.lit(0).alias("file_id"), F.col("id").alias("poly_id"), F.lit(0).alias("ring_id"), F.explode(F.lit([0, 1, 2, 3])).alias("vtx_id"))
+    square = one.select("*", F.col("vtx_id").isin(1, 2).cast("double").alias("x"), F.col("vtx_id").isin(2, 3).cast("double").alias("y"))
+    points = spark.range(4).select(F.col("id").alias("pt_id"), (F.col("id") * 0.4 + 0.1).alias("x"), F.lit(0.5).alias("y"))
+    got = V.covered(points, V.edge_table(square), 1.0)
+    assert sorted(r.pt_id for r in got.collect()) == [0, 1, 2]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
