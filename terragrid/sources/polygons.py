@@ -105,3 +105,24 @@ def area(ring: Column) -> Column:
     """Area of a polygon given as an array of (x, y)."""
     nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     return F.abs(F.aggregate(F.zip_with(ring, nxt, lambda p, q: p.x * q.y - q.x * p.y), F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def common_areas(rings: DataFrame, block: list[str], salt: int = 16, chunk: int = 1024) -> DataFrame:
+    """id, other, area of all pairs (id < other) of convex polygons (block..., id, ring) of the same block.
+
+    Polygons of one shape and place are clipped once, whatever their number, and shapes whose boxes don't meet aren't:
+    only the pairs of ids are as many as the result. A block's shapes are dealt to ``salt`` tasks.
+    """
+    ends = {f"_{f}{c}": g(F.transform("ring", lambda p: p[c])) for c in "xy" for f, g in (("lo", F.array_min), ("hi", F.array_max))}
+    numbered = rings.select(*block, "id", "ring").withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*block, "ring").orderBy("id")) - 1) / chunk))
+    shapes = numbered.groupBy(*block, "ring", "_part").agg(F.sort_array(F.collect_list("id")).alias("_ids")).withColumn("_first", F.col("_ids")[0]).withColumns(ends)
+    names = ["ring", "_ids", "_first", *ends]
+    left = shapes.select(*block, *names, F.pmod(F.xxhash64("_first"), F.lit(salt)).alias("_salt"))
+    right = shapes.select(*block, *[F.col(c).alias(f"o{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_salt"))
+    pairs = left.join(right, [*block, "_salt"]).where(F.col("_first") <= F.col("o_first"))
+    meet = F.lit(True)
+    for c in "xy":
+        meet = meet & (F.col(f"_lo{c}") <= F.col(f"o_hi{c}")) & (F.col(f"o_lo{c}") <= F.col(f"_hi{c}"))
+    sized = pairs.select("_ids", "o_ids", (F.col("_first") == F.col("o_first")).alias("_own"), F.when(meet, F.transform(F.array(clip_convex(F.col("ring"), F.col("oring"))), area)[0]).otherwise(0.0).alias("area"))
+    each = sized.select("_own", "area", "o_ids", F.explode("_ids").alias("_i")).select("_own", "area", "_i", F.explode("o_ids").alias("_j"))
+    return each.where("not _own or _i < _j").select(F.least("_i", "_j").alias("id"), F.greatest("_i", "_j").alias("other"), "area")
