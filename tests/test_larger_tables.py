@@ -75,3 +75,19 @@ def test_polygon_tables_are_not_broadcast(spark):
     got = V.covered(points, V.edge_table(square), 1.0)
     assert sorted(r.pt_id for r in got.collect()) == [0, 1, 2]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_boxes_are_spread(spark):
+    """Copies of few boxes, read by one task: all pairs, none of the tasks that make them having most; odd boxes too."""
+    rng = np.random.default_rng(11)
+    kinds = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in rng.integers(0, 40, size=(12, 4))]
+    rows = [(i, *kinds[i % 12]) for i in range(600)]
+    schema = "id long, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame([*rows, (900, 1.0, 1.0, None, 2.0), (None, 5.0, 5.0, 5.0, 5.0)], schema).coalesce(1)
+    got = X.boxes_meet(df, df, 16.0, tile=4, some=8).withColumn("task", F.spark_partition_id()).collect()
+    rows.append((None, 5.0, 5.0, 5.0, 5.0))
+    want = [(i, j) for i, *p in rows for j, *q in rows if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]]
+    at = lambda pairs: sorted((i is None, i or 0, j is None, j or 0) for i, j in pairs)
+    assert at((r.id, r.b_id) for r in got) == at(want)
+    tasks = [r.task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 2
