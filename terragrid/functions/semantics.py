@@ -42,12 +42,13 @@ def hash_order(id_: Column, seed: int) -> Column:
     return F.pmod(id_.cast("long") * 2654435761 + F.lit(seed * 40503), F.lit(4294967296))
 
 
-def hazen(df: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
+def hazen(df: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None, most: int = 100_000) -> DataFrame:
     """Hazen quantiles (plotting positions (i - 0.5) / n, linear between) of ``value`` for each group ``by``.
 
     Returns by..., q, value. Missing values don't count. A sketch brackets each quantile; one pass counts the values
     below its bracket, and only the bracket's distinct values are sorted, so no task gets a whole group. A bracket
-    that misses its order statistics (the counts show it) is replaced by the whole range.
+    that misses its order statistics (the counts show it) is replaced by the whole range. Brackets are a row a group;
+    those of up to ``most`` groups (counted) are broadcast, so values stay where they are and no task sorts a group.
     """
     keys = by or ["_g"]
     data = df.where(F.col(value).isNotNull()).select(*(by or [F.lit(1).alias("_g")]), F.col(value).cast("double").alias("_v"))
@@ -55,7 +56,9 @@ def hazen(df: DataFrame, value: str, quantiles: list[float], by: list[str] | Non
     sides = [min(max(x + d, 0.0), 1.0) for x in q for d in (-0.002, 0.002)]
     cuts = data.groupBy(*keys).agg(F.percentile_approx("_v", sides, F.lit(5_000)).alias("_cut"), F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     low, high = (lambda i: F.col("_cut")[2 * i]), (lambda i: F.col("_cut")[2 * i + 1])
-    join = lambda a, b: a.join(b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in b.columns if c not in keys]), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]).drop(*[f"_k_{c}" for c in keys])
+    few = by is None or data.select(*keys).distinct().limit(most + 1).count() <= most
+    sent = F.broadcast if few else lambda b: b
+    join = lambda a, b: a.join(sent(b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in b.columns if c not in keys])), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]).drop(*[f"_k_{c}" for c in keys])
     counts = join(data, cuts).groupBy(*keys).agg(*[F.count_if(F.col("_v") < low(i)).alias(f"_b{i}") for i in range(len(q))], *[F.count_if(F.col("_v") <= high(i)).alias(f"_u{i}") for i in range(len(q))])
     known = join(cuts, counts)
     place = lambda x: F.greatest(F.least(F.col("_all") * x + 0.5, F.col("_all").cast("double")), F.lit(1.0))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terragrid.functions import semantics as S
 from terragrid.operators import estimators as E
 from terragrid.operators import grid as G
 from terragrid.operators import spatial as X
@@ -91,3 +92,26 @@ def test_pairs_of_boxes_are_spread(spark):
     assert at((r.id, r.b_id) for r in got) == at(want)
     tasks = [r.task for r in got]
     assert max(tasks.count(t) for t in set(tasks)) < len(got) / 2
+
+
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_quantiles_of_large_groups(spark, most):
+    """Hazen quantiles of two large groups, one of them NULL, and a small one: no group is sorted by one task, unless
+    there are more groups than are sent to all."""
+    sizes = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(sizes)
+    spark.conf.set(sizes, "-1")  # as for tables that Spark doesn't broadcast by itself
+    v = F.pmod(F.col("id") * 7919, F.lit(100_003)).cast("double")
+    df = spark.range(100_003).select(F.when(F.col("id") % 2 == 0, "a").when(F.col("id") == 1, "b").alias("g"), v.alias("v"))
+    found = S.hazen(df, "v", [0.05, 0.5], ["g"], most)
+    rows, plan = found.collect(), found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(sizes, was)
+    want = {}
+    for g, ids in (("a", np.arange(0, 100_003, 2)), ("b", np.array([1])), (None, np.arange(3, 100_003, 2))):
+        sorted_, n = np.sort(ids * 7919 % 100_003), len(ids)
+        for q in (0.05, 0.5):
+            h = min(max(n * q + 0.5, 1), n)
+            lo, hi = sorted_[int(h) - 1], sorted_[min(int(h) + 1, n) - 1]
+            want[g, q] = lo + (hi - lo) * (h - int(h))
+    assert {(r.g, r.q): round(r.value, 6) for r in rows} == {k: round(float(x), 6) for k, x in want.items()}
+    assert ("SortMergeJoin" in plan) == (most == 2)
