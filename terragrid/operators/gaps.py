@@ -82,7 +82,7 @@ def inpaint(grid: DataFrame, axes: Axes, method: str = "curvature", block: int =
         df.write.parquet(to)
         return spark.read.schema(df.schema).parquet(to)
 
-    known = grid.where("val is not null").select("row", "col", F.col("val").cast("double").alias("val"))
+    known = written(grid.where("val is not null").select("row", "col", F.col("val").cast("double").alias("val")))
     holes = written(axes.cells(spark).select("row", "col").join(known, _CELL, "left_anti"))
     if method not in ("curvature", "neighbours"):
         raise ValueError("method is curvature or neighbours")

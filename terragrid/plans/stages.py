@@ -355,15 +355,16 @@ def rasterize(points: DataFrame, axes: Axes, gap_cells: int = 4, speckle_cells:
     """row, col, val of a cleaned elevation grid: cell means; gaps under ``gap_cells`` filled; larger gaps grown by a
     cell and kept; components of data under ``speckle_cells`` dropped; median; surface smoothing."""
     spark = points.sparkSession
-    cells = cell_mean(points, axes).select("row", "col", "val")
+    cells = _cut(cell_mean(points, axes).select("row", "col", "val"))  # the points are read once
     gaps = axes.cells(spark).select("row", "col").join(cells, ["row", "col"], "left_anti")
     large = area_open(gaps, gap_cells)
     filled = inpaint(cells, axes)
     out = filled.join(dilate(large, disk(1), axes.nrows, axes.ncols), ["row", "col"], "left_anti")
+    out = _cut(out)
     out = out.join(area_open(out, speckle_cells), ["row", "col"], "left_semi")
     if median_size:
         out = median(out, axes.nrows, axes.ncols, median_size)
-    return smoothed(out, axes, denoise) if denoise is not None else out
+    return smoothed(_cut(out), axes, denoise) if denoise is not None else out
 
 
 def orthoimage(elevation: DataFrame, reference: DataFrame, axes: Axes, image: DataFrame, image_axes: Axes, project) -> DataFrame:

@@ -115,3 +115,18 @@ def test_quantiles_of_large_groups(spark, most):
             want[g, q] = lo + (hi - lo) * (h - int(h))
     assert {(r.g, r.q): round(r.value, 6) for r in rows} == {k: round(float(x), 6) for k, x in want.items()}
     assert ("SortMergeJoin" in plan) == (most == 2)
+
+
+def test_rasterize_reads_points_once(spark):
+    """Rows that pass a counter on their way from the points to the cleaned grid."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    axes = G.Axes(0.0, 5.0, 1.0, 1.0, 6, 6)
+    pts = spark.range(700).where("id % 35 <> 8").select((F.col("id") % 35 % 6).cast("double").alias("x"), F.floor(F.col("id") % 35 / 6).cast("double").alias("y"), (F.col("id") % 7).cast("double").alias("z"))
+    got = stages.rasterize(pts.mapInArrow(counted, pts.schema), axes, gap_cells=4, speckle_cells=2).count()
+    assert read.value == 680 and got > 20
