@@ -130,3 +130,32 @@ def test_rasterize_reads_points_once(spark):
     pts = spark.range(700).where("id % 35 <> 8").select((F.col("id") % 35 % 6).cast("double").alias("x"), F.floor(F.col("id") % 35 / 6).cast("double").alias("y"), (F.col("id") % 7).cast("double").alias("z"))
     got = stages.rasterize(pts.mapInArrow(counted, pts.schema), axes, gap_cells=4, speckle_cells=2).count()
     assert read.value == 680 and got > 20
+
+
+def test_trials_of_points_at_one_place(spark, monkeypatch):
+    """Points at few places are put together unless they tilt: the same errors, means and fits, from few rows."""
+    rng = np.random.default_rng(2)
+    xyz = [(int(i % 2), float(i % 30 % 6), float(i % 30 // 6 - 2), float(z)) for i, z in enumerate(rng.normal(size=1200) * 5 + 7)]
+    pts = spark.createDataFrame([*xyz, (0, 1.0, 0.0, None)], "g int, x double, y double, z double")
+    axes = G.Axes(0.0, 2.0, 1.0, 1.0, 6, 5)
+    ref = axes.cells(spark).select("row", "col", (F.col("x") + F.col("y")).alias("val"))
+    flat, turned = np.eye(3, 4), stages.affine({"center": [2.0, 0.0, 7.0], "rotation": [4.0, -3.0, 0.0], "shift": [0.2, 0.1, -5.0], "scale": [1.0] * 3, "whole": 1.0})
+    flat[2, 3] = -6.0
+    for trials in ([flat], [flat, turned]):
+        got = {(r.g, r.trial): (r.n, r.rmse) for r in stages.trial_errors(pts, ["g"], {(0,): trials, (1,): trials}, ref, axes, None).collect()}
+        for g in (0, 1):
+            for t, m in enumerate(trials):
+                held = {}
+                for _, *p in (p for p in xyz if p[0] == g):
+                    x, y, z = m[:, :3] @ p + m[:, 3]
+                    held.setdefault((int(np.floor(x + 0.5)), int(np.floor(y + 0.5))), []).append(z)
+                off = [x + y - np.mean(zs) for (x, y), zs in held.items() if 0 <= x <= 5 and -2 <= y <= 2]
+                assert got[g, t][0] == len(off) and np.isclose(got[g, t][1], np.sqrt(np.mean(np.square(off))))
+    rows, cut = [], stages._cut
+    monkeypatch.setattr(stages, "_cut", lambda df: (kept := cut(df), rows.append(kept.count()))[0])
+    found = stages.optimise_each(pts, ["g"], ref, axes, bounds={"shift": (0.0, 0.0, 20.0)}, rounds=12, settled=1e-3)
+    assert rows[0] == 31
+    for g in (0, 1):
+        v = found[g,][0]
+        mine = [p[1:] for p in xyz if p[0] == g]
+        assert np.allclose(v["center"], [*np.mean([[*p[:2]] for p in mine + ([[1.0, 0.0, 0.0]] if g == 0 else [])], axis=0), np.mean([p[2] for p in mine])])
