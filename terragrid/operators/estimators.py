@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.projections import apply_matrix
 from ..functions.semantics import hash_order
-from .grid import Axes, _cut, cell_mean
+from .grid import Axes, _cut, cell_mean, stored
 from .stats import clip_quantiles, moments, normal_equations, rmse
 
 
@@ -136,30 +136,32 @@ def plane_step(pairs: DataFrame) -> np.ndarray:
 def icp(points: DataFrame, reference: DataFrame, axes: Axes, rounds: int = 20, tolerance: float = 1e-6, reject: float = 3.0) -> np.ndarray:
     """3 x 4 motion of points (pt_id, x, y, z) onto a surface given as cells (row, col, x, y, val, nx, ny, nz).
 
-    Each round places the points in the reference's cells (an equi-join), drops distances beyond the median plus
-    ``reject`` robust deviations, keeps the nearest point of each cell, and solves point-to-plane.
+    The points are written once, by their own columns alone, as a round reads them four times. It places them in the
+    reference's cells (an equi-join), drops distances beyond the median plus ``reject`` robust deviations, keeps the
+    nearest point of each cell, and solves point-to-plane.
     """
     total = np.column_stack([np.eye(3), np.zeros(3)])
     small = F.broadcast if axes.nrows * axes.ncols <= 100_000 else lambda df: df  # a row a cell
     ref = small(_cut(reference.select("row", "col", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("val").alias("tz"), "nx", "ny", "nz")))
-    for _ in range(rounds):
-        x, y, z = apply_matrix(total, F.col("x"), F.col("y"), F.col("z"))
-        moved = points.select("pt_id", x.alias("x"), y.alias("y"), z.alias("z"))
-        met = moved.withColumns({"row": axes.row_of(F.col("y")), "col": axes.col_of(F.col("x"))}).join(ref, ["row", "col"])
-        d = F.abs((F.col("tx") - F.col("x")) * F.col("nx") + (F.col("ty") - F.col("y")) * F.col("ny") + (F.col("tz") - F.col("z")) * F.col("nz"))
-        met = met.withColumn("_d", d)
-        med = met.agg(F.percentile_approx("_d", 0.5, F.lit(1000)).alias("m")).head().m
-        if med is None:
-            raise ValueError("no point lies over the reference")
-        mad = met.agg(F.percentile_approx(F.abs(F.col("_d") - med), 0.5, F.lit(1000)).alias("m")).head().m
-        near = met.where(F.col("_d") <= med + reject * 1.4826 * mad + 1e-12)
-        least = small(near.groupBy("row", "col").agg(F.min("_d").alias("_least")))  # added up before the shuffle, as points aren't
-        tied = near.join(least, ["row", "col"]).where(F.col("_d") == F.col("_least"))
-        one = tied.withColumn("_r", F.row_number().over(Window.partitionBy("row", "col").orderBy("pt_id"))).where("_r = 1")
-        step = plane_step(one)
-        total = np.column_stack([step[:, :3] @ total[:, :3], step[:, :3] @ total[:, 3] + step[:, 3]])
-        if np.abs(step - np.column_stack([np.eye(3), np.zeros(3)])).max() < tolerance:
-            break
+    with stored(points.select("pt_id", "x", "y", "z").where("x is not null and y is not null and z is not null")) as kept:
+        for _ in range(rounds):
+            x, y, z = apply_matrix(total, F.col("x"), F.col("y"), F.col("z"))
+            moved = kept.select("pt_id", x.alias("x"), y.alias("y"), z.alias("z"))
+            met = moved.withColumns({"row": axes.row_of(F.col("y")), "col": axes.col_of(F.col("x"))}).join(ref, ["row", "col"])
+            d = F.abs((F.col("tx") - F.col("x")) * F.col("nx") + (F.col("ty") - F.col("y")) * F.col("ny") + (F.col("tz") - F.col("z")) * F.col("nz"))
+            met = met.withColumn("_d", d)
+            med = met.agg(F.percentile_approx("_d", 0.5, F.lit(1000)).alias("m")).head().m
+            if med is None:
+                raise ValueError("no point lies over the reference")
+            mad = met.agg(F.percentile_approx(F.abs(F.col("_d") - med), 0.5, F.lit(1000)).alias("m")).head().m
+            near = met.where(F.col("_d") <= med + reject * 1.4826 * mad + 1e-12)
+            least = small(near.groupBy("row", "col").agg(F.min("_d").alias("_least")))  # added up before the shuffle, as points aren't
+            tied = near.join(least, ["row", "col"]).where(F.col("_d") == F.col("_least"))
+            one = tied.withColumn("_r", F.row_number().over(Window.partitionBy("row", "col").orderBy("pt_id"))).where("_r = 1")
+            step = plane_step(one)
+            total = np.column_stack([step[:, :3] @ total[:, :3], step[:, :3] @ total[:, 3] + step[:, 3]])
+            if np.abs(step - np.column_stack([np.eye(3), np.zeros(3)])).max() < tolerance:
+                break
     return total
 
 

@@ -86,6 +86,8 @@ def inpaint(grid: DataFrame, axes: Axes, method: str = "curvature", block: int =
     holes = written(axes.cells(spark).select("row", "col").join(known, _CELL, "left_anti"))
     if method not in ("curvature", "neighbours"):
         raise ValueError("method is curvature or neighbours")
+    if holes.isEmpty():
+        return known
     equations = _equations(holes, axes) if method == "curvature" else _means(holes, axes)
     # two missing cells of one equation lie in one component of missing cells and their side neighbours
     touched = components(equations.select(F.col("er").alias("row"), F.col("ec").alias("col")).union(holes), eight=False)

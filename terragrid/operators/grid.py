@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 @dataclass(frozen=True)
 class Axes:
     """Cell centres: x0 + (col - 1) dx eastward and y0 - (row - 1) dy southward from the north-west cell."""
@@ -41,11 +42,12 @@ class Axes:
         out = spark.range(self.ncols * self.nrows).select((n % self.nrows + 1).cast("int").alias("row"), (F.floor(n / self.nrows) + 1).cast("int").alias("col"))
         return out.select("row", "col", (F.lit(self.x0) + (F.col("col") - 1) * self.dx).alias("x"), (F.lit(self.y0) - (F.col("row") - 1) * self.dy).alias("y"))
 
+    # halves go up, as by F.round, which makes a decimal of every double
     def col_of(self, x: Column) -> Column:
-        return F.round((x - self.x0) / self.dx + 1).cast("int")
+        return F.floor((x - self.x0) / self.dx + 1 + 0.5).cast("int")
 
     def row_of(self, y: Column) -> Column:
-        return F.round((F.lit(self.y0) - y) / self.dy + 1).cast("int")
+        return F.floor((F.lit(self.y0) - y) / self.dy + 1 + 0.5).cast("int")
 
     def halved(self, factor: int) -> Axes:
         """Axes of every ``factor`` cells, for a pyramid level."""
@@ -271,6 +273,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The same rows, read from a Parquet table in the checkpoint folder that goes at the end: smaller than a checkpoint,
+    for rows that many passes read."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def area_open(mask: DataFrame, least: int, eight: bool = True) -> DataFrame:
     """Mask cells of components with ``least`` cells or more."""
     found = components(mask, eight)

@@ -159,3 +159,25 @@ def test_trials_of_points_at_one_place(spark, monkeypatch):
         v = found[g,][0]
         mine = [p[1:] for p in xyz if p[0] == g]
         assert np.allclose(v["center"], [*np.mean([[*p[:2]] for p in mine + ([[1.0, 0.0, 0.0]] if g == 0 else [])], axis=0), np.mean([p[2] for p in mine])])
+
+
+def test_rounds_of_icp_read_written_points(spark, tmp_path):
+    """Points are read once whatever the rounds, and cells of halves are rounded up without decimals."""
+    from terragrid.plans import queries
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    axes, ref, pts = queries._scene(spark, (0.3, -0.2, 1.0))
+    face = G.surface(ref, 1.0, 1.0).join(axes.cells(spark), ["row", "col"])
+    shift = E.icp(pts.mapInArrow(counted, pts.schema), face, axes, rounds=4, tolerance=0.0)[:, 3]
+    assert read.value == 3000 and np.allclose(shift, [-0.3, 0.2, -1.0], atol=0.2)
+    at = [(0.5, 1), (0.4999999999999998, 0), (1.4999999999999998, 1), (1.5, 2), (2.5, 3), (-0.25, 0), (float("nan"), 0)]
+    got = spark.createDataFrame([(v,) for v, _ in at], "x double").select(G.Axes(1.0, 0.0, 1.0, 1.0, 9, 9).col_of(F.col("x"))).collect()
+    assert [r[0] for r in got] == [n for _, n in at]
+    plan = pts.select(axes.row_of(F.col("y")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.lower()
