@@ -107,22 +107,33 @@ def area(ring: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(ring, nxt, lambda p, q: p.x * q.y - q.x * p.y), F.lit(0.0), lambda s, v: s + v)) / 2
 
 
-def common_areas(rings: DataFrame, block: list[str], salt: int = 16, chunk: int = 1024) -> DataFrame:
-    """id, other, area of all pairs (id < other) of convex polygons (block..., id, ring) of the same block.
-
-    Polygons of one shape and place are clipped once, whatever their number, and shapes whose boxes don't meet aren't:
-    only the pairs of ids are as many as the result. A block's shapes are dealt to ``salt`` tasks.
+def common_areas(rings: DataFrame, block: list[str], tile: int = 256, some: int = 256, digits: int | None = None) -> DataFrame:
+    """id, other, area (rounded to ``digits``, if given) of all pairs (id < other) of convex polygons (block..., id, ring)
+    of the same block.
+
+    Polygons of one shape and place are clipped once, whatever their number, and shapes whose boxes don't meet aren't. A
+    block's shapes are dealt into tiles of about ``tile``. Sized pairs of shapes then meet their lists of about ``some``
+    ids, so only the last step makes as many rows as the result. Pairs of tiles and of lists are spread over as many
+    tasks as a shuffle has partitions, and no side is broadcast: Spark takes it for as small as its polygons.
     """
+    parts = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = lambda p, q, on: p.join(q.hint("merge"), on)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rings = rings.select(*block, "id", "ring")
+    once = rings.groupBy(*block, "ring").agg(F.min("id").alias("_shape"), F.ceil(F.count(F.lit(1)) / some).alias("_n"))
+    listed = merged(rings, once, [*block, "ring"]).groupBy("_shape", F.pmod(F.xxhash64("id"), "_n").alias("_list")).agg(F.collect_list("id").alias("_ids"))
+    ids = lambda s: listed.select(F.col("_shape").alias(f"_{s}"), F.col("_list").alias(f"_list_{s}"), F.col("_ids").alias(f"_ids_{s}"))
     ends = {f"_{f}{c}": g(F.transform("ring", lambda p: p[c])) for c in "xy" for f, g in (("lo", F.array_min), ("hi", F.array_max))}
-    numbered = rings.select(*block, "id", "ring").withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*block, "ring").orderBy("id")) - 1) / chunk))
-    shapes = numbered.groupBy(*block, "ring", "_part").agg(F.sort_array(F.collect_list("id")).alias("_ids")).withColumn("_first", F.col("_ids")[0]).withColumns(ends)
-    names = ["ring", "_ids", "_first", *ends]
-    left = shapes.select(*block, *names, F.pmod(F.xxhash64("_first"), F.lit(salt)).alias("_salt"))
-    right = shapes.select(*block, *[F.col(c).alias(f"o{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_salt"))
-    pairs = left.join(right, [*block, "_salt"]).where(F.col("_first") <= F.col("o_first"))
+    held = once.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / tile).alias("_tiles"))
+    shapes = merged(once.select(*block, "_shape", "ring").withColumns(ends), held, block).withColumns({"_own": F.pmod(F.xxhash64("_shape"), "_tiles"), "_each": numbers("_tiles")})
+    keys = [*block, "_left", "_right"]
+    left = shapes.select(*block, F.col("_own").alias("_left"), F.col("_each").alias("_right"), F.col("_shape").alias("_a"), "ring", *ends).repartition(parts, *keys)
+    right = shapes.select(*block, F.col("_own").alias("_right"), F.col("_each").alias("_left"), F.col("_shape").alias("_b"), *[F.col(c).alias(f"o{c}") for c in ("ring", *ends)]).repartition(parts, *keys)
     meet = F.lit(True)
     for c in "xy":
         meet = meet & (F.col(f"_lo{c}") <= F.col(f"o_hi{c}")) & (F.col(f"o_lo{c}") <= F.col(f"_hi{c}"))
-    sized = pairs.select("_ids", "o_ids", (F.col("_first") == F.col("o_first")).alias("_own"), F.when(meet, F.transform(F.array(clip_convex(F.col("ring"), F.col("oring"))), area)[0]).otherwise(0.0).alias("area"))
-    each = sized.select("_own", "area", "o_ids", F.explode("_ids").alias("_i")).select("_own", "area", "_i", F.explode("o_ids").alias("_j"))
-    return each.where("not _own or _i < _j").select(F.least("_i", "_j").alias("id"), F.greatest("_i", "_j").alias("other"), "area")
+    size = F.when(meet, F.transform(F.array(clip_convex(F.col("ring"), F.col("oring"))), area)[0]).otherwise(0.0)
+    sized = merged(left, right, keys).where(F.col("_a") <= F.col("_b")).select("_a", "_b", (size if digits is None else F.round(size, digits)).alias("area"))
+    lists = merged(merged(sized, ids("a"), "_a"), ids("b"), "_b").repartition(parts, "_a", "_b", "_list_a", "_list_b")
+    each = lists.select((F.col("_a") == F.col("_b")).alias("_same"), "area", "_ids_b", F.explode("_ids_a").alias("_i")).select("_same", "area", "_i", F.explode("_ids_b").alias("_j"))
+    return each.where("not _same or _i < _j").select(F.least("_i", "_j").alias("id"), F.greatest("_i", "_j").alias("other"), "area")

@@ -181,3 +181,13 @@ def test_rounds_of_icp_read_written_points(spark, tmp_path):
     assert [r[0] for r in got] == [n for _, n in at]
     plan = pts.select(axes.row_of(F.col("y")))._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan.lower()
+
+
+def test_common_areas_of_copies_without_a_broadcast(spark):
+    """Copies of few squares in two blocks over small tiles and lists: all pairs, by area, and no side at the driver."""
+    square = lambda x, s: F.array(*[F.struct((x + a * s).alias("x"), F.lit(float(b * s)).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    rings = spark.range(90).select("id", (F.col("id") % 2).alias("b"), square((F.col("id") % 9).cast("double") / 2, 2).alias("ring"))
+    got = V.common_areas(rings, ["b"], tile=2, some=3, digits=3)
+    want = sorted((i, j, max(0.0, 2 - abs(i % 9 - j % 9) / 2) * 2) for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
