@@ -51,27 +51,71 @@ def read_polygons(spark: SparkSession, paths: list[str], box: tuple[float, float
     return spark.read.parquet(*paths).where(meets)
 
 
-def covered_by(points: DataFrame, table: DataFrame, cell: float) -> DataFrame:
+_BOX = ["px0", "py0", "px1", "py1"]
+
+
+def _bucket(c: str, cell: float) -> Column:
+    return F.floor(F.col(c) / cell)
+
+
+def _crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether an edge is passed on the way from (x, y) to the right."""
+    return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+
+
+def _strips(table: DataFrame, cell: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """The edges (not the level ones) of each strip of size ``cell`` that a polygon passes: as one array ``_edges`` where
+    these times the buckets across its box are ``most`` or fewer, and the others a row each."""
+    sides = table.where("y1 <> y2").withColumn("_strip", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "_strip"))
+    sides = sides.withColumn("_copies", n * (_bucket("px1", cell) - _bucket("px0", cell) + 1))
+    few = sides.where(F.col("_copies") <= most).groupBy(*KEYS, *_BOX, "_strip").agg(F.array_sort(F.collect_list(F.struct("ring_id", "x1", "y1", "x2", "y2"))).alias("_edges"))
+    return few, sides.where(F.col("_copies") > most)
+
+
+def _met(points: DataFrame, strips: DataFrame, cell: float) -> DataFrame:
+    """Points (pt_id, x, y) with the strips (of a polygon's box) whose box holds them, in as many tasks as a shuffle has
+    partitions: Spark's sizes tell nothing of the pairs."""
+    keys, parts = ["_bx", "_strip"], int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = points.select("pt_id", "x", "y", _bucket("x", cell).alias("_bx"), _bucket("y", cell).alias("_strip")).repartition(parts, *keys)
+    dealt = strips.withColumn("_bx", F.explode(F.sequence(_bucket("px0", cell), _bucket("px1", cell)))).repartition(parts, *keys)
+    near = asked.join(dealt.hint("merge"), keys)  # tables of polygons aren't broadcast
+    return near.where(F.col("x").between(F.col("px0"), F.col("px1")) & F.col("y").between(F.col("py0"), F.col("py1")))
+
+
+def _inside(met: DataFrame) -> DataFrame:
+    """The rows that pass an odd number of the ``_edges`` of ring 0 and an even one of each other ring's."""
+    passed = F.filter("_edges", lambda e: _crosses(F.col("x"), F.col("y"), e.x1, e.y1, e.x2, e.y2))
+    none = F.array().cast("array<int>")
+    odd = F.aggregate(passed, none, lambda held, e: F.when(F.array_contains(held, e.ring_id), F.array_remove(held, e.ring_id)).otherwise(F.array_append(held, e.ring_id.cast("int"))))
+    return met.where(F.array_max(odd) == 0)
+
+
+def _crossing(points: DataFrame, sides: DataFrame, cell: float) -> DataFrame:
+    """pt_id, file_id, poly_id as ``covered_by``, by pairs of points and polygons that meet edges a row each."""
+    near = _met(points, sides.select(*KEYS, *_BOX, "_strip").distinct(), cell).select(*KEYS, "pt_id", "x", "y", "_strip")
+    met = near.join(sides.select(*KEYS, "ring_id", "x1", "y1", "x2", "y2", "_strip").hint("merge"), [*KEYS, "_strip"])
+    odd = met.where(_crosses(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])).groupBy("pt_id", *KEYS, "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
+    return odd.groupBy("pt_id", *KEYS).agg(F.max("ring_id").alias("_last")).where("_last = 0").select("pt_id", *KEYS)
+
+
+def covered_by(points: DataFrame, table: DataFrame, cell: float, most: int = 4096) -> DataFrame:
     """pt_id, file_id, poly_id of points (pt_id, x, y) in a polygon of the edge table and in none of its holes.
 
-    Points meet polygons whose box holds them, by buckets of size ``cell``; such a pair then meets the polygon's edges
-    at the point's height, by strips of the same size, and counts crossings to the right.
+    Points meet the polygons' strips by buckets of size ``cell`` and count crossings to the right. A strip brings its
+    edges along, so pairs of points and polygons are judged where they meet and aren't shuffled; strips whose edges
+    would be copied over ``most`` times take a second join, by polygon and strip.
     """
-    boxes = table.groupBy(*KEYS, "px0", "py0", "px1", "py1").agg(F.count(F.lit(1)).alias("_n"))
-    bucket = lambda c: F.floor(F.col(c) / cell)
-    dealt = boxes.withColumn("_bx", F.explode(F.sequence(bucket("px0"), bucket("px1")))).withColumn("_by", F.explode(F.sequence(bucket("py0"), bucket("py1"))))
-    near = points.select("pt_id", "x", "y", bucket("x").alias("_bx"), bucket("y").alias("_by")).join(dealt.hint("merge"), ["_bx", "_by"])
-    near = near.where(F.col("x").between(F.col("px0"), F.col("px1")) & F.col("y").between(F.col("py0"), F.col("py1"))).select(*KEYS, "pt_id", "x", "y", F.col("_by").alias("_strip"))
-    sides = table.where("y1 <> y2").select(*KEYS, "ring_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))).alias("_strip"))
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    odd = near.join(sides.hint("merge"), [*KEYS, "_strip"])  # tables of polygons aren't broadcast
-    odd = odd.where(crosses).groupBy("pt_id", *KEYS, "ring_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
-    return odd.groupBy("pt_id", *KEYS).agg(F.max("ring_id").alias("_last")).where("_last = 0").select("pt_id", *KEYS)
+    few, many = _strips(table, cell, most)
+    return _inside(_met(points, few, cell)).select("pt_id", *KEYS).union(_crossing(points, many, cell))
 
 
-def covered(points: DataFrame, table: DataFrame, cell: float) -> DataFrame:
-    """pt_id of points in any polygon of any file, less that polygon's own holes."""
-    return covered_by(points, table, cell).select("pt_id").distinct()
+def covered(points: DataFrame, table: DataFrame, cell: float, most: int = 4096) -> DataFrame:
+    """pt_id of points in any polygon of any file, less that polygon's own holes: as ``covered_by``, but strips with
+    equal edges, as copies have, are met once."""
+    few, many = _strips(table, cell, most)
+    found = _inside(_met(points, few.select(*_BOX, "_strip", "_edges").distinct(), cell)).select("pt_id")
+    return found.union(_crossing(points, many, cell).select("pt_id")).distinct()
 
 
 def clip_convex(subject: Column, clip: Column) -> Column:

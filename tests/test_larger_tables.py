@@ -191,3 +191,22 @@ def test_common_areas_of_copies_without_a_broadcast(spark):
     want = sorted((i, j, max(0.0, 2 - abs(i % 9 - j % 9) / 2) * 2) for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2)
     assert sorted(map(tuple, got.collect())) == want
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_judged_where_they_meet_polygons(spark):
+    """Copies of holed polygons are met once, so their number doesn't add rows to a shuffle; strips of many edges take
+    the join by polygon to the same result."""
+    ring = lambda r, s: [(r, k, a * s, b * s) for k, (a, b) in enumerate(((1, 0), (0, 1), (-1, 0), (0, -1)))]
+    corners = F.explode(F.lit([[float(v) for v in c] for c in ring(0, 2.0) + ring(1, 1.0)]))
+    one = lambda n: spark.range(n).select((F.col("id") % 2).cast("int").alias("file_id"), F.col("id").alias("poly_id"), (F.col("id") % 4 * 3.0).alias("at"), corners.alias("c")).selectExpr("file_id", "poly_id", "cast(c[0] as int) ring_id", "cast(c[1] as int) vtx_id", "c[2] + at + 0.05 x", "c[3] + 0.03 y")
+    points = spark.range(600).select(F.col("id").alias("pt_id"), (F.col("id") % 60 / 4 - 3).alias("x"), (F.floor(F.col("id") / 60) / 2.0 - 2.5).alias("y"))
+    hit = lambda p, k: 1.0 <= abs(p.x - 3 * k - 0.05) + abs(p.y - 0.03) < 2.0
+    want = {(p.pt_id, k) for p in points.collect() for k in range(4) if hit(p, k)}
+    for most in (4096, 9, 0):
+        assert {(r.pt_id, r.poly_id) for r in V.covered_by(points, V.edge_table(one(4)), 1.0, most).collect()} == want
+        assert sorted(r.pt_id for r in V.covered(points, V.edge_table(one(4)), 1.0, most).collect()) == sorted({p for p, _ in want})
+    met = []
+    for n in (4, 400):
+        few, _ = V._strips(V.edge_table(one(n)), 1.0, 4096)
+        met.append(few.select(*V._BOX, "_strip", "_edges").distinct().count())
+    assert met[0] == met[1] and V.covered(points, V.edge_table(one(400)), 1.0).count() == len({p for p, _ in want})
