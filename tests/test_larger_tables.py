@@ -210,3 +210,36 @@ def test_points_are_judged_where_they_meet_polygons(spark):
         few, _ = V._strips(V.edge_table(one(n)), 1.0, 4096)
         met.append(few.select(*V._BOX, "_strip", "_edges").distinct().count())
     assert met[0] == met[1] and V.covered(points, V.edge_table(one(400)), 1.0).count() == len({p for p, _ in want})
+
+
+def test_fits_go_on_while_the_simplex_moves(spark, monkeypatch):
+    """A best error that stands for a few rounds ends no fit; region_fit leaves no variable and no round out."""
+    from terragrid.plans import regional
+
+    weights = np.arange(1, 11)
+    best, value, log = E.simplex(lambda v: float(((v - 0.1) ** 2 * weights).sum()), np.zeros(10), np.full(10, 0.25), rounds=200, settled=1e-3)
+    assert len(log) > 50 and value < 1e-3 and np.abs(best - 0.1).max() < 0.03
+    asked = {}
+
+    def fit(points, by, reference, axes, **options):
+        asked.update(options)
+        return {(1,): ({"shift": [0.0] * 3, "scale": [1.0] * 3}, 1.0, [1.0])}
+
+    monkeypatch.setattr(stages, "optimise_each", fit)
+    assert regional.region_fit(spark, "/root/testdata/sf0.001").count() == 1
+    assert asked.get("rounds", 200) >= 200 and all(asked["bounds"][k] and all(asked["bounds"][k]) for k in ("rotation", "shift", "scale")) and asked["bounds"]["whole"]
+
+
+def test_trials_over_few_cells_equal_those_over_many(spark):
+    """Equal points are put together by their number, and arrays of differences give what the quantile passes give."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 2), float(i % 7), float(i % 4), float(z)) for i, z in enumerate(rng.integers(0, 5, size=400))]
+    pts = spark.createDataFrame([*rows, *rows, (0, 1.0, 1.0, None)], "g int, x double, y double, z double")
+    placed = stages.at_places(pts, ["g"], True)
+    assert placed.count() == len(set(rows)) + 1 and placed.agg(F.sum("points"), F.sum("n")).head() == (801, 800)
+    axes = G.Axes(0.0, 3.0, 1.0, 1.0, 7, 4)
+    ref = axes.cells(spark).select("row", "col", (F.col("x") - F.col("y")).alias("val"))
+    trials = {(g,): [np.eye(3, 4) + rng.normal(size=(3, 4)) * 0.1 for _ in range(3)] for g in (0, 1)}
+    for clip in (None, (0.1, 0.8)):
+        few, many, alone = (sorted(map(tuple, stages.trial_errors(p, ["g"], trials, ref, axes, clip, True, f).collect())) for p, f in ((placed, True), (placed, False), (pts.where("z is not null").select("*", F.lit(1).alias("n")), False)))
+        assert len(few) == 6 and np.allclose(few, many) and np.allclose(few, alone)
